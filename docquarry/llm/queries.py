@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, pii_scan, quality_rules, secret_scan, token_files
+from . import exact_dedup, license_scan, mixing, ngram_join, packing, pii_scan, quality_rules, secret_scan, token_files, url_filters
 from .common import read
 from .tokens import vocabulary
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(read(spark, sf_dir, "documents"), mixing.Target(repetitions=2.0))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     samples = secret_scan.ordinary_samples(documents, labels).unionByName(secret_scan.random_samples(documents))
@@ -30,6 +34,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(read(spark, sf_dir, "documents"), ngram_join.Similarity(words=3, percent=90))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.verdicts(read(spark, sf_dir, "pages"))
+
+
 def op8_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_scan.digest(pii_scan.scan(read(spark, sf_dir, "documents")))
 
@@ -38,12 +50,20 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.report(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op6_ngram_join": op6_ngram_join,
+    "op7_url_filters": op7_url_filters,
     "op8_pii_scan": op8_pii_scan,
     "op9_token_files": op9_token_files,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL}
