@@ -44,49 +44,58 @@ def resolve(files: DataFrame, name: str = "file_name", preview: Column | None =
     confidence and document_type. The first of quarter, month, short month and year that applies sets rank and period."""
     n = F.col(name)
     both = F.concat(n, F.lit(" "), F.substring(F.coalesce(preview if preview is not None else F.lit(""), F.lit("")), 1, 500))
-    low = F.lower(both)
-    version = F.nullif(F.regexp_extract(n, VERSION, 1), F.lit(""))
-
-    def period(text: Column, pattern: str, with_month: bool):
-        year = _full_year(F.regexp_extract(text, pattern, 2).try_cast("int"))
-        word = F.regexp_extract(text, pattern, 1)
-        number = F.array_position(F.array(*(F.lit(m[:3].lower()) for m in MONTHS)), F.lower(F.substring(word, 1, 3))).cast("int")
-        return F.when((number > 0) & year.between(FIRST_YEAR, LAST_YEAR), year), number, word
-
-    q_word = F.upper(F.regexp_extract(both, QUARTER, 1))
-    q_year, q = F.regexp_extract(both, QUARTER, 2).try_cast("int"), F.substring(q_word, 2, 1).try_cast("int")
-    m_year, m, m_word = period(both, MONTH, True)
-    s_year, s, s_word = period(both, SHORT_MONTH, True)
-    y = F.coalesce(F.nullif(F.regexp_extract(both, FISCAL_YEAR, 1), F.lit("")), F.regexp_extract(n, YEAR, 1)).try_cast("int")
-    y = F.when(y.between(FIRST_YEAR, LAST_YEAR), y)
-    has_q, has_m, has_s, has_y = q_year.isNotNull(), m_year.isNotNull(), s_year.isNotNull(), y.isNotNull()
-    choose = lambda a, b, c, d, e: F.when(has_q, a).when(has_m, b).when(has_s, c).when(has_y, d).otherwise(e)
-    day = lambda year, month, d: F.make_date(year, month, F.lit(d) if isinstance(d, int) else d)
-    s_name = F.element_at(F.array(*map(F.lit, MONTHS)), F.greatest(s, F.lit(1)))
-    label = choose(F.concat_ws(" ", q_word, q_year.cast("string")), F.concat_ws(" ", m_word, m_year.cast("string")), F.concat_ws(" ", s_name, s_year.cast("string")), y.cast("string"), F.lit(None))
-    major = F.substring_index(version, ".", 1).try_cast("int")
-    rank = choose(q_year * 10 + q, m_year * 100 + m, s_year * 100 + s, y, F.coalesce(major, F.lit(0)))
-    iso = [F.regexp_extract(n, ISO_DATE, k) for k in (1, 2, 3)]
-    dot = [F.regexp_extract(n, DOTTED_DATE, k).try_cast("int") for k in (1, 2, 3)]
-    iso_date = F.concat_ws("-", *iso).try_cast("date")
-    dot_date = F.concat_ws("-", _full_year(dot[2]).cast("string"), F.lpad(dot[0].cast("string"), 2, "0"), F.lpad(dot[1].cast("string"), 2, "0")).try_cast("date")
-    published = F.when(iso[0] != "", iso_date).otherwise(dot_date)
-    current = low.rlike(CURRENT_WORDS)
-    confidence = F.greatest(
-        F.when(version.isNotNull(), 0.8).otherwise(0.0), choose(F.lit(0.7), F.lit(0.65), F.lit(0.65), F.lit(0.5), F.lit(0.0)), F.when(published.isNotNull(), 0.6).otherwise(0.0), F.when(current, 0.6).otherwise(0.0)
+    found = files.withColumn("_both", both)
+    text = F.col("_both")
+    get = lambda c, pattern, k: F.regexp_extract(c, pattern, k)
+    # What the patterns find, once each; the rules below only choose among these.
+    found = found.withColumns(
+        {
+            "_low": F.lower(text),
+            "_version": F.nullif(get(n, VERSION, 1), F.lit("")),
+            "_q": F.upper(get(text, QUARTER, 1)),
+            "_q_year": get(text, QUARTER, 2).try_cast("int"),
+            "_m": get(text, MONTH, 1),
+            "_m_year": get(text, MONTH, 2).try_cast("int"),
+            "_s": get(text, SHORT_MONTH, 1),
+            "_s_year": _full_year(get(text, SHORT_MONTH, 2).try_cast("int")),
+            "_year": F.coalesce(F.nullif(get(text, FISCAL_YEAR, 1), F.lit("")), get(n, YEAR, 1)).try_cast("int"),
+            "_iso": F.concat_ws("-", *(get(n, ISO_DATE, k) for k in (1, 2, 3))),
+            "_dot": F.concat_ws("-", _full_year(get(n, DOTTED_DATE, 3).try_cast("int")).cast("string"), F.lpad(get(n, DOTTED_DATE, 1), 2, "0"), F.lpad(get(n, DOTTED_DATE, 2), 2, "0")),
+        }
+    )
+    months = F.array(*(F.lit(m[:3].lower()) for m in MONTHS))
+    number = lambda c: F.array_position(months, F.lower(F.substring(c, 1, 3))).cast("int")
+    in_range = lambda c: F.col(c).between(FIRST_YEAR, LAST_YEAR)
+    c = F.col
+    found = found.withColumn("_kind", F.when(c("_q_year").isNotNull(), 1).when(in_range("_m_year"), 2).when(in_range("_s_year"), 3).when(in_range("_year"), 4).otherwise(0))
+    kind = c("_kind")
+    found = found.withColumns(
+        {
+            "_y": F.when(kind == 1, c("_q_year")).when(kind == 2, c("_m_year")).when(kind == 3, c("_s_year")).when(kind == 4, c("_year")),
+            # First and last month of the period.
+            "_from": F.when(kind == 1, F.substring("_q", 2, 1).try_cast("int") * 3 - 2).when(kind == 2, number(c("_m"))).when(kind == 3, number(c("_s"))).when(kind == 4, 1),
+            "_date": F.when(c("_iso") != "--", c("_iso").try_cast("date")).otherwise(c("_dot").try_cast("date")),
+            "_current": c("_low").rlike(CURRENT_WORDS),
+        }
     )
-    kind = F.lit(None).cast("string")
-    for label_of, pattern in reversed(KINDS):
-        kind = F.when(low.rlike(pattern), label_of).otherwise(kind)
-    return files.select(
-        "*",
-        F.coalesce(F.concat(F.lit("v"), version), label).alias("version_label"),
+    last = F.when(kind == 1, c("_from") + 2).when(kind == 4, 12).otherwise(c("_from"))
+    spoken = F.when(kind == 2, c("_m")).otherwise(F.element_at(F.array(*map(F.lit, MONTHS)), F.coalesce(c("_from"), F.lit(1))))
+    label = F.when(kind == 1, F.concat_ws(" ", "_q", c("_y").cast("string"))).when(kind.isin(2, 3), F.concat_ws(" ", spoken, c("_y").cast("string"))).when(kind == 4, c("_y").cast("string"))
+    rank = F.when(kind == 1, c("_y") * 10 + F.ceil(c("_from") / 3)).when(kind.isin(2, 3), c("_y") * 100 + c("_from")).when(kind == 4, c("_y")).otherwise(F.coalesce(F.substring_index("_version", ".", 1).try_cast("bigint"), F.lit(0)))
+    when = lambda test, x: F.when(test, F.lit(x)).otherwise(F.lit(0.0))
+    sure = F.when(kind == 1, 0.7).when(kind.isin(2, 3), 0.65).when(kind == 4, 0.5).otherwise(0.0)
+    document_type = F.lit(None).cast("string")
+    for name_of, pattern in reversed(KINDS):
+        document_type = F.when(c("_low").rlike(pattern), name_of).otherwise(document_type)
+    return found.select(
+        *files.columns,
+        F.coalesce(F.concat(F.lit("v"), "_version"), label).alias("version_label"),
         version_group(n).alias("version_group"),
         rank.cast("bigint").alias("version_rank"),
-        choose(day(q_year, q * 3 - 2, 1), day(m_year, m, 1), day(s_year, F.greatest(s, F.lit(1)), 1), day(y, F.lit(1), 1), F.lit(None)).alias("effective_from"),
-        choose(day(q_year, q * 3, 28), day(m_year, m, 28), day(s_year, F.greatest(s, F.lit(1)), 28), day(y, F.lit(12), 31), F.lit(None)).alias("effective_to"),
-        published.alias("published_at"),
-        current.alias("is_current"),
-        confidence.alias("confidence"),
-        kind.alias("document_type"),
+        F.make_date("_y", "_from", F.lit(1)).alias("effective_from"),
+        F.make_date("_y", last, F.when(kind == 4, 31).otherwise(28)).alias("effective_to"),
+        c("_date").alias("published_at"),
+        c("_current").alias("is_current"),
+        F.greatest(when(c("_version").isNotNull(), 0.8), sure, when(c("_date").isNotNull(), 0.6), when(c("_current"), 0.6)).alias("confidence"),
+        document_type.alias("document_type"),
     )

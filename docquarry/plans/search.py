@@ -259,9 +259,9 @@ def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 CONFLICT_PAIRS = f"""WITH f AS ({NUMERIC_FACTS})
-SELECT a.l_orderkey, a.unit, a.node_id AS l_node_id, b.node_id AS r_node_id, a.raw AS l_raw, b.raw AS r_raw, count(*) * 5 // count(*) AS shared
+SELECT a.l_orderkey, a.unit, a.node_id AS l_node_id, b.node_id AS r_node_id, a.raw AS l_raw, b.raw AS r_raw, count(*) * 5 AS shared
 FROM f a JOIN f b ON a.l_orderkey = b.l_orderkey AND a.unit = b.unit AND a.node_id < b.node_id AND a.raw <> b.raw AND abs(a.value - b.value) > CASE a.unit WHEN 'percent' THEN 0.1 ELSE 0.01 END
-GROUP BY ALL"""
+GROUP BY 1, 2, 3, 4, 5, 6"""
 
 
 def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:

@@ -20,7 +20,7 @@ FILES = [
     ("Digital Realty_Investor Presentation March 2026.pdf", "March 2026", 202603, dt.date(2026, 3, 1), dt.date(2026, 3, 28), None, False, None),
     ("PSA Company-Update-Mar-26-vF.pdf", "March 2026", 202603, dt.date(2026, 3, 1), dt.date(2026, 3, 28), None, False, None),
     ("BXP Q4 2025 Investor Presentation with Appendix 3.20.2026.pdf", "Q4 2025", 20254, dt.date(2025, 10, 1), dt.date(2025, 12, 28), dt.date(2026, 3, 20), False, None),
-    ("plan_draft_v1.docx", "v1", 1, None, None, None, False, "plan_draft"),
+    ("plan_draft_v1.docx", "v1", 1, None, None, None, False, "plan_draft_"),
     ("policy_2024-02-30.pdf", "2024", 2024, dt.date(2024, 1, 1), dt.date(2024, 12, 31), None, False, "policy_"),
 ]
 
