@@ -53,7 +53,7 @@ def version_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 VERSION_RESOLVE = rf"""WITH {S.FILES_SQL}, p AS (SELECT f.*, o_orderkey % 6 AS k, year(o_orderdate) + 25 AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m, lower(substr(o_orderpriority, 3, 20)) AS g, o_orderdate FROM files f JOIN orders ON o_orderkey = file_id)
 SELECT file_id, file_name, CASE k WHEN 0 THEN 'v3' WHEN 1 THEN 'v2.1' WHEN 2 THEN strftime(o_orderdate, '%B') || ' ' || y WHEN 3 THEN y::VARCHAR WHEN 4 THEN y::VARCHAR ELSE 'v1' END AS version_label,
- CASE k WHEN 0 THEN 'report_' || replace(g, ' ', '_') WHEN 1 THEN 'policy_final_' || replace(replace(g, ' ', '_'), '-', '_') WHEN 2 THEN 'company_update_vf' WHEN 3 THEN 'budget_fy' || y WHEN 4 THEN 'policy_' ELSE 'plan_draft_' || replace(g, ' ', '_') END AS version_group,
+ CASE k WHEN 0 THEN 'report_' || replace(g, ' ', '_') || '_' WHEN 1 THEN 'policy_final_' || replace(replace(g, ' ', '_'), '-', '_') WHEN 2 THEN 'company_update_vf' WHEN 3 THEN 'budget_fy' || y WHEN 4 THEN 'policy_' ELSE 'plan_draft_' || replace(g, ' ', '_') END AS version_group,
  CASE k WHEN 0 THEN y * 10 + q WHEN 1 THEN 2 WHEN 2 THEN y * 100 + m WHEN 3 THEN y WHEN 4 THEN y ELSE 1 END::BIGINT AS version_rank,
  CASE k WHEN 0 THEN make_date(y, q * 3 - 2, 1) WHEN 2 THEN make_date(y, m, 1) WHEN 3 THEN make_date(y, 1, 1) WHEN 4 THEN make_date(y, 1, 1) END AS effective_from,
  CASE k WHEN 0 THEN make_date(y, q * 3, 28) WHEN 2 THEN make_date(y, m, 28) WHEN 3 THEN make_date(y, 12, 31) WHEN 4 THEN make_date(y, 12, 31) END AS effective_to,

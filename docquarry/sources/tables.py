@@ -92,7 +92,7 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format("o_orderdate", "dd")
     group = F.lower(F.substring("o_orderpriority", 3, 20))
     name = (
-        F.when(key % 6 == 0, F.concat(F.lit("report_"), group, F.lit("_Q"), quarter, F.lit(" "), year, F.lit("_v3.pdf")))
+        F.when(key % 6 == 0, F.concat(F.lit("report_"), group, F.lit(" Q"), quarter, F.lit(" "), year, F.lit("_v3.pdf")))
         .when(key % 6 == 1, F.concat(F.lit("policy_v2.1_final_"), group, F.lit(".pdf")))
         .when(key % 6 == 2, F.concat(F.lit("Company-Update-"), short, F.lit("-"), F.substring(year, 3, 2), F.lit("-vF.pdf")))
         .when(key % 6 == 3, F.concat(F.lit("budget_FY"), year, F.lit(".pdf")))
@@ -104,7 +104,7 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FILES_SQL = """files AS (
   SELECT o_orderkey AS file_id, o_custkey AS client_id, o_orderdate AS created_at, CASE o_orderkey % 6
-    WHEN 0 THEN 'report_' || lower(substr(o_orderpriority, 3, 20)) || '_Q' || quarter(o_orderdate) || ' ' || (year(o_orderdate) + 25) || '_v3.pdf'
+    WHEN 0 THEN 'report_' || lower(substr(o_orderpriority, 3, 20)) || ' Q' || quarter(o_orderdate) || ' ' || (year(o_orderdate) + 25) || '_v3.pdf'
     WHEN 1 THEN 'policy_v2.1_final_' || lower(substr(o_orderpriority, 3, 20)) || '.pdf'
     WHEN 2 THEN 'Company-Update-' || strftime(o_orderdate, '%b') || '-' || substr((year(o_orderdate) + 25)::VARCHAR, 3, 2) || '-vF.pdf'
     WHEN 3 THEN 'budget_FY' || (year(o_orderdate) + 25) || '.pdf'
