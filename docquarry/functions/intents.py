@@ -45,6 +45,28 @@ BALANCED = (
     "different", "both", "each", "across", "sectors", "represented", "for each", "each company", "each issuer", "per company",
     "per issuer", "all companies", "all issuers",
 )
+EXPANSION = (
+    "compare", "comparison", "difference", "differences", "change", "changed", "changes", "current version", "older version",
+    "previous version", "latest", "conflict", "conflicting", "contradict", "trend", "trends", "summarize", "summary", "across",
+    "over time", "chart", "charts", "graph", "graphs", "map", "maps", "table", "tables", "figure", "figures", "diagram", "image",
+    "screenshot", "largest", "ranked", "ranking", "tenant", "markets", "regions", "asset list", "property list", "named assets",
+    "named properties", "property names",
+)
+FOLLOW_UP_PHRASES = (
+    "what about", "how about", "compare that", "compare it", "vs that", "versus that", "previous one", "earlier one", "same one",
+    "that one",
+)
+FOLLOW_UP_WORDS = (
+    "it", "its", "that", "those", "this", "these", "they", "them", "previous", "earlier", "prior", "same", "above", "latter", "former",
+)
+NO_ENTITY = (
+    "investor", "presentation", "update", "report", "annual", "supplemental", "earnings", "results", "slides", "deck", "summary",
+    "overview", "analysis", "merger", "acquisition", "pro", "forma", "combined", "session", "morning", "appendix", "roadshow", "web",
+    "vf", "resize", "final", "company", "q1", "q2", "q3", "q4", "fy", "ytd", "h1", "h2", "jan", "feb", "mar", "apr", "may", "jun",
+    "jul", "aug", "sep", "oct", "nov", "dec", "january", "february", "march", "april", "june", "july", "august", "september",
+    "october", "november", "december", "the", "and", "for", "of", "in", "a", "an", "to", "by", "at", "with", "inc", "llc", "corp",
+    "ltd", "co", "plc", "trust", "fund", "reit", "group", "properties", "capital", "impact", "brick", "mortar", "shopping",
+)
 LABELS = ("temporal_delta", "stale_source", "caveat_inconsistency", "outlook_scope", "balanced_scope", "multi_version_lookup", "visual_detail", "corpus_wide_scope")
 
 
@@ -77,3 +99,32 @@ def labels(question: Column) -> Column:
     """Names of the labels that apply, in order."""
     found = tests(question)
     return F.filter(F.array(*(F.when(found[name], F.lit(name)) for name in LABELS)), lambda x: x.isNotNull())
+
+
+def expands(question: Column, has_history: Column | None = None) -> Column:
+    """Whether a question is broad enough to be rewritten, or follows up on one before it."""
+    q = F.lower(F.coalesce(question, F.lit("")))
+    words = F.regexp_extract_all(q, F.lit("[a-z0-9']+"), F.lit(0))
+    follows = contains_any(q, FOLLOW_UP_PHRASES) | ((F.size(words) <= 10) & F.arrays_overlap(words, F.array(*map(F.lit, FOLLOW_UP_WORDS))))
+    return contains_any(q, EXPANSION) | (F.coalesce(has_history, F.lit(False)) & follows if has_history is not None else F.lit(False))
+
+
+def entity_words(name: Column) -> Column:
+    """The first three words of a file's name that may name its issuer."""
+    stem = F.regexp_replace(F.regexp_replace(name, r"\.[a-zA-Z0-9]{2,5}$", ""), r"\([^)]*\)", " ")
+    words = F.split(F.trim(F.lower(F.regexp_replace(stem, r"[_\-.\s]+", " "))), " ")
+    return F.slice(F.filter(words, lambda w: w.rlike("[a-z]") & ~w.isin(*NO_ENTITY)), 1, 3)
+
+
+def companions(question: Column) -> Column:
+    """Further queries for the labels that apply, in order, without repeats, six at most."""
+    t = tests(question)
+    add = lambda label, *tails: [F.when(t[label], F.concat_ws(" ", question, F.lit(x))) for x in tails]
+    made = [
+        *add("caveat_inconsistency", "footnote as of date caveat inconsistency", "headline appendix table same metric", "definition scope qualifier basis"),
+        *add("outlook_scope", "guidance outlook pro forma merger acquisition", "neutral accretive stabilization standalone", "prior year presentation historical baseline estimate"),
+        *add("visual_detail", "map figure table labels percentages", "ranked list portfolio breakdown"),
+        F.when(t["corpus_wide_scope"], F.concat(F.lit("investor presentation overview highlights: "), question)),
+        F.when(t["corpus_wide_scope"], F.concat(F.lit("financial metrics key statistics strategy: "), question)),
+    ]
+    return F.slice(F.array_distinct(F.filter(F.array(*made), lambda x: x.isNotNull())), 1, 6)

@@ -212,3 +212,38 @@ def subjects(question: Column) -> Column:
     """Names of metrics that a question may be about."""
     words = F.regexp_extract_all(F.lower(question), F.lit("[a-z][a-z-]+"), F.lit(0))
     return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= 4), singular))
+
+
+#: Words of questions that carry no content, phrases of breakdowns, and kinds of chunk that sum up.
+QUERY_STOPWORDS = (
+    "about", "according", "across", "after", "among", "and", "are", "between", "company", "companies", "does", "each", "from", "have",
+    "into", "is", "its", "of", "per", "reit", "reits", "show", "shown", "the", "their", "these", "this", "what", "which", "who", "with",
+)
+BREAKDOWNS = ("top customers", "customer type", "% by arr", "annualized recurring revenue", "locations", "location", "rank", "investment grade")
+SUMMARY_CHUNKS = ("page_card", "visual_proxy_text", "chart_context", "chart_data_points", "figure_artifact", "full_table", "table_segment", "table_summary_text")
+COUNT_TERMS = ("how many", "number of", "count", "total")
+
+
+def content_terms(question: Column) -> Column:
+    words = F.regexp_extract_all(F.lower(question), F.lit("[a-z][a-z0-9-]+"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*QUERY_STOPWORDS)))
+
+
+def overlap_adjustment(question: Column, described: Column) -> Column:
+    """What it adds that a chunk's description holds the question's terms; terms count as substrings."""
+    terms_of, low = content_terms(question), F.lower(described)
+    share = F.size(F.filter(terms_of, lambda t: low.contains(t))) / F.size(terms_of)
+    return F.when(F.size(terms_of) >= 2, F.when(share >= 0.6, 0.08).when(share >= 0.35, 0.05).when(share >= 0.2, 0.025).otherwise(0.0)).otherwise(F.lit(0.0))
+
+
+def breakdown_adjustment(text: Column, chunk_type: Column, direct: Column) -> Column:
+    """For questions that count: texts that state the metric gain, breakdowns of it lose."""
+    low = F.lower(text)
+    gain = F.when(direct, F.lit(0.34) + F.when(chunk_type == "body_text", 0.12).otherwise(0.0) - F.when(low.contains("global customers"), 0.06).otherwise(0.0)).otherwise(F.lit(0.0))
+    return gain - F.when(contains_any(low, BREAKDOWNS), F.when(chunk_type.isin(*SUMMARY_CHUNKS), 0.22).otherwise(0.12)).otherwise(F.lit(0.0))
+
+
+def rank_depth(conflict: Column, corpus: Column, diverse: Column, comparative: Column, top_k: int = 15) -> Column:
+    """How many ranked rows a question keeps."""
+    deep = lambda more, least: F.lit(max(top_k + more, least))
+    return F.when(conflict, deep(8, 20)).when(corpus, deep(30, 50)).when(diverse, deep(25, 40)).when(comparative, deep(8, 20)).otherwise(F.lit(top_k)).cast("bigint")

@@ -3,9 +3,9 @@
 import oracle
 import pytest
 
-from docquarry.plans import documents, logs, search
+from docquarry.plans import documents, layout, logs, search
 
-QUERIES = {name: (query, module.ORACLES[name]) for module in (search, logs, documents) for name, query in module.QUERIES.items()}
+QUERIES = {name: (query, module.ORACLES[name]) for module in (search, logs, documents, layout) for name, query in module.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
