@@ -1,0 +1,73 @@
+"""Evidence for each question as an ordered series of rules, each of which may replace rows from the tail.
+
+The rules depend on what those before them kept, so a question's ranked rows (a few dozen) are handled together; questions
+are spread over tasks. Where only one quota is wanted, ``retrieval.with_quota`` does it by window.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+@dataclass(frozen=True)
+class Quota:
+    """Hold ``each`` rows of the first ``groups`` values of ``by`` for questions with ``label`` (any question if empty)."""
+
+    by: str
+    groups: int
+    each: int
+    label: str = ""
+
+
+#: Quotas in the order in which they apply.
+RULES = (
+    Quota("document", 2, 5, "temporal_delta"),
+    Quota("document", 2, 2, "outlook_scope"),
+    Quota("page", 6, 1, "caveat_inconsistency"),
+    Quota("version", 2, 4, "multi_version_lookup"),
+    Quota("document", 7, 2, "balanced_scope"),
+    Quota("document", 20, 1, "corpus_wide_scope"),
+)
+
+
+def _hold(chosen: list[int], rows: pd.DataFrame, rule: Quota, cap: int) -> list[int]:
+    """Positions of the rows chosen after a quota: missing rows are added, in place of the last row of a group with rows to spare."""
+    value = rows[rule.by].tolist()
+    targets = list(dict.fromkeys(value))[: rule.groups]
+    for target in targets:
+        waiting = [i for i in range(len(rows)) if value[i] == target and i not in chosen]
+        while waiting and sum(value[i] == target for i in chosen) < rule.each:
+            new = waiting.pop(0)
+            if len(chosen) < cap:
+                chosen.append(new)
+                continue
+            held = pd.Series([value[i] for i in chosen]).value_counts()
+            spare = [k for k, i in enumerate(chosen) if value[i] != target and (value[i] not in targets or held[value[i]] > rule.each)]
+            if not spare:
+                break
+            chosen[spare[-1]] = new
+    return chosen
+
+
+def select_evidence(ranked: DataFrame, rules: tuple[Quota, ...] = RULES) -> DataFrame:
+    """(qid, node_id, place) from ranked rows: qid, node_id, rank, labels (comma-joined), cap, document, page, version."""
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["rank", "node_id"]).reset_index(drop=True)
+        labels, cap = set((rows["labels"].iloc[0] or "").split(",")), int(rows["cap"].iloc[0])
+        if "balanced_scope" in labels:  # one of each document first
+            first = rows.index[~rows["document"].duplicated()].tolist()
+            order = first + [i for i in rows.index if i not in set(first)]
+        else:
+            order = rows.index.tolist()
+        chosen = order[:cap]
+        for rule in rules:
+            if not rule.label or rule.label in labels:
+                chosen = _hold(chosen, rows, rule, cap)
+        kept = rows.loc[chosen]
+        return pd.DataFrame({"qid": kept["qid"].to_numpy(), "node_id": kept["node_id"].to_numpy(), "place": range(1, len(kept) + 1)})
+
+    return ranked.groupBy("qid").applyInPandas(choose, "qid bigint, node_id bigint, place bigint")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intents, text as T
-from ..operators import evaluation as E, facts as X, retrieval as V
+from ..operators import evaluation as E, evidence, facts as X, retrieval as V
 from ..sources import tables as S
 
 NOW = "2024-07-01"
@@ -190,6 +190,13 @@ NUMERIC_FIRST = rf"""WITH {RERANKED}, n AS (SELECT *, len(regexp_extract_all(coa
 SELECT qid, node_id, plain, row_number() OVER (PARTITION BY qid ORDER BY plain, n.rank) AS rank FROM n"""
 
 
+def evidence_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """All rules on the ranked rows of each question; a series of replacements, so there is no SQL for it."""
+    labels = F.when(F.col("qid") % 3 == 0, "balanced_scope").when(F.col("qid") % 3 == 1, "corpus_wide_scope").otherwise("multi_version_lookup")
+    rows = reranked(spark, d).withColumns({"labels": labels, "cap": F.lit(8), "document": F.col("client_id"), "page": F.col("page_num").cast("string"), "version": F.col("version_rank").cast("string")})
+    return evidence.select_evidence(rows.select("qid", "node_id", "rank", "labels", "cap", "document", "page", "version"))
+
+
 def chunk_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """Histogram of kinds and documents among ranked candidates of each question."""
     rows = reranked(spark, d)
@@ -299,7 +306,7 @@ QUERIES = {
     "tenant_filter_search": tenant_filter_search, "hybrid_fusion": hybrid_fusion, "rrf_fusion": fused, "temporal_context": temporal_context,
     "temporal_adjustment": temporal_adjustment, "structural_adjustment": structural_adjustment, "rerank_topk": rerank_topk,
     "evidence_diverse": evidence_diverse, "evidence_quota": evidence_quota, "evidence_numeric_first": evidence_numeric_first,
-    "chunk_diagnostics": chunk_diagnostics, "intent_labels": intent_labels, "query_dedupe": query_dedupe, "numeric_facts": numeric_facts,
+    "evidence_pipeline": evidence_pipeline, "chunk_diagnostics": chunk_diagnostics, "intent_labels": intent_labels, "query_dedupe": query_dedupe, "numeric_facts": numeric_facts,
     "conflict_pairs": conflict_pairs, "retrieval_eval": retrieval_eval, "factuality_rollup": factuality_rollup,
 }
 ORACLES = {

@@ -5,7 +5,7 @@ import pytest
 
 from docquarry.plans import documents, layout, logs, search
 
-QUERIES = {name: (query, module.ORACLES[name]) for module in (search, logs, documents, layout) for name, query in module.QUERIES.items()}
+QUERIES = {name: (query, module.ORACLES[name]) for module in (search, logs, documents, layout) for name, query in module.QUERIES.items() if name in module.ORACLES}
 
 
 @pytest.fixture(scope="module")
@@ -24,3 +24,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_evidence_pipeline_keeps_caps_and_ranked_rows(spark, small):
+    rows = search.evidence_pipeline(spark, small).toPandas()
+    ranked = {(r.qid, r.node_id) for r in search.rerank_topk(spark, small).collect()}
+    assert set(zip(rows.qid, rows.node_id)) <= ranked and rows.groupby("qid").size().max() <= 8
+    assert not rows.duplicated(["qid", "node_id"]).any()
