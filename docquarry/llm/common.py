@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed value: the ASCII white space that separates words, as a regular expression class.
-SPACE = r"[\x20\x09-\x0D]"
+#: Bits of a bitmap of marked keys (1 MB at any size of the input); what it marks by chance is settled by a join.
+MARK_BITS = 1 << 23
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,3 +45,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def broadcast_if_small(small: DataFrame, rows: int, limit: int = 50_000) -> DataFrame:
     """Hint a broadcast when the counted ``rows`` are within ``limit``; beyond it Spark shuffles and splits skewed keys."""
     return F.broadcast(small) if rows <= limit else small
+
+
+def marks(keys: DataFrame) -> np.ndarray:
+    """A bitmap with a bit set for each row of ``keys``; the driver gets MARK_BITS bits."""
+    slot = f"cast(pmod(xxhash64({', '.join(f'`{c}`' for c in keys.columns)}), {MARK_BITS}) as int)"
+    rows = keys.selectExpr(f"{slot} div 32 AS w", f"shiftleft(1L, {slot} % 32) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = np.zeros(MARK_BITS // 32, np.uint64)
+    words[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.uint64)
+    return words
+
+
+def with_mark(rows: DataFrame, columns: list[str], bitmap: np.ndarray, marked: bool) -> DataFrame:
+    """The rows whose key is marked (or not marked); no shuffle. A key that was put into the bitmap is always marked."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    named = ", ".join(f"`{c}`" for c in columns)
+    slotted = rows.withColumn("_slot", F.expr(f"cast(pmod(xxhash64({named}), {MARK_BITS}) as int)"))
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(batch.num_columns - 1).to_numpy()
+            bit = ((shared.value[slot // 32] >> (slot % 32).astype(np.uint64)) & np.uint64(1)).astype(bool)
+            out = batch.filter(pa.array(bit == marked))
+            yield out.select(list(range(batch.num_columns - 1)))
+
+    return slotted.mapInArrow(per_task, rows.schema)

@@ -71,80 +71,88 @@ class DigestIndex:
         return self.spark.read.parquet(f"{self.path}/compacted").join(digests, "digest", "left_semi")
 
 
-def _verified(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """(digest, doc_id, n_chars, same) of every row whose digest is shared: whether its bytes equal those of the row that stays.
-
-    ``texts`` has digest, doc_id, n_chars, body. Both sides come from tables and are shuffled on the digest alone, so a hot
-    digest's rows are split over tasks.
-    """
-    hits = texts.join(shared.select("digest"), "digest", "left_semi")
-    stays = shared.select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.minus_chars")).alias("keep_chars"))
-    # The row that stays, once (rows alike in doc_id and text are many only as such).
-    kept = (
-        texts.withColumnRenamed("doc_id", "id")
-        .withColumnRenamed("digest", "d")
-        .join(stays, (F.col("d") == F.col("digest")) & F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
-        .select(F.col("d").alias("digest"), F.col("body").alias("keep_body"))
-    )
-    kept = common.stage(kept.groupBy("digest").agg(F.min("keep_body").alias("keep_body")), "kept-texts")
-    return hits.join(kept, "digest").select("digest", "doc_id", "n_chars", (F.col("body") == F.col("keep_body")).alias("same"))
+def _texts(documents: DataFrame, bits: int) -> DataFrame:
+    """(digest, doc_id, n_chars, body) of every row."""
+    text = F.col("text")
+    n_chars = F.length(F.coalesce(text, F.lit(""))).cast("bigint")
+    return documents.select(digest_of(text, bits).alias("digest"), "doc_id", n_chars.alias("n_chars"), normalised(text).alias("body"))
 
 
-def groups(documents: DataFrame, bits: int = 256) -> DataFrame:
-    """One row for each row of ``documents``: doc_id, n_chars, digest (of ``bits``), body_no (null, or the SHA-256 of bytes that a
-    shared digest did not settle), keep_id, keep_chars, group_size, kept."""
-    spark = documents.sparkSession
-    text = F.col("text")
-    source = documents.select("doc_id", "text")
-    index = DigestIndex(spark)
-    index.flush(source.select("doc_id", digest_of(text, bits).alias("digest"), F.length(F.coalesce(text, F.lit(""))).cast("bigint").alias("n_chars")))
-    merged = index.compact()
+def _verified(texts: DataFrame, shared: DataFrame) -> DataFrame:
+    """(digest, same) of every row whose digest is shared: whether its bytes equal those of the row that stays.
 
-    texts = source.select(
-        digest_of(text, bits).alias("digest"), "doc_id", F.length(F.coalesce(text, F.lit(""))).cast("bigint").alias("n_chars"), normalised(text).alias("body")
-    )
-    checked = common.stage(_verified(texts, merged.where("n > 1")), "verified")
-    rows = index.rows().select("digest", "best")
-    if checked.where(~F.col("same")).isEmpty():
-        return _result(rows.join(merged.withColumnRenamed("best", "top"), "digest").withColumn("body_no", F.lit(None).cast("string")))
-
-    # Digests that hold more than one text: their groups go by the bytes.
-    mixed = checked.where(~F.col("same")).select("digest").distinct()
-    apart = texts.join(mixed, "digest", "left_semi").select("digest", _order().alias("best"), "body")
-    tops = apart.groupBy("digest", "body").agg(F.min("best").alias("top"), F.count("*").alias("n"))
-    resolved = common.stage(apart, "apart").join(common.stage(tops, "tops"), ["digest", "body"]).withColumn("body_no", F.sha2("body", 256))
-    plain = rows.join(merged.withColumnRenamed("best", "top"), "digest").join(mixed, "digest", "left_anti").withColumn("body_no", F.lit(None).cast("string"))
-    columns = ["digest", "best", "top", "n", "body_no"]
-    return _result(plain.select(columns).unionByName(resolved.select(columns)))
-
-
-def _result(rows: DataFrame) -> DataFrame:
-    """Number rows that are alike in everything; of those that stay only the first does."""
-    alike = rows.groupBy("digest", "body_no", "best", "top", "n").agg(F.count("*").alias("copies"))
-    each = alike.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return each.select(
+    ``texts`` holds rows of shared digests, and by chance some others, which the joins drop. Both sides of the last join are
+    tables that are shuffled for it alone, so a hot digest's rows are split over tasks.
+    """
+    stays = shared.select(F.col("digest").alias("d"), F.col("best.doc_id").alias("keep_id"), (-F.col("best.minus_chars")).alias("keep_chars"))
+    match = (F.col("d") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
+    kept = texts.join(stays, match).groupBy("digest").agg(F.min("body").alias("keep_body"))
+    kept = common.stage(kept, "kept-texts")
+    return texts.join(kept, "digest").select("digest", (F.col("body") == F.col("keep_body")).alias("same"))
+
+
+class Groups:
+    """Groups of equal texts: ``rows`` has digest, body_no, best, top, n for each document; ``stays`` one row for each group
+    with copies (rows alike in doc_id and text), ``shared`` marks the digests of groups with more than one row."""
+
+    def __init__(self, documents: DataFrame, bits: int = 256):
+        spark = documents.sparkSession
+        text = F.col("text")
+        index = DigestIndex(spark)
+        n_chars = F.length(F.coalesce(text, F.lit(""))).cast("bigint")
+        index.flush(documents.select("doc_id", digest_of(text, bits).alias("digest"), n_chars.alias("n_chars")))
+        merged = index.compact()
+        self.shared = common.marks(merged.where("n > 1").select("digest"))
+        texts = common.with_mark(_texts(documents, bits), ["digest"], self.shared, True)
+        checked = common.stage(_verified(texts, merged.where("n > 1")), "verified")
+        rows, merged = index.rows().select("digest", "best"), merged.withColumnRenamed("best", "top")
+        no_body = F.lit(None).cast("string").alias("body_no")
+        columns = ["digest", "body_no", "best", "top", "n"]
+        if checked.where("not same").isEmpty():
+            self.rows = rows.join(merged, "digest").select("digest", no_body, "best", "top", "n")
+            tops = rows.join(merged, (rows["digest"] == merged["digest"]) & (rows["best"] == merged["top"])).select(rows["digest"], no_body, "best", "top", "n")
+        else:
+            # Digests that hold more than one text: their groups go by the bytes.
+            mixed = common.stage(checked.where("not same").select("digest").distinct(), "mixed")
+            apart = common.stage(texts.join(mixed, "digest", "left_semi").select("digest", _order().alias("best"), "body"), "apart")
+            found = common.stage(apart.groupBy("digest", "body").agg(F.min("best").alias("top"), F.count("*").alias("n")), "tops")
+            resolved = apart.join(found, ["digest", "body"]).withColumn("body_no", F.sha2("body", 256)).select(columns)
+            plain = rows.join(merged, "digest").join(mixed, "digest", "left_anti").withColumn("body_no", F.lit(None).cast("string"))
+            self.rows = common.stage(plain.select(columns).unionByName(resolved), "grouped")
+            tops = self.rows.where("best = top")
+        self.stays = common.stage(tops.groupBy(*columns).agg(F.count("*").alias("copies")), "stays")
+
+
+def _public(rows: DataFrame, kept) -> DataFrame:
+    return rows.select(
         F.col("best.doc_id").alias("doc_id"),
-        (-F.col("best.minus_chars")).alias("n_chars"),
-        "digest",
-        "body_no",
         F.col("top.doc_id").alias("keep_id"),
-        (-F.col("top.minus_chars")).alias("keep_chars"),
         F.col("n").alias("group_size"),
-        ((F.col("best") == F.col("top")) & (F.col("copy") == 1)).alias("kept"),
+        kept.alias("kept"),
+        F.coalesce("body_no", "digest").alias("text_sha256"),
     )
 
 
-def report(documents: DataFrame) -> DataFrame:
-    """The contract's columns: doc_id, keep_id, group_size, kept, text_sha256."""
-    return groups(documents).select("doc_id", "keep_id", "group_size", "kept", F.coalesce("body_no", "digest").alias("text_sha256"))
+def report(documents: DataFrame, bits: int = 256) -> DataFrame:
+    """One row for each row of ``documents``: doc_id, keep_id, group_size, kept, text_sha256 (the digest of ``bits`` when fewer)."""
+    groups = Groups(documents, bits)
+    gone = _public(groups.rows.where("best <> top"), F.lit(False))
+    stays = groups.stays.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
+    return gone.unionByName(_public(stays, F.col("copy") == 1))
 
 
 def dedup(documents: DataFrame) -> DataFrame:
-    """``documents`` with one row of each group, all columns. Only the rows that stay are joined back."""
-    keep = groups(documents).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"), F.col("n_chars").alias("_keep_chars"))
+    """``documents`` with one row of each group, all columns. Rows of groups of one pass without a shuffle."""
+    groups = Groups(documents)
     rows = documents.withColumn("_row_digest", digest_of(F.col("text"))).withColumn("_row_chars", F.length(F.coalesce("text", F.lit(""))).cast("bigint"))
+    alone = common.with_mark(rows, ["_row_digest"], groups.shared, False)
+    keep = groups.stays.select(F.col("digest").alias("_keep_digest"), F.col("best.doc_id").alias("_keep_id"), (-F.col("best.minus_chars")).alias("_keep_chars"))
     match = (F.col("_row_digest") == F.col("_keep_digest")) & F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_row_chars") == F.col("_keep_chars"))
-    return rows.join(keep, match, "left_semi").dropDuplicates(["_row_digest"]).drop("_row_digest", "_row_chars")
+    # Texts whose bytes differ under one digest stay apart, which only a collision of SHA-256 could bring about.
+    several = common.with_mark(rows, ["_row_digest"], groups.shared, True).join(keep, match, "left_semi")
+    if not groups.stays.where("copies > 1").isEmpty():
+        several = several.withColumn("_row_body", F.sha2(normalised(F.col("text")), 512)).dropDuplicates(["_row_digest", "_row_body"]).drop("_row_body")
+    return alone.unionByName(several).drop("_row_digest", "_row_chars")
 
 
 #: DuckDB's form of ``report`` where rows alike in doc_id and text are absent.
