@@ -1,24 +1,55 @@
-"""The pipeline's stages take effect and keep documents' columns; the registered queries run."""
+"""Each stage of the pipeline against brute force on its own input; the registered queries."""
 
-from pyspark.sql import functions as F
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+from test_operators import brute_components
 
 import corpus_pipeline
-from docquarry.llm import common, queries
+from docquarry.llm import common, mixing, quality_rules, queries
+from docquarry.llm.tokens import PieceEncoder, vocabulary
 
 
 def test_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    counts = [docs.count()]
+    columns, seen = docs.columns, [docs.toPandas().set_index("doc_id")]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = common.stage(stage(spark, docs, small), name.replace(" ", "-"))
-        assert after.columns == docs.columns
-        counts.append(after.count())
+        assert after.columns == columns
+        if name == "mixing":
+            plan = mixing.report(docs, corpus_pipeline.MIX).toPandas()
+            assert Counter(after.toPandas().doc_id) == {i: c for i, c in zip(plan.doc_id, plan.copies) if c}
         docs = after
-    assert counts[0] > counts[1] > counts[2] >= counts[3]
-    assert docs.select("doc_id").distinct().count() > 0.5 * counts[3]
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, small)
-    assert pieces.agg(F.count_distinct("doc_id")).first()[0] == docs.select("doc_id").distinct().count()
+        seen.append(docs.toPandas().set_index("doc_id", drop=False))
+    start, good, exact, near, mixed = seen
+
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    scored = quality_rules.score(spark.read.parquet(f"{small}/documents.parquet"), *quality_rules.fit(spark.read.parquet(f"{small}/documents.parquet"), labels)).toPandas()
+    assert set(good.index) == set(scored[scored.kept].doc_id) and 0 < len(good) < len(start)
+
+    groups = {}
+    for i, text in good.text.items():
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text), []).append((-len(text), i))
+    assert sorted(exact.index) == sorted(min(g)[1] for g in groups.values())
+
+    ids = sorted(exact.index)
+    found = brute_components([exact.text[i] for i in ids], 5, 80)
+    assert sorted(near.index) == sorted({ids[root] for _, root in found.values()})
+    assert set(mixed.index) <= set(near.index)
+
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, small).toPandas()
+    library = PieceEncoder(vocabulary("word_bpe_49k.json"), False).tokenizer
+    times = Counter(mixed.index)
+    for i, n in times.items():
+        tokens = np.array(library.encode(mixed.text[i] if n == 1 else mixed.text[i].iloc[0], add_special_tokens=False).ids + [1], "<u4")
+        mine = pieces[pieces.doc_id == i]
+        assert mine.length.sum() == n * len(tokens) and set(mine.doc_tokens) == {len(tokens)}
+        for p in mine.itertuples():
+            assert p.ids_crc32 == zlib.crc32(tokens[p.start : p.start + p.length].tobytes())
+    assert pieces.groupby("sequence_id").length.sum().max() <= 2048
 
 
 def test_registered():
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 10 and set(queries.ORACLES) <= set(queries.QUERIES)
