@@ -208,10 +208,14 @@ def prefetch_depth(labels: Column, top_k: int = 15) -> Column:
     return (F.lit(top_k * 5) + has("caveat_inconsistency", 10) + has("balanced_scope", 20) + has("corpus_wide_scope", 30)).cast("bigint")
 
 
+#: Fixed value: words that name no metric.
+NO_METRIC = ("does", "have", "has", "many", "much", "what", "which", "with", "from", "that", "this", "digital", "realty")
+
+
 def subjects(question: Column) -> Column:
     """Names of metrics that a question may be about."""
     words = F.regexp_extract_all(F.lower(question), F.lit("[a-z][a-z-]+"), F.lit(0))
-    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= 4), singular))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*NO_METRIC)), singular))
 
 
 #: Words of questions that carry no content, phrases of breakdowns, and kinds of chunk that sum up.

@@ -23,7 +23,7 @@ EXPANSION = f"""WITH {S.ASKED_SQL}, w AS (SELECT qid, lower(question) AS q, rege
 SELECT qid, {_any('q', intents.EXPANSION)} OR (qid % 2 = 0 AND ({_any('q', intents.FOLLOW_UP_PHRASES)} OR (len(ws) <= 10 AND list_has_any(ws, [{_listed(intents.FOLLOW_UP_WORDS)}])))) AS expands,
 len(list_distinct(list_filter(cs, lambda x: length(x) >= 4 AND x NOT IN ({_listed(V.QUERY_STOPWORDS)})))) AS terms,
 (SELECT string_agg(n, ',' ORDER BY k) FROM (SELECT n, min(k) AS k FROM (SELECT CASE WHEN x LIKE '%ies' AND length(x) > 4 THEN x[:-4] || 'y' WHEN x LIKE '%s' AND length(x) > 3 THEN x[:-2] ELSE x END AS n, k
-  FROM (SELECT regexp_replace(unnest(ss), '^-+|-+$', '', 'g') AS x, generate_subscripts(ss, 1) AS k, unnest(ss) AS raw) WHERE length(raw) >= 4) GROUP BY n)) AS subjects FROM w"""
+  FROM (SELECT regexp_replace(unnest(ss), '^-+|-+$', '', 'g') AS x, generate_subscripts(ss, 1) AS k, unnest(ss) AS raw) WHERE length(raw) >= 4 AND raw NOT IN ({_listed(V.NO_METRIC)})) GROUP BY n)) AS subjects FROM w"""
 
 
 def companion_queries(spark: SparkSession, d: str) -> DataFrame:
