@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,24 @@ def broadcast_if_small(small: DataFrame, rows: int, limit: int = 50_000) -> Data
     return F.broadcast(small) if rows <= limit else small
 
 
+#: Rows of a batch sent to a Python worker. Texts are long, and a batch is held several times over on its way.
+BATCH_ROWS = 2_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_arrow(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``rows.mapInArrow`` with batches of BATCH_ROWS at most; a worker gives back the memory of a task that ends."""
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_CONF, "10000")) <= BATCH_ROWS:
+        conf.set(_BATCH_CONF, BATCH_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(run, schema)
+
+
 def marks(keys: DataFrame) -> np.ndarray:
     """A bitmap with a bit set for each row of ``keys``; the driver gets MARK_BITS bits."""
     slot = f"cast(pmod(xxhash64({', '.join(f'`{c}`' for c in keys.columns)}), {MARK_BITS}) as int)"
@@ -69,4 +87,4 @@ def with_mark(rows: DataFrame, columns: list[str], bitmap: np.ndarray, marked: b
             out = batch.filter(pa.array(bit == marked))
             yield out.select(list(range(batch.num_columns - 1)))
 
-    return slotted.mapInArrow(per_task, rows.schema)
+    return map_arrow(slotted, per_task, rows.schema)

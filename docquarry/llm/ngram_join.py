@@ -5,7 +5,7 @@
    k > d parts; some non-empty part of a linked pair is the same in both. Sets that share a part are candidates; connected
    candidates form a cell. No link crosses cells.
 3. In a cell a signature tree is built over its sets, and a dual traversal finds the links. Cells over a bound are cut in
-   blocks, and each pair of blocks is a task of its own.
+   blocks, and only sets outside a cell's largest component meet all its blocks.
 
 Very frequent shingles (shared passages) are left out of the parts of texts that have enough others: leaving the same
 shingles out of both sets never makes them differ more, so no link is lost; which ones are left out only sets the cost.
@@ -35,7 +35,7 @@ from .textarrays import mix, shingles, slices
 #: A shingle counts as frequent when it is in this share of a task's texts (at least so many), looked for in so many shingles at a time.
 HOT_SHARE, HOT_LEAST, HOT_CHUNK, HOT_MOST = 0.002, 12, 4_000_000, 1 << 17
 #: Sets and shingles of a block; bytes of sets that one task gets; bits of the membership filter.
-BLOCK_SETS, BLOCK_SHINGLES, TASK_BYTES, FILTER_BITS = 2048, 8_000_000, 24_000_000, 1 << 23
+BLOCK_SETS, BLOCK_SHINGLES, TASK_BYTES, FILTER_BITS = 1024, 8_000_000, 3_000_000, 1 << 23
 _U = np.uint64
 
 
@@ -110,7 +110,7 @@ def _summaries(documents: DataFrame, words: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], ["doc_id", "n", "fp1", "fp2"])
 
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return source.mapInArrow(per_task, "doc_id bigint, n bigint, fp1 bigint, fp2 bigint")
+    return common.map_arrow(source, per_task, "doc_id bigint, n bigint, fp1 bigint, fp2 bigint")
 
 
 def part_keys(value: np.ndarray, offs: np.ndarray, sizes: np.ndarray, percent: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,23 +173,17 @@ def _keys(documents: DataFrame, similarity: Similarity, hot: np.ndarray) -> Data
                 if len(keys):
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp1[sets])], ["key", "node"])
 
-    return documents.select("text").mapInArrow(per_task, "key bigint, node bigint")
-
-
-def _filter_of(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS with a bit set for each node; what it lets through by chance is dropped by a join later."""
-    slot = f"cast(pmod(node, {FILTER_BITS}) as int)"  # a node is a hash already
-    rows = nodes.selectExpr(f"{slot} div 32 AS w", f"shiftleft(1L, {slot} % 32) AS b")
-    words = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(FILTER_BITS // 32, np.uint64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint64)
-    return out
+    return common.map_arrow(documents.select("text"), per_task, "key bigint, node bigint")
 
 
 def _cell_sets(documents: DataFrame, cells: DataFrame, words: int) -> DataFrame:
     """(cell, fp1, fp2, n, shingles) of each distinct set that is in a cell."""
-    nodes = cells.withColumnRenamed("fp1", "node")
-    bitmap = documents.sparkSession.sparkContext.broadcast(_filter_of(nodes))
+    # A node is a hash, so its own low bits serve as its place in the bitmap.
+    slot = f"cast(pmod(fp1, {FILTER_BITS}) as int)"
+    marked = cells.selectExpr(f"{slot} div 32 AS w", f"shiftleft(1L, {slot} % 32) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(FILTER_BITS // 32, np.uint64)
+    bits[marked.column("w").to_numpy()] = marked.column("b").to_numpy().astype(np.uint64)
+    bitmap = documents.sparkSession.sparkContext.broadcast(bits)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -202,54 +196,114 @@ def _cell_sets(documents: DataFrame, cells: DataFrame, words: int) -> DataFrame:
                 sets = [value[offs[i] : offs[i + 1]].tobytes() for i in pick]
                 yield pa.RecordBatch.from_arrays([pa.array(fp1[pick]), pa.array(fp2[pick]), pa.array(np.diff(offs)[pick]), pa.array(sets, pa.binary())], ["fp1", "fp2", "n", "shingles"])
 
-    sets = documents.select("text").mapInArrow(per_task, "fp1 bigint, fp2 bigint, n bigint, shingles binary")
+    sets = common.map_arrow(documents.select("text"), per_task, "fp1 bigint, fp2 bigint, n bigint, shingles binary")
     return sets.join(cells, "fp1").dropDuplicates(["fp1", "fp2"])
 
 
-def _tasks(members: DataFrame) -> DataFrame:
-    """Deal the sets of each cell to tasks: small cells many to a task, a large cell's blocks in pairs."""
-    sizes = members.groupBy("cell").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES))
-    sizes = common.stage(sizes.withColumn("blocks", blocks), "cells")
-    volume = sizes.agg(F.sum(F.col("total") * 8)).first()[0] or 0
-    n_tasks = max(1, -(-volume // TASK_BYTES))
-    dealt = members.join(sizes.select("cell", "blocks"), "cell").withColumn("own", F.pmod(F.xxhash64("fp2", "fp1"), F.col("blocks")))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    pairs = pairs.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cell"), F.lit(n_tasks))).otherwise(F.xxhash64("cell", "i", "j"))
-    return pairs.withColumn("task", task)
+_SIDED = ["task", "cell", "part", "side", "known", "fp1", "fp2", "n", "shingles"]
+BOTH, LEFT, RIGHT = 0, 1, 2
 
 
 def _solve(percent: int):
+    """For each part of a task: stars (a belongs with b) of the sets that its links, and what is known, connect.
+
+    Sets of side BOTH are joined with each other, those of LEFT with those of RIGHT. ``known`` is a component that a set is
+    already known to be in, or null.
+    """
+
     def solve(table: pa.Table) -> pa.Table:
-        cell, i, j, own, blocks = (table.column(c).to_numpy() for c in ("cell", "i", "j", "own", "blocks"))
-        fp1, fp2, n = (table.column(c).to_numpy() for c in ("fp1", "fp2", "n"))
+        cell, part, side, fp1, fp2, n = (table.column(c).to_numpy() for c in ("cell", "part", "side", "fp1", "fp2", "n"))
+        known = table.column("known").to_pylist()
         raw = table.column("shingles").to_pylist()
-        order = np.lexsort((fp2, fp1, own, j, i, cell))
-        cuts = np.flatnonzero(np.any([x[order][1:] != x[order][:-1] for x in (cell, i, j)], 0)) + 1 if len(order) else []
+        order = np.lexsort((fp2, fp1, side, part, cell))
+        cuts = np.flatnonzero(np.any([x[order][1:] != x[order][:-1] for x in (cell, part)], 0)) + 1 if len(order) else []
         out: list[np.ndarray] = []
         for group in np.split(order, cuts):
             if len(group) < 2:
                 continue
             sets = Sets(np.frombuffer(b"".join(raw[g] for g in group), np.uint64), np.concatenate(([0], np.cumsum(n[group]))))
+            first: dict[int, int] = {}
+            sets.root = np.array([k if known[g] is None else first.setdefault(known[g], k) for k, g in enumerate(group)])
             at = np.arange(len(group))
-            if i[group[0]] == j[group[0]]:
+            left, right = at[side[group] == LEFT], at[side[group] == RIGHT]
+            if len(left) and len(right):
+                join(sets, Tree(sets, left), Tree(sets, right), percent)
+            elif not len(left) and not len(right):
                 tree = Tree(sets, at)
                 join(sets, tree, tree, percent)
-            else:
-                left, right = at[own[group] == i[group[0]]], at[own[group] == j[group[0]]]
-                if len(left) and len(right):
-                    join(sets, Tree(sets, left), Tree(sets, right), percent)
-            whole = blocks[group[0]] == 1
-            links = np.array([(x, sets.root[x]) for x in at if sets.root[x] != x] if whole else sets.links, np.int64).reshape(-1, 2)
-            a, b = group[links[:, 0]], group[links[:, 1]]
-            out.append(np.stack((fp1[a], fp2[a], fp1[b], fp2[b], np.full(len(a), int(whole)))))
+            a = np.flatnonzero(sets.root != at)
+            a, b = group[a], group[sets.root[a]]
+            out.append(np.stack((cell[a], fp1[a], fp2[a], fp1[b], fp2[b])))
         data = np.concatenate(out, 1) if out else np.zeros((5, 0), np.int64)
-        return pa.table([pa.array(x.astype(np.int64)) for x in data], ["a1", "a2", "b1", "b2", "whole"])
+        return pa.table([pa.array(x.astype(np.int64)) for x in data], ["cell", "a1", "a2", "b1", "b2"])
 
     return solve
 
 
+def _stars(sided: DataFrame, percent: int, name: str) -> DataFrame:
+    made = sided.select(*_SIDED).groupBy("task").applyInArrow(_solve(percent), "cell bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+    return common.stage(made, name)
+
+
+def _blocks(sets: DataFrame) -> DataFrame:
+    """``sets`` with the number of blocks of their cell and the one they are in."""
+    sizes = sets.groupBy("cell").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1))
+    sizes = common.stage(sizes.select("cell", blocks.alias("blocks")), "cell-sizes")
+    return sets.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("fp2", "fp1", "blocks"), F.col("blocks")))
+
+
+def _sided(sets: DataFrame, task, part, side: int, known=None) -> DataFrame:
+    known = F.lit(None).cast("bigint") if known is None else known
+    return sets.withColumns({"task": task, "part": part, "side": F.lit(side), "known": known}).select(*_SIDED)
+
+
+def _pair(x: str):
+    return F.struct(F.col(f"{x}1").alias("fp1"), F.col(f"{x}2").alias("fp2"))
+
+
+def _roots(members: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the sets that links connect; both are fingerprints.
+
+    Cells of one block are solved many to a task. A larger cell is solved by block; then one set for each component found is
+    solved again, which connects groups of near copies in two passes over them. Only sets outside the cell's largest component
+    are then joined with all of the cell, by pairs of blocks: a link that is missing has such a set at one end.
+    """
+    blocked = common.stage(_blocks(members), "blocked")
+    volume = blocked.agg(F.sum(F.col("n") * 8)).first()[0] or 0
+    n_tasks = max(1, -(-volume // TASK_BYTES))
+    many = F.col("blocks") > 1
+    task = F.when(many, F.xxhash64("cell", "block")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(n_tasks)))
+    stars = _stars(_sided(blocked, task, F.col("block"), BOTH), percent, "stars")
+    whole = blocked.where(~many).select("cell").distinct()
+    roots = stars.join(whole, "cell", "left_semi").select(_pair("a").alias("node"), _pair("b").alias("root"))
+    large = blocked.where(many).drop("blocks", "block")
+    if large.isEmpty():
+        return roots
+    found = stars.join(whole, "cell", "left_anti")
+    heads = large.join(found.select("cell", F.col("a1").alias("fp1"), F.col("a2").alias("fp2")), ["cell", "fp1", "fp2"], "left_anti")
+    again = _blocks(heads)
+    found = found.unionByName(_stars(_sided(again, F.xxhash64("cell", "block"), F.col("block"), BOTH), percent, "head-stars"))
+    edges = found.select(_pair("a").alias("a"), _pair("b").alias("b"))
+    so_far = connected_components(edges).select(F.col("node.fp1").alias("fp1"), F.col("node.fp2").alias("fp2"), F.xxhash64("root").alias("known"))
+    own = F.xxhash64(F.struct("fp1", "fp2"))
+    labelled = common.stage(blocked.where(many).join(so_far, ["fp1", "fp2"], "left").withColumn("known", F.coalesce("known", own)), "labelled")
+    sizes = labelled.groupBy("cell", "known").agg(F.count("*").alias("size"))
+    main = common.stage(sizes.groupBy("cell").agg(F.max_by("known", F.struct("size", "known")).alias("main")), "main")
+    rest = common.stage(labelled.join(main, "cell").where("known <> main").drop("main", "blocks", "block"), "rest")
+    if not rest.isEmpty():
+        rest_blocks = common.stage(_blocks(rest).withColumnsRenamed({"blocks": "r_blocks", "block": "r_block"}), "rest-blocks")
+        numbers = rest_blocks.select("cell", "r_blocks").distinct()
+        every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+        right = labelled.join(common.stage(numbers, "numbers"), "cell").withColumn("r_block", every("r_blocks"))
+        left = rest_blocks.join(labelled.select("cell", "blocks").distinct(), "cell").withColumn("block", every("blocks"))
+        part = F.xxhash64("r_block", "block")
+        task = F.xxhash64("cell", "r_block", "block")
+        sided = _sided(left, task, part, LEFT, F.col("known")).unionByName(_sided(right, task, part, RIGHT, F.col("known")))
+        edges = edges.unionByName(_stars(sided, percent, "rest-stars").select(_pair("a").alias("a"), _pair("b").alias("b")))
+    return roots.unionByName(connected_components(edges))
+
+
 def components(documents: DataFrame, similarity: Similarity) -> DataFrame:
     """One row for each row of ``documents``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     summary = common.stage(_summaries(documents, similarity.words), "summaries")
@@ -263,14 +317,7 @@ def components(documents: DataFrame, similarity: Similarity) -> DataFrame:
     cells = connected_components(hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     cells = cells.unionByName(cells.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp1"), F.col("root").alias("cell"))
     members = common.stage(_cell_sets(documents, common.stage(cells, "cell-nodes"), similarity.words), "cell-sets")
-    links = _tasks(members).groupBy("task").applyInArrow(_solve(similarity.percent), "a1 bigint, a2 bigint, b1 bigint, b2 bigint, whole bigint")
-    links = common.stage(links, "links")
-
-    pair = lambda x: F.struct(F.col(f"{x}1").alias("fp1"), F.col(f"{x}2").alias("fp2"))
-    roots = links.where("whole = 1").select(pair("a").alias("node"), pair("b").alias("root"))
-    across = links.where("whole = 0").select(pair("a").alias("a"), pair("b").alias("b"))
-    if not across.isEmpty():
-        roots = roots.unionByName(connected_components(across))
+    roots = _roots(members, similarity.percent)
     roots = roots.select(F.col("node.fp1").alias("fp1"), F.col("node.fp2").alias("fp2"), F.col("root.fp1").alias("r1"), F.col("root.fp2").alias("r2"))
     rooted = nodes.join(common.stage(roots, "roots"), ["fp1", "fp2"], "left")
     rooted = common.stage(rooted.select("fp1", "fp2", "least", F.coalesce("r1", "fp1").alias("r1"), F.coalesce("r2", "fp2").alias("r2")), "rooted")
@@ -281,6 +328,15 @@ def components(documents: DataFrame, similarity: Similarity) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, similarity: Similarity) -> DataFrame:
-    """``documents`` with the row of the smallest doc_id of each component, all columns."""
-    stay = components(documents, similarity).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return documents.join(common.stage(stay, "stay"), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """``documents`` with the row of the smallest doc_id of each component, all columns. Rows that stay pass without a shuffle,
+    but for those that the bitmap of dropped ids marks by chance. Rows without a doc_id stay."""
+    named = common.stage(components(documents, similarity).where("doc_id IS NOT NULL"), "components")
+    gone = named.where("doc_id <> component_id").select("doc_id").distinct()
+    alike = named.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    touched = common.marks(gone.unionByName(alike))
+    clear = common.with_mark(documents, ["doc_id"], touched, False)
+    rest = common.with_mark(documents, ["doc_id"], touched, True).join(gone, "doc_id", "left_anti").select(*documents.columns)
+    if not alike.isEmpty():
+        several = rest.join(alike, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id"])
+        rest = rest.join(alike, "doc_id", "left_anti").select(*documents.columns).unionByName(several)
+    return clear.unionByName(rest)

@@ -32,13 +32,11 @@ class Sets:
         # Tokens that share a bit with another of the same set: a bound on what the bitmap hides.
         self.hidden = np.bincount(owner[shared], minlength=n) - np.bitwise_count(self.bitmaps).sum(1, dtype=np.int64)
         self.root = np.arange(n)
-        self.links: list[tuple[int, int]] = []
 
     def unite(self, x: int, y: int) -> None:
         a, b = self.root[x], self.root[y]
         if a != b:
             self.root[self.root == max(a, b)] = min(a, b)
-            self.links.append((x, y))
 
     def overlap(self, x: int, y: int) -> int:
         a, b = self.tokens[self.offs[x] : self.offs[x + 1]], self.tokens[self.offs[y] : self.offs[y + 1]]
