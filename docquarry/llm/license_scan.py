@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .license_texts import TEMPLATES
 from .textarrays import Flat, mix, slices
 
@@ -165,7 +166,7 @@ def scan(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES)
                     [batch.column(0).slice(flat.first, flat.n), pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, kind)], ["doc_id", "n_licenses", "matches"]
                 )
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(per_task, SCHEMA)
+    return common.map_arrow(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), per_task, SCHEMA)
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def pack(documents: DataFrame, vocabulary: str, keeps_space: bool = False, end_i
             yield windows.batch()
 
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    pieces = common.stage(source.mapInArrow(per_task, PIECES), "pieces", ["closed"])
+    pieces = common.stage(common.map_arrow(source, per_task, PIECES), "pieces", ["closed"])
     done = pieces.where("closed").select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("task").cast("bigint") * (1 << 32) + F.col("window")).alias("sequence_id"), "offset")
     return done.unionByName(merge_leftovers(pieces.where("not closed"), length))
 

@@ -89,7 +89,7 @@ def write(documents: DataFrame, path: str, vocabulary: str, keeps_space: bool =
                         yield from shards.flush()
         yield from shards.flush()
 
-    dealt.select("doc_id", "text").mapInArrow(per_task, SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    common.map_arrow(dealt.select("doc_id", "text"), per_task, SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_documents(spark, path: str) -> DataFrame:
@@ -114,7 +114,7 @@ def read_documents(spark, path: str) -> DataFrame:
                     ["doc_id", "start", "ids"],
                 )
 
-    return files.mapInArrow(per_task, "doc_id bigint, start bigint, ids binary")
+    return common.map_arrow(files, per_task, "doc_id bigint, start bigint, ids binary")
 
 
 def report(documents: DataFrame, vocabulary: str) -> DataFrame:

@@ -12,12 +12,13 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .textarrays import _IS_SPACE, Flat, slices, spread
+from .textarrays import _IS_SPACE, Flat, mix, slices, spread
 
-#: Distinct pieces kept by a worker before it starts over.
-CACHE_PIECES = 1_000_000
+#: Distinct pieces kept by a worker before it starts over, and encoded in one call.
+CACHE_PIECES, ENCODED_AT_ONCE = 1_000_000, 2_000
+_SECOND = np.random.default_rng(20240702).integers(0, 2**63, 256, dtype=np.uint64)
 #: Fixed value: white space outside ASCII's six, which the byte-level pattern also splits at.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
 
 def vocabulary(name: str) -> str:
@@ -40,8 +41,10 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.starts, self.lengths, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        # Known pieces by ascending hash: their second hash, and where their ids are in the pool.
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
 
     def _cut(self, flat: Flat) -> tuple[np.ndarray, np.ndarray]:
         if not self.keeps_space:
@@ -67,40 +70,61 @@ class PieceEncoder:
 
     def _odd(self, flat: Flat) -> np.ndarray:
         """Texts with other white space, which stay whole."""
-        rare = np.isin(flat.data, (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x80))  # bytes that such characters contain
+        rare = np.isin(flat.data, (0x1C, 0x1D, 0x1E, 0x1F, 0x80, 0x85, 0x9F, 0xA0))  # bytes that such characters contain
         docs = np.unique(flat.doc_of(np.flatnonzero(rare)))
         return np.array([d for d in docs if _OTHER_SPACE.search(bytes(flat.data[flat.offs[d] : flat.offs[d + 1]]).decode())], np.int64)
 
-    def _add(self, pieces: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        n = len(self.index)
-        while len(self.starts) < n + len(pieces):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        for i, (piece, e) in enumerate(zip(pieces, encoded)):
-            ids = e.ids
-            if len(self.pool) < self.used + len(ids):
-                self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.index[piece] = n + i
-            self.starts[n + i], self.lengths[n + i] = self.used, len(ids)
-            self.used += len(ids)
+    def _add(self, keys: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
+        """Encode pieces and merge them into the table; ``keys`` ascend."""
+        ids: list[np.ndarray] = []
+        for k in range(0, len(pieces), ENCODED_AT_ONCE):
+            encoded = self.tokenizer.encode_batch_fast(pieces[k : k + ENCODED_AT_ONCE], add_special_tokens=False)
+            ids += [np.asarray(e.ids, self.pool.dtype) for e in encoded]
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.concatenate(ids) if ids else np.zeros(0, self.pool.dtype)
+        if len(self.pool) < self.used + len(flat):
+            grown = np.zeros(self.used + len(flat) + (self.used >> 2), self.pool.dtype)
+            grown[: self.used] = self.pool[: self.used]
+            self.pool = grown
+        self.pool[self.used : self.used + len(flat)] = flat
+        starts = self.used + np.cumsum(lengths, dtype=np.int64) - lengths
+        self.used += len(flat)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
+        self.starts, self.lengths = np.insert(self.starts, at, starts), np.insert(self.lengths, at, lengths)
+
+    @staticmethod
+    def _second_hash(flat: Flat, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Another hash of the ranges, from other byte values; all ranges have a byte at least."""
+        lengths = stops - starts
+        begin = np.cumsum(lengths) - lengths
+        data = flat.data[spread(starts, lengths)]
+        place = np.arange(len(data)) - np.repeat(begin, lengths)
+        return mix(np.add.reduceat(mix(_SECOND[data] + place.astype(np.uint64)), begin) + lengths.astype(np.uint64))
 
     def encode(self, flat: Flat) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the slice's texts end to end, and where each text's begin (n + 1 offsets)."""
         starts, stops = self._cut(flat)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(flat.n + 1, np.int64)
-        if len(self.index) > CACHE_PIECES:
+        if len(self.keys) > CACHE_PIECES:
             self._clear()
-        _, first, inverse = np.unique(flat.hashes(starts, stops), return_index=True, return_inverse=True)
-        raw = flat.data.tobytes()
-        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())]
-        get = self.index.get
-        if missing := [p for p in pieces if get(p) is None]:
-            self._add(missing)
-        known = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))[inverse]
-        lengths = self.lengths[known]
-        ids = self.pool[spread(self.starts[known], lengths)]
+        keys, first, inverse = np.unique(flat.hashes(starts, stops), return_index=True, return_inverse=True)
+        a, b = starts[first], stops[first]
+        checks = self._second_hash(flat, a, b)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = (self.keys[at] == keys) if len(self.keys) else np.zeros(len(keys), bool)
+        clash = np.flatnonzero(known & (self.checks[at] != checks)) if len(self.keys) else np.zeros(0, np.int64)
+        if len(clash):  # two pieces with one hash: start over with the one that is needed now
+            self._clear()
+            known[:] = False
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = flat.data.tobytes()
+            self._add(keys[new], checks[new], [raw[i:j].decode() for i, j in zip(a[new].tolist(), b[new].tolist())])
+        known = np.searchsorted(self.keys, keys)[inverse]
+        lengths = self.lengths[known].astype(np.int64)
+        ids = self.pool[spread(self.starts[known], lengths)].astype(np.uint32)
         per_doc = np.bincount(flat.doc_of(starts), lengths, flat.n).astype(np.int64)
         return ids, np.concatenate(([0], np.cumsum(per_doc)))
 
