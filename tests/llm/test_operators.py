@@ -252,6 +252,22 @@ def test_pieces_equal_the_library(texts, name, keeps_space):
             assert ids[offs[d] : offs[d + 1]].tolist() == made.tokenizer.encode(column[flat.first + d] or "", add_special_tokens=False).ids
 
 
+def test_special_strings_are_ordinary_text(texts):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    ordinary = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    made = PieceEncoder(vocabulary("byte_bpe_50k.json"), True)
+    column = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n\n<|endoftext|>y", *texts[:50]]
+    for flat in slices(pa.array(column), 5_000):
+        ids, offs = made.encode(flat)
+        for d in range(flat.n):
+            assert ids[offs[d] : offs[d + 1]].tolist() == ordinary(column[flat.first + d] or "")
+
+
 def test_rans_round_trip_and_damage():
     r = np.random.default_rng(3)
     for n in (0, 1, 511, 512, 513, 300_001):
