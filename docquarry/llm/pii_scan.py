@@ -1,7 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm them, words nearby move the score.
 
-Base kinds (email, ip, card, phone) stay whatever their score. The method adds: ``iban`` (mod-97 confirms), ``ssn`` and
-``local_phone`` (no checksum, so words nearby must lift them over the threshold). DataFrame functions only.
+Base kinds (email, ip, card, phone) stay whatever their score. The method adds: ``iban`` (mod-97 confirms; unbroken, or as printed: any case,
+one space or hyphen between characters, with the length of its country), ``ssn`` and ``local_phone`` (no checksum, so words nearby must lift them over the threshold). DataFrame functions only.
 
 Edge cases: a null text counts as empty; repeated rows give repeated results; an empty table an empty result; only the
 named columns are read. Possessive patterns keep very long runs of digits or letters linear and off the regex stack.
@@ -22,6 +22,18 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])"
+#: Letters and digits of an account number by country, from the register of such numbers; the printed form needs it to know where one ends.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_REST = {n: rf"[\x20-]?[0-9][\x20-]?[0-9](?:[\x20-]?[A-Za-z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n in IBAN_LENGTHS}
+_LAND = {n: f"(?i:{'|'.join(lands.split())})" for n, lands in IBAN_LENGTHS.items()}
+#: Printed form: any case, one space or hyphen between characters. The first takes the country alone, so that no start is hidden by a span before it.
+IBAN_START = r"(?<![A-Za-z0-9])(?:" + "|".join(f"{_LAND[n]}(?={_REST[n]})" for n in IBAN_LENGTHS) + ")"
+IBAN_WHOLE = "^(?:" + "|".join(_LAND[n] + _REST[n] for n in IBAN_LENGTHS) + ")"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
 CONTEXT = {
@@ -45,6 +57,11 @@ def luhn(number: Column) -> Column:
     return total % 10 == 0
 
 
+def compact(value: Column) -> Column:
+    """An account number without separators, in upper case."""
+    return F.upper(F.regexp_replace(value, r"[\x20-]", ""))
+
+
 def mod97(value: Column) -> Column:
     """Whether a bank account number's remainder is 1 once its first four characters go last and letters count 10 to 35."""
     moved = F.concat(F.substring(value, 5, 64), F.substring(value, 1, 4))
@@ -54,6 +71,16 @@ def mod97(value: Column) -> Column:
     return rest == 1
 
 
+def printed_ibans(text: Column, kind_no: int) -> Column:
+    """Spans of account numbers as printed whose checksum holds; a country's own length says where each ends."""
+
+    def whole(s: Column) -> Column:
+        value = F.regexp_extract(F.substring(text, (s["at"] + 1).cast("int"), F.lit(80)), IBAN_WHOLE, 0)
+        return F.struct(s["at"].alias("at"), s["kind_no"].alias("kind_no"), (s["at"] + F.length(value)).alias("until"), s["kind"].alias("kind"), value.alias("value"))
+
+    return F.filter(F.transform(S.find(text, "iban", kind_no, IBAN_START), whole), lambda s: mod97(compact(s["value"])))
+
+
 def small_parts(value: Column) -> Column:
     """Whether each dotted part is at most 255, leading zeros ignored."""
     return F.forall(F.split(value, r"\."), lambda p: p.rlike("^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"))
@@ -78,19 +105,25 @@ def scan(documents: DataFrame) -> DataFrame:
             F.filter(S.find(text, "card", 2, CARD), lambda s: luhn(digits(s["value"]))),
             F.filter(S.find(text, "phone", 3, PHONE, "+"), lambda s: n_digits(s).between(9, 15)),
         ).alias("base"),
+        printed_ibans(text, KINDS.index("iban")).alias("printed"),
     )
     text = F.col("text")
 
-    def more(kind: str, pattern: str, confirm) -> Column:
-        found = S.find(text, kind, KINDS.index(kind), pattern)
+    def ibans() -> Column:
+        """Printed forms, and unbroken runs of any country that are none of these."""
+        no = KINDS.index("iban")
+        joined = F.filter(S.find(text, "iban", no, IBAN), lambda s: ~F.exists("printed", lambda p: (p["at"] == s["at"]) & (p["until"] == s["until"])))
+        return F.concat(F.col("printed"), joined)
+
+    def more(kind: str, found: Column, confirm) -> Column:
         score = lambda s: F.lit(PATTERN_SCORE) + confirm(s["value"]) + context_score(text, s, kind)
         return F.filter(found, lambda s: (score(s) >= THRESHOLD) & ~S.overlaps(s, F.col("base")))
 
     no_checksum = lambda _: F.lit(0.0)
     added = F.concat(
-        more("iban", IBAN, lambda v: F.when(mod97(v), F.lit(CHECKSUM_SCORE)).otherwise(F.lit(-1.0))),
-        more("ssn", SSN, no_checksum),
-        more("local_phone", LOCAL_PHONE, no_checksum),
+        more("iban", ibans(), lambda v: F.when(mod97(compact(v)), F.lit(CHECKSUM_SCORE)).otherwise(F.lit(-1.0))),
+        more("ssn", S.find(text, "ssn", KINDS.index("ssn"), SSN), no_checksum),
+        more("local_phone", S.find(text, "local_phone", KINDS.index("local_phone"), LOCAL_PHONE), no_checksum),
     )
     by_kind = lambda a, b: (
         F.when(a["kind_no"] < b["kind_no"], -1).when(a["kind_no"] > b["kind_no"], 1).when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)

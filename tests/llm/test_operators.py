@@ -238,6 +238,18 @@ def test_pii(spark, docs, texts, empty):
     assert pii_scan.digest(pii_scan.scan(empty)).count() == 0
 
 
+def test_ibans_as_printed(spark):
+    good = [
+        "pay GB82 WEST 1234 5698 7654 32 is mine", "gb82west12345698765432", "GB82-WEST-1234-5698-7654-32.", "DE89 3704 0044 0532 0130 00, FR14 2004 1010 0505 0001 3M02 606",
+        "at 2024 gb82 west 1234 5698 7654 32 with no 93 8601 1117 947", "GB 82 WEST12345698765432", "é NO93 8601 1117 947",
+    ]
+    bad = ["GB82 WEST 1234 5698 7654 33", "GB82  WEST 1234 5698 7654 32", "xGB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 321", "GB82 WEST 1234 5698 7654"]
+    got = {r.doc_id: r for r in pii_scan.digest(pii_scan.scan(frame(spark, good + bad))).collect()}
+    assert [got[i].n_iban for i in range(len(good))] == [1, 1, 1, 2, 2, 1, 1]
+    assert [got[i].n_iban for i in range(len(good), len(got))] == [0] * len(bad)
+    assert got[0].spans == "iban:4:31" and got[6].spans == "iban:2:20"
+
+
 # Tokens
 
 
