@@ -274,11 +274,19 @@ GROUP BY 1, 2, 3, 4, 5, 6"""
 def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
     """Measures of the dense list, with the vectors of the query's label as gold, for each query and over all."""
     queries, vectors = _vectors(spark, d)
-    found = dense_topk(spark, d).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("node_id").cast("string").alias("id")))).alias("r"))
-    gold = vectors.groupBy("client").agg(F.array_sort(F.collect_set(F.col("node_id").cast("string"))).alias("gold"))
-    rows = found.join(queries.select("qid", "client"), "qid").join(gold, "client").withColumn("ids", E.first_distinct(F.transform("r", lambda x: x["id"])))
-    ids, right = F.col("ids"), F.col("gold")
-    each = rows.select("qid", E.recall_at(ids, right, 5).alias("recall_5"), E.recall_at(ids, right, 10).alias("recall_10"), E.hit_at(ids, right, 5).alias("hit_5"), E.reciprocal_rank(ids, right).alias("mrr"), E.precision(ids, right).alias("precision"))
+    members = vectors.select("client", "node_id").distinct()
+    gold = members.groupBy("client").agg(F.count("*").alias("gold"))
+    found = V.top_ranked(dense_topk(spark, d).groupBy("qid", "node_id").agg(F.min("rank").alias("given_rank")), ["qid"], [F.asc("given_rank")], DEPTH)
+    rows = found.join(queries.select("qid", "client").distinct(), "qid").join(members.withColumn("hit", F.lit(True)), ["client", "node_id"], "left")
+    hits = lambda k: F.count(F.when(F.col("hit") & (F.col("rank") <= k), 1))
+    held = rows.groupBy("qid", "client").agg(
+        hits(5).alias("in_5"), hits(10).alias("in_10"), F.count("hit").alias("right"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.count("*").alias("n")
+    )
+    share = lambda n: F.coalesce(F.col(n) / F.col("gold"), F.lit(0.0))
+    each = held.join(gold, "client", "left").select(
+        "qid", share("in_5").alias("recall_5"), share("in_10").alias("recall_10"), F.when(F.col("in_5") > 0, 1.0).otherwise(0.0).alias("hit_5"),
+        F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), (F.col("right") / F.col("n")).alias("precision"),
+    )
     names = ("recall_5", "recall_10", "hit_5", "mrr", "precision")
     one = each.select("qid", *(F.round(n, 6).alias(n) for n in names))
     return one.unionByName(each.agg(*(E.mean_or_zero(n) for n in names)).withColumn("qid", F.lit(None).cast("bigint")))

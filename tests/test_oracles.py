@@ -31,3 +31,18 @@ def test_evidence_pipeline_keeps_caps_and_ranked_rows(spark, small):
     ranked = {(r.qid, r.node_id) for r in search.rerank_topk(spark, small).collect()}
     assert set(zip(rows.qid, rows.node_id)) <= ranked and rows.groupby("qid").size().max() <= 8
     assert not rows.duplicated(["qid", "node_id"]).any()
+
+
+def test_retrieval_eval_keeps_gold_as_rows(spark, small, tmp_path):
+    plan = search.retrieval_eval(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
+    made = [(i, [1.0, i / 1000], None if i == 50 else "a" if i < 90 else "b") for i in range(120)]
+    spark.createDataFrame(made, "vec_id bigint, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.qid: r for r in search.retrieval_eval(spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 50, 100, None}
+    near = {r.qid: set() for r in got.values()}
+    for r in search.dense_topk(spark, str(tmp_path)).collect():
+        near[r.qid].add(r.node_id)
+    for q, same in ((0, set(range(90)) - {50}), (50, set()), (100, set(range(90, 120)))):
+        assert got[q].recall_10 == round(len(near[q] & same) / len(same), 6) if same else got[q].recall_10 == 0
+        assert got[q].precision == len(near[q] & same) / 10 and got[q].mrr == (1.0 if same else 0.0)
