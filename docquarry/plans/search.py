@@ -191,10 +191,15 @@ SELECT qid, node_id, plain, row_number() OVER (PARTITION BY qid ORDER BY plain,
 
 
 def evidence_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """All rules on the ranked rows of each question; a series of replacements, so there is no SQL for it."""
-    labels = F.when(F.col("qid") % 3 == 0, "balanced_scope").when(F.col("qid") % 3 == 1, "corpus_wide_scope").otherwise("multi_version_lookup")
-    rows = reranked(spark, d).withColumns({"labels": labels, "cap": F.lit(8), "document": F.col("client_id"), "page": F.col("page_num").cast("string"), "version": F.col("version_rank").cast("string")})
-    return evidence.select_evidence(rows.select("qid", "node_id", "rank", "labels", "cap", "document", "page", "version"))
+    """All rules on the ranked rows of each question, by its own labels; a series of replacements, so there is no SQL for it.
+
+    A question has 15 ranked rows, so the cap is 8 here: under ``retrieval.evidence_cap`` no row would have to give way.
+    """
+    rows = reranked(spark, d).withColumns({
+        "labels": F.array_join(intents.labels(F.col("question")), ","), "cap": F.lit(8), "document": F.col("client_id"), "page": F.col("page_num").cast("string"),
+        "version": F.col("version_rank").cast("string"), "score": F.col("final"), "images": F.col("chunk_type").isin("chart_context", "page_card"),
+    })
+    return evidence.select_evidence(rows.select("qid", "node_id", "rank", "labels", "cap", "document", "page", "version", "question", "text", "document_name", "chunk_type", "version_rank", "score", "images"))
 
 
 def chunk_diagnostics(spark: SparkSession, d: str) -> DataFrame:

@@ -26,6 +26,32 @@ def test_evidence(spark):
     assert len(many) == len(set(many)) == 6
 
 
+@pytest.mark.parametrize(
+    "question, labels, cap, rows, want",
+    [
+        ("compare alpha and beta", "", 3, [{"document_name": f"{n} report.pdf"} for n in ("alpha",) * 3 + ("beta",) * 2], [1, 2, 4]),
+        ("", "outlook_scope", 3, [{"text": t} for t in ("a", "b", "c", "Pro forma", "a merger", "combined")], [6, 5, 4]),
+        ("customers caveat", "caveat_inconsistency", 2, [{"text": t} for t in ("5,000 customers", "x", "y", "5,500 customers")], [1, 4]),
+        ("show the table", "", 2, [{"chunk_type": t} for t in ("body_text",) * 3 + ("full_table",)], [1, 4]),
+        ("how many customers", "", 2, [{"text": t, "version_rank": n} for n, t in enumerate(("x", "y", "900 customers", "950 customers"))], [1, 4]),
+        ("how many customers", "", 4, [{"text": t, "version_rank": n} for n, t in enumerate(("x", "y", "900 customers", "950 customers"))], [4, 1, 2, 3]),
+        ("show the image", "", 3, [{"images": n > 2} for n in range(5)], [1, 5, 4]),
+        ("", "", 4, [{"version": v} for v in "aaaabb"], [1, 2, 6, 5]),
+        ("alpha yield", "", 6, [{"version": v, "document_name": n} for v, n, k in (("1", "gamma.pdf", 2), ("2", "delta.pdf", 2), ("3", "alpha north.pdf", 3), ("4", "alpha south.pdf", 3)) for _ in range(k)], [10, 9, 8, 7, 5, 6]),
+        ("", "", 8, [{"document": v} for v in "a" * 8 + "b" * 4], [1, 2, 3, 4, 12, 11, 10, 9]),
+        ("", "", 8, [{"document": v} for v in "a" * 8 + "bbbc"], [1, 2, 3, 4, 5, 6, 7, 8]),
+        ("is there a conflict", "", 1, [{"text": t} for t in ("none", "5 units")], [2]),
+        ("yield", "", 1, [{"chunk_type": t} for t in ("reasoning_page", "body_text")], [2]),
+        ("", "caveat_inconsistency", 2, [{"page": "1", "document": "d"}] * 3 + [{"page": "2"}], [1, 4]),
+    ],
+)
+def test_each_evidence_rule(spark, question, labels, cap, rows, want):
+    usual = {"document": "d", "page": "1", "version": "v", "text": "", "document_name": "", "chunk_type": "body_text", "version_rank": 1, "images": False}
+    made = [(1, n, n, labels, cap, question, 1.0 / n, *(usual | r).values()) for n, r in enumerate(rows, 1)]
+    schema = "qid bigint, node_id bigint, rank bigint, labels string, cap int, question string, score double, document string, page string, version string, text string, document_name string, chunk_type string, version_rank bigint, images boolean"
+    assert chosen(spark.createDataFrame(made, schema)) == want
+
+
 def test_blend_and_variants(spark):
     rows = spark.createDataFrame([(1, "red fox", "the red fox", 0.1, 1), (1, "red fox", "blue", 0.9, 2), (1, "red fox", "red", 0.5, 3)], "qid bigint, question string, text string, score double, node_id bigint")
     assert [r.node_id for r in models.blended(rows, ["qid"]).orderBy("rank").collect()] == [2, 3, 1]
