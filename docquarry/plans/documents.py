@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,13 +113,34 @@ DOCUMENT_CANDIDATES = f"""WITH {S.CHUNKS_SQL} SELECT client_id, version_group, c
 array_to_string(list_sort(list(DISTINCT chunk_type)), ',') AS kinds, min(node_id) AS first_node FROM chunks GROUP BY 1, 2"""
 
 
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each run of one document's nodes; its text goes through the digest node by node."""
+    key, digest, counts, done = None, None, [0, 0, 0], []
+    close = lambda: done.append((*key, digest.hexdigest(), *counts)) if digest is not None else None
+    names = ("client_id", "version_group", "digest", "chars", "body_text", "full_table")
+    types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    made = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(types)], names)
+    for batch in batches:
+        done.clear()
+        for client, group, text, kind in zip(*(batch.column(k) for k in range(4))):
+            text, now = text.as_py() or "", (client.as_py(), group.as_py())
+            if digest is None or now != key:
+                close()
+                key, digest, counts = now, hashlib.sha256(), [0, 0, 0]
+            else:
+                text = "\n\n" + text
+            digest.update(text.encode())
+            counts = [counts[0] + len(text), counts[1] + (kind.as_py() == "body_text"), counts[2] + (kind.as_py() == "full_table")]
+        yield made()
+    done.clear()
+    close()
+    yield made()
+
+
 def document_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Each document as one text, its nodes in natural order, as a digest and a histogram of kinds."""
-    c = S.chunks(spark, d).withColumn("node", F.struct(F.col("page_num"), F.col("node_id"), F.col("text"), F.col("chunk_type")))
-    made = c.groupBy("client_id", "version_group").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-    body = F.array_join(F.transform("nodes", lambda n: F.coalesce(n["text"], F.lit(""))), "\n\n")
-    kinds = lambda k: F.size(F.filter("nodes", lambda n: n["chunk_type"] == k)).cast("bigint")
-    return made.select("client_id", "version_group", F.sha2(body, 256).alias("digest"), F.length(body).cast("bigint").alias("chars"), kinds("body_text").alias("body_text"), kinds("full_table").alias("full_table"))
+    """Each document as one text, its nodes in natural order, as a digest and a histogram of kinds. No document is held whole."""
+    nodes = S.chunks(spark, d).repartition("client_id", "version_group").sortWithinPartitions("client_id", "version_group", "page_num", "node_id", "text", "chunk_type")
+    return nodes.select("client_id", "version_group", "text", "chunk_type").mapInArrow(_bodies, "client_id string, version_group bigint, digest string, chars bigint, body_text bigint, full_table bigint")
 
 
 DOCUMENT_COMPARE = f"""WITH {S.CHUNKS_SQL}, b AS (SELECT client_id, version_group, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY page_num, node_id) AS body,

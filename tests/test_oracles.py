@@ -46,3 +46,13 @@ def test_retrieval_eval_keeps_gold_as_rows(spark, small, tmp_path):
     for q, same in ((0, set(range(90)) - {50}), (50, set()), (100, set(range(90, 120)))):
         assert got[q].recall_10 == round(len(near[q] & same) / len(same), 6) if same else got[q].recall_10 == 0
         assert got[q].precision == len(near[q] & same) / 10 and got[q].mrr == (1.0 if same else 0.0)
+
+
+def test_document_compare_holds_no_document_whole(spark, small, duck):
+    made = documents.document_compare(spark, small)
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert oracle.differences(documents.document_compare(spark, small), documents.ORACLES["document_compare"], duck) == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
