@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bits of a bitmap of marked keys (1 MB at any size of the input); what it marks by chance is settled by a join.
@@ -16,9 +16,12 @@ MARK_BITS = 1 << 23
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a new local one."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset a session on one machine gets a new local
+    folder; on several machines that would be a different folder on each, so it is an error there."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -38,6 +41,38 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame | None) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    jvm = df.sparkSession._jvm if df is not None else None
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if jvm is not None else ():
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        if path.getName().startswith("docquarry-"):
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``df`` has a column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as it is written in expressions, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """The whole row of ``df`` as one struct ``row``, and ``more`` columns: no name of the table can clash with them."""
+    return df.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row"), *(c.alias(k) for k, c in more.items()))
+
+
+def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The rows of ``packed`` back as columns."""
+    return df.select(*(F.col("row").getField(c).alias(c) for c in like.columns))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -47,13 +82,33 @@ def broadcast_if_small(small: DataFrame, rows: int, limit: int = 50_000) -> Data
     return F.broadcast(small) if rows <= limit else small
 
 
+#: Numbers of a range whose running sums are taken together.
+RANGE = 256
+
+
+def running_totals(totals: DataFrame, key: str, amount: str) -> DataFrame:
+    """(key, base): the sum of ``amount`` over all smaller keys (whole numbers, one row each). Sums are taken over ranges of RANGE keys
+    first, so no task sees more than that many keys or all ranges."""
+    ranged = totals.select(F.col(key).cast("bigint").alias(key), F.col(amount).alias("amount")).withColumn("range", F.expr(f"{key} div {RANGE}"))
+    ranged = stage(ranged, "ranged")
+    sums = ranged.groupBy("range").agg(F.sum("amount").alias("whole"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("range", F.coalesce(F.sum("whole").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    base = F.col("before") + F.coalesce(F.sum("amount").over(within), F.lit(0))
+    return stage(ranged.join(sums, "range").select(key, base.cast("bigint").alias("base")), "running-totals")
+
+
 #: Rows of a batch sent to a Python worker. Texts are long, and a batch is held several times over on its way.
 BATCH_ROWS = 2_000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def map_arrow(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``rows.mapInArrow`` with batches of BATCH_ROWS at most; a worker gives back the memory of a task that ends."""
+    """``rows.mapInArrow`` with batches of BATCH_ROWS at most; a worker gives back the memory of a task that ends.
+
+    The size of batches is a setting of the session that is read when a plan runs, so it stays lowered for the session.
+    """
     conf = rows.sparkSession.conf
     if not 0 < int(conf.get(_BATCH_CONF, "10000")) <= BATCH_ROWS:
         conf.set(_BATCH_CONF, BATCH_ROWS)
@@ -65,20 +120,20 @@ def map_arrow(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     return rows.mapInArrow(run, schema)
 
 
-def marks(keys: DataFrame) -> np.ndarray:
-    """A bitmap with a bit set for each row of ``keys``; the driver gets MARK_BITS bits."""
-    slot = f"cast(pmod(xxhash64({', '.join(f'`{c}`' for c in keys.columns)}), {MARK_BITS}) as int)"
+def marks(keys: DataFrame, bits: int = MARK_BITS) -> np.ndarray:
+    """A bitmap with a bit set for each row of ``keys``; the driver gets ``bits`` bits."""
+    slot = f"cast(pmod(xxhash64({', '.join(map(quoted, keys.columns))}), {bits}) as int)"
     rows = keys.selectExpr(f"{slot} div 32 AS w", f"shiftleft(1L, {slot} % 32) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    words = np.zeros(MARK_BITS // 32, np.uint64)
+    words = np.zeros(bits // 32, np.uint64)
     words[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.uint64)
     return words
 
 
 def with_mark(rows: DataFrame, columns: list[str], bitmap: np.ndarray, marked: bool) -> DataFrame:
     """The rows whose key is marked (or not marked); no shuffle. A key that was put into the bitmap is always marked."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-    named = ", ".join(f"`{c}`" for c in columns)
-    slotted = rows.withColumn("_slot", F.expr(f"cast(pmod(xxhash64({named}), {MARK_BITS}) as int)"))
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)  # of a fixed number of bits
+    slot = F.expr(f"cast(pmod(xxhash64({', '.join(map(quoted, columns))}), {len(bitmap) * 32}) as int)")
+    slotted = rows.select("*", slot.alias(fresh_name(rows, "slot")))
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,11 +23,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = common.stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = common.stage(large, "large-star")
+        large, done = common.stage(large, "large-star"), [pairs, least]
         # Small star: neighbours below u, and u, go to the least of them.
         least = common.stage(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         pairs = common.stage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        for table in (*done, large, least):
+            common.discard(table)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))

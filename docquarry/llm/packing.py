@@ -123,14 +123,9 @@ def pack(documents: DataFrame, vocabulary: str, keeps_space: bool = False, end_i
 
 
 def merge_leftovers(left: DataFrame, length: int) -> DataFrame:
-    """Lay the leftovers of all tasks end to end and cut them at every ``length``. The driver sees one number for each task."""
-    totals = sorted((r["task"], r["n"]) for r in left.groupBy("task").agg(F.sum("length").alias("n")).collect())
-    rows, before = [], 0
-    for task, n in totals:
-        rows.append((task, before))
-        before += n
-    base = left.sparkSession.createDataFrame(rows, "task int, base bigint")
-    placed = left.join(common.broadcast_if_small(base, len(rows)), "task").withColumn("at", F.col("base") + F.col("offset"))
+    """Lay the leftovers of all tasks end to end and cut them at every ``length``."""
+    base = common.running_totals(left.groupBy("task").agg(F.sum("length").alias("n")), "task", "n")
+    placed = left.join(common.broadcast_if_small(base, base.count()), "task").withColumn("at", F.col("base") + F.col("offset"))
     first, last = F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("length") - 1) / length)
     parts = placed.withColumn("part", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("part") * length, F.col("at"))

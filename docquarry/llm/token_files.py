@@ -25,6 +25,8 @@ from .tokens import encoder
 
 #: Ids of a block and of a shard (which has one frequency table), before the document that passes it; bytes of text of a file.
 BLOCK_IDS, SHARD_IDS, FILE_BYTES = 300_000, 4_000_000, 24_000_000
+#: Files at most; those of a larger corpus grow.
+MOST_FILES = 20_000
 END_ID = 2
 SCHEMA = "file_no int, shard_no int, start bigint, n_ids bigint, table binary, blocks array<binary>, doc_ids array<bigint>, lengths array<bigint>"
 
@@ -73,7 +75,7 @@ def write(documents: DataFrame, path: str, vocabulary: str, keeps_space: bool =
     """Encode every text and write the files under ``path``."""
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_files = max(1, -(-size // FILE_BYTES))
+    n_files = min(max(1, -(-size // FILE_BYTES)), MOST_FILES)
     dealt = source.withColumn("tie", F.xxhash64("text")).repartitionByRange(n_files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,11 +97,8 @@ def write(documents: DataFrame, path: str, vocabulary: str, keeps_space: bool =
 def read_documents(spark, path: str) -> DataFrame:
     """Decode the files: doc_id, start (ids of all documents before it), ids (little-endian unsigned 32-bit) of each document."""
     files = spark.read.parquet(path)
-    totals = {r["file_no"]: r["n"] for r in files.groupBy("file_no").agg(F.sum("n_ids").alias("n")).collect()}  # a number for each file
-    base, before = {}, 0
-    for file_no in sorted(totals):
-        base[file_no] = before
-        before += totals[file_no]
+    base = common.running_totals(files.groupBy("file_no").agg(F.sum("n_ids").alias("n")), "file_no", "n")
+    files = files.join(common.broadcast_if_small(base, base.count()), "file_no")
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +107,7 @@ def read_documents(spark, path: str) -> DataFrame:
                 ids = np.concatenate([rans.decode(x, table) for x in row["blocks"]]).astype("<u4")
                 offs = np.concatenate(([0], np.cumsum(row["lengths"])))
                 raw = ids.tobytes()
-                starts = base[row["file_no"]] + row["start"] + offs[:-1]
+                starts = row["base"] + row["start"] + offs[:-1]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array([raw[4 * a : 4 * b] for a, b in zip(offs[:-1], offs[1:])], pa.binary())],
                     ["doc_id", "start", "ids"],
