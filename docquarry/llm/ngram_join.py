@@ -2,17 +2,19 @@
 
 1. Texts with the same shingle set become one node (a third of all rows may be one node).
 2. Two sets that link differ in at most d shingles, d known from their sizes. Each set's shingles are dealt by hash to
-   k > d parts; some non-empty part of a linked pair is the same in both. Sets that share a part are candidates; connected
+   k > d parts; some non-empty part of a linked pair is the same in both, unless both sets have many empty parts: such sets also
+   give their first shingles by hash, one more than a linked set can lack. Sets that share such a key are candidates; connected
    candidates form a cell. No link crosses cells.
 3. In a cell a signature tree is built over its sets, and a dual traversal finds the links. Cells over a bound are cut in
-   blocks, and only sets outside a cell's largest component meet all its blocks.
+   blocks; what blocks leave open is decided among the sets that share a key, never among all sets of the cell.
 
 Very frequent shingles (shared passages) are left out of the parts of texts that have enough others: leaving the same
 shingles out of both sets never makes them differ more, so no link is lost; which ones are left out only sets the cost.
 
 Edge cases: null or wordless texts have the empty set and link with nothing; fewer words than a shingle make one shingle of
 the whole; repeated rows are one node; an empty table gives an empty result; only doc_id and text are read; a row without a
-doc_id belongs to its component but never names it unless alone (its component_id is then null).
+doc_id belongs to its component but never names it unless alone (its component_id is then null). Sets are equal when two independent
+64-bit hashes of each shingle are; links are counted on the first of them.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import connected_components
@@ -36,6 +39,8 @@ from .textarrays import mix, shingles, slices
 HOT_SHARE, HOT_LEAST, HOT_CHUNK, HOT_MOST = 0.002, 12, 4_000_000, 1 << 17
 #: Sets and shingles of a block; bytes of sets that one task gets; bits of the membership filter.
 BLOCK_SETS, BLOCK_SHINGLES, TASK_BYTES, FILTER_BITS = 1024, 8_000_000, 3_000_000, 1 << 23
+#: Tasks that the rows of one cell or key are split over when they are joined with what is known of it.
+SALTS = 32
 _U = np.uint64
 
 
@@ -46,6 +51,20 @@ class Similarity:
     words: int = 5
     percent: int = 80
 
+    def __post_init__(self):
+        if not 51 <= self.percent <= 99:
+            raise ValueError("percent must be from 51 to 99: the parts of smaller similarities would not bound what two linked sets differ in")
+
+    @property
+    def all_below(self) -> float:
+        """Sets whose share of rare shingles is below this give keys from all their shingles, those from 0.5 from the rare ones.
+
+        With a rare share below 0.5 in one set, a linked set's is largest when it lacks frequent shingles only (0.5 / p), or has rare ones
+        in addition (0.5 p + 1 - p); so two linked sets always have one of the two kinds of keys in common.
+        """
+        p = self.percent / 100
+        return max(0.5 / p, 0.5 * p + 1 - p) + 1e-6
+
 
 @lru_cache(maxsize=32)
 def _classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,12 +84,12 @@ def _classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, parts, spare.astype(np.int64)
 
 
-def fingerprints(value: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums that identify each set."""
+def fingerprints(value: np.ndarray, offs: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums that identify each set, from two independent hashes of its shingles."""
     out = []
-    for salt in (_U(0x2545F4914F6CDD1D), _U(0xD1342543DE82EF95)):
+    for hashed, salt in ((value, _U(0x2545F4914F6CDD1D)), (second, _U(0xD1342543DE82EF95))):
         total = np.zeros(len(value) + 1, np.uint64)
-        np.cumsum(mix(value ^ salt), out=total[1:])
+        np.cumsum(mix(hashed ^ salt), out=total[1:])
         out.append(mix(total[offs[1:]] - total[offs[:-1]]).view(np.int64))
     return out[0], out[1]
 
@@ -78,8 +97,8 @@ def fingerprints(value: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
 def _each_slice(batches: Iterator[pa.RecordBatch], words: int, column: int = 0):
     for batch in batches:
         for flat in slices(batch.column(column)):
-            value, offs = shingles(flat.lower(), words)
-            yield batch, flat, value, offs
+            value, offs, second = shingles(flat.lower(), words, True)
+            yield batch, flat, value, offs, *fingerprints(value, offs, second)
 
 
 def _summaries(documents: DataFrame, words: int) -> DataFrame:
@@ -95,8 +114,7 @@ def _summaries(documents: DataFrame, words: int) -> DataFrame:
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[np.ndarray] = []
         size = texts = 0
-        for batch, flat, value, offs in _each_slice(batches, words, 1):
-            fp1, fp2 = fingerprints(value, offs)
+        for batch, flat, value, offs, fp1, fp2 in _each_slice(batches, words, 1):
             yield _batch([batch.column(0).slice(flat.first, flat.n), np.diff(offs), fp1, fp2])
             parts.append(value)
             size, texts = size + len(value), texts + flat.n
@@ -114,15 +132,18 @@ def _summaries(documents: DataFrame, words: int) -> DataFrame:
 
 
 def part_keys(value: np.ndarray, offs: np.ndarray, sizes: np.ndarray, percent: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key) of each part of each set: those it shares with sets of its size class and with the class below.
+    """(set, key) of each non-empty part of each set: those it shares with sets of its size class and with the class below.
 
-    ``sizes`` are the sizes that links are judged by; ``value`` may leave shingles out.
+    ``sizes`` are the sizes that links are judged by; ``value`` may leave shingles out. Of two linked sets' parts at least one
+    more than the spare ones are equal. If either set has no more empty parts than are spared, one of those is not empty; if
+    both have more, both give their first shingles, of which they share one.
     """
     low, parts, spare = _classes(percent)
     own = np.searchsorted(low, sizes, side="right") - 1
     token_set = np.repeat(np.arange(len(sizes)), np.diff(offs))
     hashed = mix(value ^ _U(0x5851F42D4C957F2D))
     sets, keys = [], []
+    sparse = np.zeros(len(sizes), bool)
     for down in (0, 1):
         level = own - down
         k = np.where((sizes > 0) & (level >= 0), parts[np.maximum(level, 0)], 0)
@@ -135,43 +156,51 @@ def part_keys(value: np.ndarray, offs: np.ndarray, sizes: np.ndarray, percent: i
         at = np.flatnonzero(fresh)
         sums = np.add.reduceat(hashed[use], at) if len(at) else np.zeros(0, np.uint64)
         owner, part = owner[at], part[at]
-        # A set with more empty parts than are spared also gives those.
         filled = np.bincount(owner, minlength=len(sizes))
-        sparse = np.flatnonzero((k > 0) & (k - filled > spare[np.maximum(level, 0)]))
-        for s in sparse:
-            void = np.setdiff1d(np.arange(k[s]), part[np.searchsorted(owner, s) : np.searchsorted(owner, s, side="right")])
-            sets.append(np.full(len(void), s))
-            keys.append(mix(mix(void.astype(np.uint64) + _U(seed)) ^ mix(np.full(len(void), level[s] + 1, np.uint64))))
+        sparse |= (k > 0) & (k - filled > spare[np.maximum(level, 0)])
         sets.append(owner)
         keys.append(mix(sums + mix(part.astype(np.uint64) + _U(seed)) ^ mix((level[owner] + 1).astype(np.uint64))))
+    if sparse.any():
+        # A linked set lacks at most this many of a set's shingles, so the first common one is among one more of either.
+        lacks = sizes - -(-sizes * percent // 100)
+        place = np.arange(len(value)) - offs[:-1][token_set]
+        first = sparse[token_set] & (place <= lacks[token_set])
+        sets.append(token_set[first])
+        keys.append(mix(value[first] ^ mix(np.full(int(first.sum()), seed + 1, np.uint64))))
     return np.concatenate(sets), np.concatenate(keys)
 
 
+def set_keys(value: np.ndarray, offs: np.ndarray, similarity: Similarity, frequent: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) by which any two linked sets meet. ``frequent`` (ascending) are left out of sets that have enough other shingles."""
+    sizes = np.diff(offs)
+    rest = np.ones(len(value), bool)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)
+        rest = frequent[at] != value
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.bincount(owner[rest], minlength=len(sizes))
+    new = sizes > 0 if wanted is None else wanted & (sizes > 0)
+    sets, keys = [], []
+    for use, pick, seed in ((new & (2 * left >= sizes), rest, 1 << 40), (new & (left < similarity.all_below * sizes), np.ones(len(value), bool), 1 << 41)):
+        keep = use[owner] & pick
+        part_offs = np.concatenate(([0], np.cumsum(np.bincount(owner[keep], minlength=len(sizes)))))
+        a, b = part_keys(value[keep], part_offs, np.where(use, sizes, 0), similarity.percent, seed)
+        sets.append(a)
+        keys.append(b)
+    return np.concatenate(sets), np.concatenate(keys).view(np.int64)
+
+
 def _keys(documents: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataFrame:
-    """(key, node): node is the first fingerprint; equal ones of a task are given once."""
-    shared = documents.sparkSession.sparkContext.broadcast(np.sort(hot))  # HOT_MOST numbers at most
+    """(key, node): node is the first fingerprint; equal sets of a task are given once."""
+    shared = documents.sparkSession.sparkContext.broadcast(hot)  # HOT_MOST numbers at most
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, seen = shared.value, set()
-        for _, flat, value, offs in _each_slice(batches, similarity.words):
-            fp1, _ = fingerprints(value, offs)
-            sizes = np.diff(offs)
-            new = np.array([x not in seen and not seen.add(x) for x in fp1.tolist()], bool) & (sizes > 0)
-            rest = np.ones(len(value), bool)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)
-                rest = frequent[at] != value
-            owner = np.repeat(np.arange(flat.n), sizes)
-            left = np.bincount(owner[rest], minlength=flat.n)
-            # Linked sets keep shares of rare shingles less than a factor 1 / p + (1 - p) apart: those from 0.5 use the rare
-            # ones, those under 0.7 all, so one of the two is in use by both.
-            for use, pick, seed in ((new & (2 * left >= sizes), rest, 1 << 40), (new & (10 * left < 7 * sizes), np.ones(len(value), bool), 1 << 41)):
-                keep = use[owner] & pick
-                n = np.bincount(owner[keep], minlength=flat.n)
-                part_offs = np.concatenate(([0], np.cumsum(n)))
-                sets, keys = part_keys(value[keep], part_offs, np.where(use, sizes, 0), similarity.percent, seed)
-                if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp1[sets])], ["key", "node"])
+        seen: set[tuple[int, int]] = set()
+        for _, _, value, offs, fp1, fp2 in _each_slice(batches, similarity.words):
+            new = np.array([x not in seen and not seen.add(x) for x in zip(fp1.tolist(), fp2.tolist())], bool)
+            sets, keys = set_keys(value, offs, similarity, shared.value, new)
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp1[sets])], ["key", "node"])
 
     return common.map_arrow(documents.select("text"), per_task, "key bigint, node bigint")
 
@@ -186,12 +215,12 @@ def _cell_sets(documents: DataFrame, cells: DataFrame, words: int) -> DataFrame:
     bitmap = documents.sparkSession.sparkContext.broadcast(bits)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, flat, value, offs in _each_slice(batches, words):
-            fp1, fp2 = fingerprints(value, offs)
+        seen: set[tuple[int, int]] = set()
+        for _, _, value, offs, fp1, fp2 in _each_slice(batches, words):
             hashed = fp1 % FILTER_BITS
             pick = np.flatnonzero((bitmap.value[hashed // 32] >> (hashed % 32).astype(np.uint64)) & _U(1))
-            pick = [i for i in pick.tolist() if offs[i + 1] > offs[i] and fp1[i] not in seen and not seen.add(fp1[i])]
+            pairs = list(zip(fp1.tolist(), fp2.tolist()))
+            pick = [i for i in pick.tolist() if offs[i + 1] > offs[i] and pairs[i] not in seen and not seen.add(pairs[i])]
             if pick:
                 sets = [value[offs[i] : offs[i + 1]].tobytes() for i in pick]
                 yield pa.RecordBatch.from_arrays([pa.array(fp1[pick]), pa.array(fp2[pick]), pa.array(np.diff(offs)[pick]), pa.array(sets, pa.binary())], ["fp1", "fp2", "n", "shingles"])
@@ -245,12 +274,21 @@ def _stars(sided: DataFrame, percent: int, name: str) -> DataFrame:
     return common.stage(made, name)
 
 
+def _salted(large: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join many rows with a table that has one row for each value of ``on``; the rows of one value are split over SALTS tasks."""
+    salted = large.withColumn("salt", F.pmod(F.xxhash64("fp1", F.lit(5)), F.lit(SALTS)))
+    copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return salted.join(copies, [on, "salt"], how).drop("salt")
+
+
 def _blocks(sets: DataFrame) -> DataFrame:
     """``sets`` with the number of blocks of their cell and the one they are in."""
     sizes = sets.groupBy("cell").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1))
-    sizes = common.stage(sizes.select("cell", blocks.alias("blocks")), "cell-sizes")
-    return sets.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("fp2", "fp1", "blocks"), F.col("blocks")))
+    # Cells of one block, which are most, are not joined.
+    sizes = common.stage(sizes.select("cell", blocks.alias("blocks")).where("blocks > 1"), "cell-sizes")
+    number = F.coalesce(F.col("blocks"), F.lit(1).cast("bigint"))
+    return _salted(sets, sizes, "cell", "left").withColumn("blocks", number).withColumn("block", F.pmod(F.xxhash64("fp2", "fp1", "blocks"), F.col("blocks")))
 
 
 def _sided(sets: DataFrame, task, part, side: int, known=None) -> DataFrame:
@@ -262,54 +300,103 @@ def _pair(x: str):
     return F.struct(F.col(f"{x}1").alias("fp1"), F.col(f"{x}2").alias("fp2"))
 
 
-def _roots(members: DataFrame, percent: int) -> DataFrame:
+def _shared_tasks(sets: DataFrame):
+    """The task of a set: its block of a cell of several, else a task that solves many cells."""
+    volume = sets.agg(F.sum(F.col("n") * 8)).first()[0] or 0
+    few = F.pmod(F.xxhash64("cell"), F.lit(max(1, -(-volume // TASK_BYTES))))
+    return F.when(F.col("blocks") > 1, F.xxhash64("cell", "block")).otherwise(few)
+
+
+def _roots(members: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataFrame:
     """(node, root) of the sets that links connect; both are fingerprints.
 
     Cells of one block are solved many to a task. A larger cell is solved by block; then one set for each component found is
-    solved again, which connects groups of near copies in two passes over them. Only sets outside the cell's largest component
-    are then joined with all of the cell, by pairs of blocks: a link that is missing has such a set at one end.
+    solved again, which connects groups of near copies in two passes over them. Links still missing are between sets that
+    share a key, so those are then joined, key by key, where a key has sets of several components.
     """
+    percent = similarity.percent
     blocked = common.stage(_blocks(members), "blocked")
-    volume = blocked.agg(F.sum(F.col("n") * 8)).first()[0] or 0
-    n_tasks = max(1, -(-volume // TASK_BYTES))
     many = F.col("blocks") > 1
-    task = F.when(many, F.xxhash64("cell", "block")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(n_tasks)))
-    stars = _stars(_sided(blocked, task, F.col("block"), BOTH), percent, "stars")
-    whole = blocked.where(~many).select("cell").distinct()
-    roots = stars.join(whole, "cell", "left_semi").select(_pair("a").alias("node"), _pair("b").alias("root"))
+    stars = _stars(_sided(blocked, _shared_tasks(members), F.col("block"), BOTH), percent, "stars")
     large = blocked.where(many).drop("blocks", "block")
-    if large.isEmpty():
-        return roots
-    found = stars.join(whole, "cell", "left_anti")
-    heads = large.join(found.select("cell", F.col("a1").alias("fp1"), F.col("a2").alias("fp2")), ["cell", "fp1", "fp2"], "left_anti")
-    again = _blocks(heads)
+    in_large = common.stage(blocked.where(many).select("cell").distinct(), "large-cells")
+    if in_large.isEmpty():
+        return stars.select(_pair("a").alias("node"), _pair("b").alias("root"))
+    # A star's cell is a key that many stars share as well.
+    keyed = stars.withColumnsRenamed({"a1": "fp1", "a2": "fp2"})
+    flagged = common.stage(_salted(keyed, in_large.withColumn("large", F.lit(True)), "cell", "left").withColumnsRenamed({"fp1": "a1", "fp2": "a2"}), "flagged")
+    roots = flagged.where("large IS NULL").select(_pair("a").alias("node"), _pair("b").alias("root"))
+    found = flagged.where("large").select("cell", "a1", "a2", "b1", "b2")
+    heads = large.join(found.select(F.col("a1").alias("fp1"), F.col("a2").alias("fp2")), ["fp1", "fp2"], "left_anti")
+    again = common.stage(_blocks(heads), "heads")
     found = found.unionByName(_stars(_sided(again, F.xxhash64("cell", "block"), F.col("block"), BOTH), percent, "head-stars"))
     edges = found.select(_pair("a").alias("a"), _pair("b").alias("b"))
     so_far = connected_components(edges).select(F.col("node.fp1").alias("fp1"), F.col("node.fp2").alias("fp2"), F.xxhash64("root").alias("known"))
     own = F.xxhash64(F.struct("fp1", "fp2"))
-    labelled = common.stage(blocked.where(many).join(so_far, ["fp1", "fp2"], "left").withColumn("known", F.coalesce("known", own)), "labelled")
-    sizes = labelled.groupBy("cell", "known").agg(F.count("*").alias("size"))
-    main = common.stage(sizes.groupBy("cell").agg(F.max_by("known", F.struct("size", "known")).alias("main")), "main")
-    rest = common.stage(labelled.join(main, "cell").where("known <> main").drop("main", "blocks", "block"), "rest")
-    if not rest.isEmpty():
-        rest_blocks = common.stage(_blocks(rest).withColumnsRenamed({"blocks": "r_blocks", "block": "r_block"}), "rest-blocks")
-        numbers = rest_blocks.select("cell", "r_blocks").distinct()
-        every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-        right = labelled.join(common.stage(numbers, "numbers"), "cell").withColumn("r_block", every("r_blocks"))
-        left = rest_blocks.join(labelled.select("cell", "blocks").distinct(), "cell").withColumn("block", every("blocks"))
-        part = F.xxhash64("r_block", "block")
-        task = F.xxhash64("cell", "r_block", "block")
-        sided = _sided(left, task, part, LEFT, F.col("known")).unionByName(_sided(right, task, part, RIGHT, F.col("known")))
-        edges = edges.unionByName(_stars(sided, percent, "rest-stars").select(_pair("a").alias("a"), _pair("b").alias("b")))
+    labelled = common.stage(large.drop("cell").join(so_far, ["fp1", "fp2"], "left").withColumn("known", F.coalesce("known", own)), "labelled")
+    edges = edges.unionByName(_within_keys(labelled, similarity, hot))
     return roots.unionByName(connected_components(edges))
 
 
+def _open_keys(labelled: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataFrame:
+    """(cell, fp1, fp2): the sets of each key that has sets of several known components; of keys with the same sets one is taken."""
+    shared = labelled.sparkSession.sparkContext.broadcast(hot)  # HOT_MOST numbers at most
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                fp1, fp2, known, n = (batch.column(c).to_numpy() for c in ("fp1", "fp2", "known", "n"))
+                value = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
+                sets, keys = set_keys(value, np.concatenate(([0], np.cumsum(n))), similarity, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, fp1[sets], fp2[sets], known[sets])], ["cell", "fp1", "fp2", "known"])
+
+    source = labelled.select("fp1", "fp2", "known", "n", "shingles")
+    keys = common.stage(common.map_arrow(source, per_task, "cell bigint, fp1 bigint, fp2 bigint, known bigint"), "large-cell-keys")
+    same = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("fp1", "fp2").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("fp2", "fp1")).alias("xor"))
+    open_keys = keys.groupBy("cell").agg(F.min("known").alias("low"), F.max("known").alias("high"), same.alias("same")).where("low <> high")
+    chosen = common.stage(open_keys.groupBy("same").agg(F.min("cell").alias("cell")).select("cell"), "open-keys")
+    return _salted(common.with_mark(keys, ["cell"], common.marks(chosen), True), chosen, "cell").select("cell", "fp1", "fp2")
+
+
+def _within_keys(labelled: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataFrame:
+    """(a, b) of links between sets of different known components that share a key.
+
+    A key's sets are joined in one task where they are few; of more sets, those outside the key's largest component are joined with all
+    of the key, by pairs of blocks.
+    """
+    percent = similarity.percent
+    members = common.stage(_open_keys(labelled, similarity, hot).join(labelled, ["fp1", "fp2"]), "key-sets")
+    blocked = common.stage(_blocks(members), "key-blocks")
+    few = blocked.where("blocks = 1")
+    stars = _stars(_sided(few, _shared_tasks(few), F.col("block"), BOTH, F.col("known")), percent, "key-stars")
+    edges = stars.select(_pair("a").alias("a"), _pair("b").alias("b"))
+    many = blocked.where("blocks > 1")
+    if many.isEmpty():
+        return edges
+    sizes = many.groupBy("cell", "known").agg(F.count("*").alias("size"))
+    main = common.stage(sizes.groupBy("cell").agg(F.max_by("known", F.struct("size", "known")).alias("main")), "main")
+    rest = common.stage(_salted(many, main, "cell").where("known <> main").drop("main", "blocks", "block"), "rest")
+    rest_blocks = common.stage(_blocks(rest).withColumnsRenamed({"blocks": "r_blocks", "block": "r_block"}), "rest-blocks")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    right = _salted(many, common.stage(rest_blocks.select("cell", "r_blocks").distinct(), "numbers"), "cell").withColumn("r_block", every("r_blocks"))
+    left = _salted(rest_blocks, common.stage(many.select("cell", "blocks").distinct(), "all-numbers"), "cell").withColumn("block", every("blocks"))
+    part = F.xxhash64("r_block", "block")
+    task = F.xxhash64("cell", "r_block", "block")
+    sided = _sided(left, task, part, LEFT, F.col("known")).unionByName(_sided(right, task, part, RIGHT, F.col("known")))
+    return edges.unionByName(_stars(sided, percent, "rest-stars").select(_pair("a").alias("a"), _pair("b").alias("b")))
+
+
 def components(documents: DataFrame, similarity: Similarity) -> DataFrame:
     """One row for each row of ``documents``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    return _components(documents, similarity).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(documents: DataFrame, similarity: Similarity) -> DataFrame:
+    """``components`` with the fingerprints fp1 and fp2 of each row's set, and those of its component's first set, r1 and r2."""
     summary = common.stage(_summaries(documents, similarity.words), "summaries")
     texts = summary.where("n >= 0")
     frequent = summary.where("n = -1").groupBy("fp1").agg(F.sum("fp2").alias("texts")).orderBy(F.desc("texts"), "fp1").limit(HOT_MOST)
-    hot = frequent.select("fp1").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
+    hot = np.sort(frequent.select("fp1").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     nodes = common.stage(texts.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("least")), "nodes")
 
     same_part = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
@@ -317,26 +404,51 @@ def components(documents: DataFrame, similarity: Similarity) -> DataFrame:
     cells = connected_components(hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     cells = cells.unionByName(cells.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp1"), F.col("root").alias("cell"))
     members = common.stage(_cell_sets(documents, common.stage(cells, "cell-nodes"), similarity.words), "cell-sets")
-    roots = _roots(members, similarity.percent)
+    roots = _roots(members, similarity, hot)
     roots = roots.select(F.col("node.fp1").alias("fp1"), F.col("node.fp2").alias("fp2"), F.col("root.fp1").alias("r1"), F.col("root.fp2").alias("r2"))
     rooted = nodes.join(common.stage(roots, "roots"), ["fp1", "fp2"], "left")
     rooted = common.stage(rooted.select("fp1", "fp2", "least", F.coalesce("r1", "fp1").alias("r1"), F.coalesce("r2", "fp2").alias("r2")), "rooted")
     names = common.stage(rooted.groupBy("r1", "r2").agg(F.min("least").alias("component_id")), "names")
-    named = common.stage(rooted.join(names, ["r1", "r2"]).select("fp1", "fp2", "component_id"), "named")
-    linked = texts.where("n > 0").join(named, ["fp1", "fp2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(texts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = common.stage(rooted.join(names, ["r1", "r2"]).select("fp1", "fp2", "component_id", "r1", "r2"), "named")
+    n_shingles = F.col("n").alias("n_shingles")
+    linked = texts.where("n > 0").join(named, ["fp1", "fp2"]).select("doc_id", n_shingles, "component_id", "fp1", "fp2", "r1", "r2")
+    alone = texts.where("n = 0").select("doc_id", n_shingles, F.col("doc_id").alias("component_id"), "fp1", "fp2", F.col("fp1").alias("r1"), F.col("fp2").alias("r2"))
+    return linked.unionByName(alone)
 
 
 def one_of_each(documents: DataFrame, similarity: Similarity) -> DataFrame:
-    """``documents`` with the row of the smallest doc_id of each component, all columns. Rows that stay pass without a shuffle,
-    but for those that the bitmap of dropped ids marks by chance. Rows without a doc_id stay."""
-    named = common.stage(components(documents, similarity).where("doc_id IS NOT NULL"), "components")
-    gone = named.where("doc_id <> component_id").select("doc_id").distinct()
-    alike = named.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    touched = common.marks(gone.unionByName(alike))
-    clear = common.with_mark(documents, ["doc_id"], touched, False)
-    rest = common.with_mark(documents, ["doc_id"], touched, True).join(gone, "doc_id", "left_anti").select(*documents.columns)
+    """``documents`` with one row of each component, that of the smallest doc_id, all columns.
+
+    A row goes by its doc_id and its set: of rows that share a doc_id only those whose own set is linked to the one that stays, or
+    equal to it, are dropped. Rows that stay pass without a shuffle, but for those that the bitmap of dropped rows marks by
+    chance. Rows without a doc_id, and without words, stay.
+    """
+    parts = _components(documents, similarity).where("doc_id IS NOT NULL AND n_shingles > 0")
+    named = common.stage(parts.select("doc_id", "fp1", "fp2", "component_id", "r1", "r2"), "components")
+    # Of a component's rows with its smallest doc_id one stays, of the least fingerprint.
+    first = named.where("doc_id = component_id").groupBy("r1", "r2").agg(F.min(F.struct("fp1", "fp2")).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    tied = common.stage(first.where("n > 1").select("r1", "r2", "first", "least"), "tied")
+    other = F.struct("fp1", "fp2") != F.col("first")
+    gone = named.where("doc_id <> component_id").select("doc_id", "fp1", "fp2")
+    gone = common.stage(gone.unionByName(named.where("doc_id = component_id").join(tied, ["r1", "r2"]).where(other).select("doc_id", "fp1", "fp2")).distinct(), "gone")
+    alike = common.stage(tied.select(F.col("least").alias("doc_id"), "first.fp1", "first.fp2"), "alike")
+    touched = common.marks(gone.select("doc_id").unionByName(alike.select("doc_id")))
+    rows = common.packed(documents, doc_id=F.col("doc_id").cast("bigint"), text=F.col("text"))
+    clear = common.with_mark(rows, ["doc_id"], touched, False).select("row")
+    rest = _with_prints(common.with_mark(rows, ["doc_id"], touched, True), similarity.words).join(gone, ["doc_id", "fp1", "fp2"], "left_anti")
     if not alike.isEmpty():
-        several = rest.join(alike, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id"])
-        rest = rest.join(alike, "doc_id", "left_anti").select(*documents.columns).unionByName(several)
-    return clear.unionByName(rest)
+        several = rest.join(alike, ["doc_id", "fp1", "fp2"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"])
+        rest = rest.join(alike, ["doc_id", "fp1", "fp2"], "left_anti").unionByName(several)
+    return common.unpacked(clear.unionByName(rest.select("row")), documents)
+
+
+def _with_prints(rows: DataFrame, words: int) -> DataFrame:
+    """``rows`` of (row, doc_id, text) with the fingerprints of their sets in place of the text."""
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, flat, _, _, fp1, fp2 in _each_slice(batches, words, 2):
+            here = batch.slice(flat.first, flat.n)
+            yield pa.RecordBatch.from_arrays([here.column(0), here.column(1), pa.array(fp1), pa.array(fp2)], ["row", "doc_id", "fp1", "fp2"])
+
+    fields = [*rows.select("row", "doc_id").schema.fields, T.StructField("fp1", T.LongType()), T.StructField("fp2", T.LongType())]
+    return common.map_arrow(rows.select("row", "doc_id", "text"), per_task, T.StructType(fields))
