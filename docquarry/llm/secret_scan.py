@@ -1,7 +1,9 @@
 """Secret scan: fixed patterns, and character Markov models that tell random strings from ordinary identifiers.
 
 Two first-order models over the characters that keys are made of, one of random strings and one of ordinary identifiers,
-are trained from labelled samples. A long unbroken run whose log-likelihood ratio per transition is above the threshold
+are trained from labelled samples: random strings in the writings of keys, against words, identifiers, paths, dates, numbers and
+addresses formed from labelled documents. A part of both is held out; it sets the threshold and gives precision and recall. A long
+unbroken run whose log-likelihood ratio per transition is above the threshold
 is a span of kind ``random``. Everything runs as DataFrame functions; only the two tables of bigram counts, whose size the
 alphabet fixes, reach the driver.
 
@@ -14,9 +16,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
 from . import spans as S
 
 #: Characters of key-like strings; the base patterns.
@@ -31,6 +34,10 @@ MIN_RUN = 20
 RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_RUN},}}+"
 #: Labelled documents whose words train the model of ordinary identifiers, and random strings drawn, at most.
 MAX_LABELLED, RANDOM_STRINGS = 4_000, 6_000
+#: Words of a labelled document that identifiers are formed from.
+WORDS_EACH = 12
+#: Share of held-out random strings that the threshold may miss.
+MISSED = 0.005
 
 
 @dataclass(frozen=True)
@@ -67,22 +74,58 @@ def random_samples(documents: DataFrame, n: int = RANDOM_STRINGS) -> DataFrame:
 
 
 def ordinary_samples(documents: DataFrame, labels: DataFrame, n: int = MAX_LABELLED) -> DataFrame:
-    """Labelled ordinary strings: the long words without digits of at most ``n`` labelled documents, those of the smallest hashes."""
+    """Labelled ordinary strings from at most ``n`` labelled documents, those of the smallest hashes: long runs of their texts, less
+    what the fixed patterns find, and identifiers, paths, numbers and addresses formed from neighbouring words."""
     chosen = labels.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # n rows at most
-    words = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_-]{8,}+(?![0-9+/=])"), F.lit(0))
-    return texts.select(F.explode(words).alias("token"), F.lit(0).alias("random"))
+    plain = F.col("text")
+    for pattern in (ASSIGN, ACCESS, HEX):
+        plain = F.regexp_replace(plain, pattern, " ")
+    texts = common.stage(texts.select("doc_id", plain.alias("text")), "ordinary-texts")
+    runs = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}+"), F.lit(0))).alias("token"))
+    words = texts.select("doc_id", F.posexplode(F.slice(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{3,12}\b"), F.lit(0)), 1, WORDS_EACH)).alias("at", "a"))
+    following = Window.partitionBy("doc_id").orderBy("at")
+    words = words.select("doc_id", "at", F.lower("a").alias("a"), F.lower(F.lead("a").over(following)).alias("b"), F.lower(F.lead("a", 2).over(following)).alias("c")).where("c IS NOT NULL")
+    number = F.pmod(F.xxhash64("doc_id", "at", F.lit(3)), F.lit(10**18)).cast("string")
+    few = lambda k: F.substring(number, 1, k)
+    forms = [
+        F.concat_ws("_", "a", "b", "c"),
+        F.concat_ws("/", "a", "b", F.initcap("c")),
+        F.concat(F.lit("/"), F.concat_ws("/", "a", "b"), F.lit("/"), few(4)),
+        F.concat("a", F.initcap("b"), F.initcap("c"), few(1)),
+        F.concat(F.lit("get"), F.initcap("a"), F.initcap("b")),
+        F.concat_ws("-", "a", "b", few(3)),
+        F.concat(F.col("a"), F.lit("_id_"), number),
+        F.concat_ws("_", F.upper("a"), F.upper("b"), F.upper("c")),
+        F.concat(number, F.reverse(few(6))),
+        F.concat(F.lit("20"), few(2), F.lit("-0"), few(1), F.lit("-1"), few(1), F.lit("_"), F.col("a"), F.lit("_v"), few(1)),
+        F.concat(F.lit("//www-"), F.col("a"), F.lit("/"), F.col("b"), F.lit("/"), few(6)),
+        F.concat(F.lit("12345678901234567890"), few(2)),
+        # Rules and runs of one character, the alphabet, and times.
+        F.repeat(F.substring(F.lit("-=_+/-=_-=" + ALPHABET), F.pmod(F.xxhash64("a"), F.lit(len(ALPHABET) + 10)).cast("int") + 1, F.lit(1)), MIN_RUN + F.pmod(F.xxhash64("b"), F.lit(60)).cast("int")),
+        F.substring(F.when(F.length("a") % 2 == 0, F.lit(ALPHABET)).otherwise(F.lit(ALPHABET[26:52] + ALPHABET[:26])), F.pmod(F.xxhash64("b"), F.lit(9)).cast("int") + 1, F.lit(26)),
+        F.concat(F.lit("20"), few(2), F.lit("-0"), few(1), F.lit("-1"), few(1), F.lit("T1"), few(1), F.lit("-"), few(2), F.lit("-"), few(2), F.lit("Z")),
+        F.concat_ws("_", F.upper("a"), F.initcap("b"), F.upper("c"), few(2)),
+    ]
+    formed = words.select(F.get(F.array(*forms), F.pmod(F.xxhash64("a", "b", "c"), F.lit(len(forms))).cast("int")).alias("token"))
+    return runs.unionByName(formed).select("token", F.lit(0).alias("random"))
+
+
+def held_out() -> Column:
+    """Whether a sample is kept from training: a fifth of all strings, by their hash."""
+    return F.pmod(F.xxhash64("token"), F.lit(5)) == 0
 
 
 def train(samples: DataFrame, smoothing: float = 0.5, false_share: float = 0.0005, least: float = 0.3) -> MarkovPair:
     """Fit both models. ``samples`` has ``token`` and ``random`` (1 random, 0 ordinary).
 
-    The threshold is the score that ``false_share`` of the ordinary strings exceed, at least ``least``. Without samples
-    of one kind its model is uniform.
+    The threshold is the score that ``false_share`` of the held-out ordinary strings exceed, at least ``least`` and at most what all
+    but MISSED of the held-out random strings exceed. Without samples of one kind its model is uniform.
     """
     n = len(ALPHABET)
     samples = samples.where(F.col("token").isNotNull() & (F.length("token") >= 2))
-    grams = samples.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2)))).alias("gram"))
+    learnt = samples.where(~held_out())
+    grams = learnt.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2)))).alias("gram"))
     counts = {(r["random"], r["gram"]): r["count"] for r in grams.groupBy("random", "gram").count().collect()}  # alphabet size squared, twice
 
     def logs(kind: int) -> list[float]:
@@ -95,9 +138,23 @@ def train(samples: DataFrame, smoothing: float = 0.5, false_share: float = 0.000
 
     ratios = tuple(r - o for r, o in zip(logs(1), logs(0), strict=True))
     pair = MarkovPair(ratios, least)
-    scored = samples.where((F.col("random") == 0) & (F.length("token") >= MIN_RUN)).select(pair.score(F.col("token")).alias("s"))
-    q = scored.agg(F.percentile_approx("s", 1 - false_share, 10_000)).first()[0]
-    return MarkovPair(ratios, max(least, q if q is not None else least))
+    scored = samples.where(held_out() & (F.length("token") >= MIN_RUN)).select("random", pair.score(F.col("token")).alias("s"))
+    of = lambda kind, share: F.percentile_approx(F.when(F.col("random") == kind, F.col("s")), share, 10_000)
+    high, most = scored.agg(of(0, 1 - false_share), of(1, MISSED)).first()
+    high = least if high is None else high
+    return MarkovPair(ratios, max(least, high if most is None else min(high, most)))
+
+
+def measure(samples: DataFrame, models: MarkovPair) -> dict[str, float]:
+    """Counts of held-out strings of MIN_RUN characters or more, and the models' precision and recall on them."""
+    judged = samples.where(held_out() & (F.length("token") >= MIN_RUN)).select("random", (models.score(F.col("token")) > F.lit(models.threshold)).cast("int").alias("said"))
+    row = judged.agg(
+        F.count(F.when(F.col("random") == 1, 1)).alias("n_random"),
+        F.count(F.when(F.col("random") == 0, 1)).alias("n_ordinary"),
+        F.coalesce(F.sum(F.when(F.col("random") == 1, F.col("said"))), F.lit(0)).alias("right"),
+        F.coalesce(F.sum("said"), F.lit(0)).alias("said"),
+    ).first()
+    return {"random": row["n_random"], "ordinary": row["n_ordinary"], "precision": row["right"] / max(row["said"], 1), "recall": row["right"] / max(row["n_random"], 1)}
 
 
 def scan(documents: DataFrame, models: MarkovPair) -> DataFrame:

@@ -12,13 +12,21 @@ def none_found() -> Column:
     return F.expr(f"cast(array() as {SPAN})")
 
 
+#: Matches of a text that are numbered at a time: a longer text's spans are put together from arrays of so many.
+CHUNK = 256
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def find(text: Column, kind: str, kind_no: int, pattern: str, hint: str | None = None) -> Column:
     """All leftmost non-overlapping matches of ``pattern``; ``hint`` is a substring without which nothing can match.
 
     What lies between matches is split off, so a match begins after the lengths of all that came before it.
     """
-    rx = F.lit(pattern)
-    found = F.regexp_extract_all(text, rx, F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
 
     def step(acc: Column, x: Column) -> Column:
@@ -28,8 +36,15 @@ def find(text: Column, kind: str, kind_no: int, pattern: str, hint: str | None =
         return F.struct(until.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     zipped = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, value: F.struct(gap.alias("0"), value.alias("1")))
-    start = F.struct(F.lit(0).cast("bigint").alias("pos"), none_found().alias("out"))
-    spans = F.aggregate(zipped, start, step, lambda acc: acc["out"])
+
+    def chunk(acc: Column, no: Column) -> Column:
+        begin = F.struct(acc["pos"].alias("pos"), none_found().alias("out"))
+        part = F.aggregate(F.slice(acc["all"], no * CHUNK + 1, F.lit(CHUNK)), begin, step)
+        return _let(part, lambda p: F.struct(p["pos"].alias("pos"), acc["all"].alias("all"), F.concat(acc["out"], F.array(p["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("pos"), zipped.alias("all"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+    chunks = F.sequence(F.lit(0), F.expr("cast(0 as int)") + ((F.size(found) - 1) / F.lit(CHUNK)).cast("int"))
+    spans = F.aggregate(chunks, start, chunk, lambda acc: F.flatten(acc["out"]))
     test = F.size(found) > 0
     if hint is not None:
         test = F.contains(text, F.lit(hint)) & test
