@@ -13,6 +13,7 @@ result; only doc_id and text are read; a template repeated in a text is reported
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,12 @@ class Index:
         return np.unique(np.concatenate(out, 1), axis=1).T if out else np.zeros((0, 2), np.int64)
 
 
+@lru_cache(maxsize=4)
+def _index(templates: tuple[tuple[str, str], ...]) -> Index:
+    """The worker's index of some templates."""
+    return Index(templates)
+
+
 def matches(flat: Flat, index: Index) -> dict[int, list[tuple[int, int, int, int]]]:
     """For each text with a match: (first word, last word, percent contained, template), no two of a template overlapping."""
     value, doc, starts, ends = _shingles(flat)
@@ -145,11 +152,10 @@ def _best(places: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
 
 def scan(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """SCHEMA's columns for every row; begin and until are code points of the text, until exclusive."""
-    templates = list(templates)
-    kept: dict[str, Index] = {}
+    templates = tuple(map(tuple, templates))
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = kept.setdefault("index", Index(templates))
+        index = _index(templates)
         for batch in batches:
             for flat in slices(batch.column(1)):
                 found = matches(flat, index)

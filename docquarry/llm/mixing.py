@@ -3,7 +3,9 @@
 A source's weight is its share of tokens to the power a, normalised. a = 1 keeps the shares, a = 0 makes all sources equal.
 The exponent is bisected for a target entropy, or for the flattest mix in which no source is repeated more often than a
 limit. Each weight is then a budget of tokens, realised on blocks of documents: as many whole passes as fit, and of one
-more pass the first blocks of a seeded permutation until the budget is reached (the block that reaches it included).
+more pass the first blocks of a seeded permutation up to the budget; the block that reaches it is taken when that comes
+nearer to the budget, so a source misses its budget by half a block at most. A source has LEAST_BLOCKS blocks at least, as far
+as it has documents, so a block is at most about that share of it whatever else the corpus holds.
 
 Edge cases: a null source is a source of its own; a null text has no tokens (its document follows its block); repeated rows
 are taken together; sources without tokens get no weight and are left out (copies 0); an empty table gives an empty result;
@@ -22,6 +24,8 @@ from . import common
 
 #: Least tokens of a block and most blocks (besides one for each source), so that the plan of blocks stays small at any size.
 BLOCK_TOKENS, MOST_BLOCKS = 2_000, 40_000
+#: Blocks of a source at least.
+LEAST_BLOCKS = 64
 #: Ranges of the permutation whose sums are taken first; exponents tried in one pass (five halvings), and passes.
 RANGES, TRIED, PASSES = 64, 31, 7
 
@@ -111,7 +115,7 @@ def make_plan(sized: DataFrame, target: Target) -> Plan:
         "source_key",
         "weight",
         F.col("tokens").alias("source_tokens"),
-        F.greatest(F.ceil(F.col("tokens") / per_block), F.lit(1)).alias("n_blocks"),
+        F.greatest(F.ceil(F.col("tokens") / per_block), F.lit(LEAST_BLOCKS)).cast("bigint").alias("n_blocks"),
         F.round(F.col("weight") * budget).cast("bigint").alias("source_budget"),
     )
     mix = common.stage(mix, "mix-weights")
@@ -136,7 +140,8 @@ def _block_copies(keyed: DataFrame, seed: int) -> DataFrame:
     run = size.join(by_range, ["source_key", "range"]).withColumn("before", F.col("before_range") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     passes = F.floor(F.col("source_budget") / F.col("source_tokens"))
     rest = F.col("source_budget") - passes * F.col("source_tokens")
-    return run.select("source_key", "block", (passes + F.when(F.col("before") < rest, 1).otherwise(0)).cast("bigint").alias("copies"), "position")
+    reached = (F.col("before") < rest) & (2 * (rest - F.col("before")) >= F.col("tokens"))
+    return run.select("source_key", "block", (passes + F.when(reached, 1).otherwise(0)).cast("bigint").alias("copies"), "position")
 
 
 def report(documents: DataFrame, target: Target) -> DataFrame:
@@ -150,9 +155,8 @@ def report(documents: DataFrame, target: Target) -> DataFrame:
 
 def mixed(documents: DataFrame, target: Target) -> DataFrame:
     """``documents`` with each row taken as often as the plan says, all columns; the texts are not shuffled."""
-    names = documents.columns
     sized = documents.select("doc_id", source_key(F.col("source")).alias("source_key"), word_tokens(F.col("text")).alias("tokens"))
     made = make_plan(common.stage(sized, "mix-rows"), target)
-    packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), source_key(F.col("source")).alias("source_key"), F.col("doc_id").alias("_mix_id"))
-    taken = made.apply(packed).where("copies > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-    return taken.select("_row.*")
+    rows = common.packed(documents, source_key=source_key(F.col("source")), _mix_id=F.col("doc_id"))
+    taken = made.apply(rows).where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return common.unpacked(taken, documents)
