@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that the one before kept, and gives documents' columns; the last one
 gives the pieces of the packed sequences.
+
+A null text counts as empty. All columns pass through the stages untouched, whatever their names, up to packing, which reads doc_id and
+text only. An empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations
@@ -20,27 +23,32 @@ MIX = mixing.Target(repetitions=2.0)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and short texts go; repeated rows share a verdict; a text is judged whole
+    at any length; without labels only the base rule rejects."""
     return quality_rules.kept_rows(docs, *quality_rules.fit(docs, common.read(spark, sf_dir, "labels")))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the one with the most code points, then the smallest doc_id. All null and empty
+    texts are one group; of rows alike in doc_id and text one stays; a null doc_id counts as larger than all others."""
     return exact_dedup.dedup(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, the one of the smallest doc_id. Texts without words and rows without a doc_id
+    stay; rows that share a doc_id are judged each by its own text."""
     return ngram_join.one_of_each(docs, NEAR)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them. A null source is one of its own; texts without words go with their
+    block; of a source without words no document is taken."""
     return mixing.mixed(docs, MIX)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences."""
+    """Pieces of packed sequences. A null or empty text is its end id alone; each repeated row is packed; a long text fills sequences
+    of its own."""
     return packing.report(docs, vocabulary("word_bpe_49k.json"))
 
 
