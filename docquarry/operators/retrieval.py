@@ -24,64 +24,102 @@ CHART_TERMS = ("chart", "graph", "plot", "trend", "map", "diagram", "figure", "l
 NUMERIC_TERMS = (
     "how many", "how much", "number", "number of", "count", "numbers", "metric", "metrics", "percentage", "percent", "value", "values",
 )
+IMAGE_TERMS = (
+    "image", "images", "screenshot", "screenshots", "visual", "asset list", "property list", "named assets", "named properties",
+    "property names", "which markets", "u.s. region", "us region", "regions",
+)
+CONFLICT_TERMS = ("conflict", "conflicting", "contradict", "contradiction", "across documents", "across sources", "disagree")
+TIME_TERMS = ("as of", "q1", "q2", "q3", "q4", "fy", "fiscal", "expected close")
+YEAR = r"\b(?:19|20)\d{2}\b"
+METRIC = r"(?i)\b\$?\d[\d,]*(?:\.\d+)?\s*(?:[+%x]|bn|m|billion|million)?\s+(?:global\s+)?([a-z][a-z-]+)s?\b"
+DIVERSE_LABELS = ("temporal_delta", "outlook_scope", "visual_detail", "named_entity_comparison")
+COMPARATIVE_TERMS = ("compare", "comparison", "difference", "change", "changes", "changed", "conflict", "conflicting", "contradict", "versus", "vs", "between")
+BALANCED_TERMS = ("different", "both", "each", "across", "sectors", "represented", "for each")
+CHART_FIGURES = ("chart", "diagram", "infographic")
 TABLE_CHUNKS = ("full_table", "table_segment", "table_summary_text")
 CHART_CHUNKS = ("figure_artifact", "chart_context", "chart_data_points", "visual_proxy_text")
-#: Queries whose vectors are sent to the tasks at once.
-QUERY_BLOCK = 4096
-
-
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, scope: tuple[str, ...] = (), apart: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """(qid, node_id, score, rank): cosine top k, within equal ``scope`` columns and of another ``apart`` value.
-
-    Both sides have node_id or qid, ``embedding``, and those columns. Queries go out in blocks of bounded size; every task
-    keeps its own best k of a block, and the best of those are ranked by window. Scores are rounded to six places, ties go to
-    the smaller node_id.
+#: Queries of a block, and vectors of one. Up to a block of queries is sent to the tasks; more are shuffled with the vectors.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 65_536
+_FOUND = "qid bigint, node_id bigint, score double"
+
+
+class _Best:
+    """The ``k`` best nodes of each query of a block so far; ties go to the smaller node."""
+
+    def __init__(self, queries: pa.Table, k: int, fields: list[str], apart: str | None):
+        self.k, self.fields, self.apart = k, fields, apart
+        self.qid = queries.column("qid").to_numpy(zero_copy_only=False)
+        self.matrix, self.sides = _unit(queries.column("embedding")), self._sides(queries)
+        self.score = np.full((len(self.qid), 0), -np.inf)
+        self.node = np.zeros((len(self.qid), 0), np.int64)
+
+    def _sides(self, rows) -> dict[str, np.ndarray]:
+        return {f: np.array([str(v) for v in rows.column(f).to_pylist()]) for f in self.fields}
+
+    def add(self, rows) -> None:
+        """Meet a batch of vectors: node_id, embedding and the fields."""
+        if not rows.num_rows:
+            return
+        node, sides = rows.column("node_id").to_numpy(zero_copy_only=False), self._sides(rows)
+        score = np.round(self.matrix @ _unit(rows.column("embedding")).T, 6) + 0.0
+        for f in self.fields:
+            same = self.sides[f][:, None] == sides[f][None]
+            score[same if f == self.apart else ~same] = -np.inf
+        score = np.concatenate((self.score, score), 1)
+        node = np.concatenate((self.node, np.broadcast_to(node, (len(self.qid), len(node)))), 1)
+        order = np.lexsort((node, -score), axis=1)[:, : self.k]
+        self.score, self.node = np.take_along_axis(score, order, 1), np.take_along_axis(node, order, 1)
+
+    def found(self) -> pa.Table:
+        keep = np.isfinite(self.score)
+        columns = [pa.array(np.repeat(self.qid, keep.sum(1)), pa.int64()), pa.array(self.node[keep], pa.int64()), pa.array(self.score[keep], pa.float64())]
+        return pa.table(columns, ["qid", "node_id", "score"])
+
+
+def _unit(column) -> np.ndarray:
+    """A list column as rows of length 1."""
+    matrix = np.array(column.to_pylist(), np.float64)
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+
+def dense_topk(
+    queries: DataFrame, vectors: DataFrame, k: int, scope: tuple[str, ...] = (), apart: str | None = None, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK
+) -> DataFrame:
+    """(qid, node_id, score, rank): cosine top k, within equal ``scope`` columns and of another ``apart`` value; exact.
+
+    Both sides have node_id or qid, ``embedding`` (rows without one find nothing), and those columns. Up to ``query_block`` queries go
+    to the tasks that read the vectors, which aren't shuffled then. More are dealt to blocks, and every pair of a block of
+    queries and one of vectors is a task of its own. A task keeps its own best k of each query; the best of those are ranked by
+    window. Scores are rounded to six places, ties go to the smaller node_id.
     """
     fields = [*scope, *([apart] if apart else [])]
-    numbered = queries.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("qid"), F.lit(64))).orderBy("qid")) - 1) / F.lit(max(1, block // 64))))
-    numbered = numbered.select("qid", "embedding", *fields, "_block").orderBy("_block")
-    parts: list[DataFrame] = []
-    batch: list = []
-
-    def search(rows: list) -> DataFrame:
-        qid = np.array([r["qid"] for r in rows])
-        matrix = np.array([r["embedding"] for r in rows], np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        sides = {f: np.array([str(r[f]) for r in rows]) for f in fields}
-        shared = vectors.sparkSession.sparkContext.broadcast((qid, matrix, sides))
+    asked = queries.where("embedding IS NOT NULL").select("qid", "embedding", *fields)
+    held = vectors.where("embedding IS NOT NULL").select("node_id", "embedding", *fields)
+    few = asked.limit(query_block + 1).toArrow()  # a block and one row at most
+    if few.num_rows <= query_block:
+        shared = vectors.sparkSession.sparkContext.broadcast(few)
 
         def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, mine, sides_of = shared.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                node = b.column(0).to_numpy()
-                x = np.array(b.column(1).to_pylist(), np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                score = np.round(mine @ x.T, 6) + 0.0
-                for i, f in enumerate(fields):
-                    other = np.array([str(v) for v in b.column(2 + i).to_pylist()])
-                    same = sides_of[f][:, None] == other[None]
-                    score[same if f == apart else ~same] = -np.inf
-                order = np.argsort(node, kind="stable")
-                score, node = score[:, order], node[order]
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                top = np.take_along_axis(score, best, 1)
-                keep = np.isfinite(top)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1))), pa.array(node[best][keep]), pa.array(top[keep])], ["qid", "node_id", "score"])
-
-        return vectors.select("node_id", "embedding", *fields).mapInArrow(per_task, "qid bigint, node_id bigint, score double")
-
-    for row in numbered.toLocalIterator():
-        batch.append(row)
-        if len(batch) == block:
-            parts.append(search(batch))
-            batch = []
-    if batch or not parts:
-        parts.append(search(batch) if batch else vectors.limit(0).selectExpr("node_id AS qid", "node_id", "0D AS score"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+            best = _Best(shared.value, k, fields, apart)
+            for batch in batches:
+                best.add(batch)
+            yield from best.found().to_batches()
+
+        found = held.mapInArrow(per_task, _FOUND) if few.num_rows else held.select(F.col("node_id").alias("qid"), "node_id", F.lit(0.0).alias("score")).where("false")
+    else:
+        n_q, n_v = -(-asked.count() // query_block), max(1, -(-held.count() // vector_block))
+        block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.withColumn("q_block", block("qid", n_q)).withColumn("v_block", every(n_v))
+        right = held.withColumn("v_block", block("node_id", n_v)).withColumn("q_block", every(n_q))
+
+        def pair(some: pa.Table, rows: pa.Table) -> pa.Table:
+            best = _Best(some, k, fields, apart)
+            for batch in rows.to_batches(max_chunksize=8192):
+                best.add(batch)
+            return best.found()
+
+        found = left.groupBy("q_block", "v_block").cogroup(right.groupBy("q_block", "v_block")).applyInArrow(pair, _FOUND)
     return top_ranked(found, ["qid"], [F.desc("score"), F.asc("node_id")], k)
 
 
@@ -143,13 +181,13 @@ def temporal_context(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def temporal_adjustment(now: str, prefer_latest: bool = True) -> Column:
+def temporal_adjustment(now: str, prefer_latest: bool | Column = True) -> Column:
     """What versions and dates add to a score; ``now`` is a date."""
     day, latest = F.lit(now).cast("date"), F.lit(prefer_latest)
     current = F.coalesce("is_current", F.lit(False)) | F.col("implicit_current")
-    out = F.when(current, F.lit(0.1 if prefer_latest else 0.01)).when(~F.coalesce("is_current", F.lit(True)) & latest, -0.05).otherwise(0.0)
+    out = F.when(current, F.when(latest, 0.1).otherwise(0.01)).when(~F.coalesce("is_current", F.lit(True)) & latest, -0.05).otherwise(0.0)
     out = out + F.when(F.col("superseded") & latest, -0.05).otherwise(0.0)
-    rank = F.least(F.col("version_rank") / RANK_SCALE, F.lit(1.0)) * RANK_WEIGHT * (1.0 if prefer_latest else 0.25)
+    rank = F.least(F.col("version_rank") / RANK_SCALE, F.lit(1.0)) * RANK_WEIGHT * F.when(latest, 1.0).otherwise(0.25)
     out = out + F.when(F.col("version_rank") > 0, rank).otherwise(0.0)
     begin, end = F.col("effective_from"), F.col("effective_to")
     late = -F.least(F.datediff(day, end) / 30.0 * 0.02, F.lit(0.10))
@@ -159,18 +197,60 @@ def temporal_adjustment(now: str, prefer_latest: bool = True) -> Column:
     return out + F.when(latest & age.isNotNull(), F.when(age < 90, 0.04).when(age < 365, 0.015).when(age > 730, -0.02).otherwise(0.0)).otherwise(0.0)
 
 
-def structural_adjustment(question: Column, chunk_type: Column, numeric: Column, density: Column) -> Column:
-    """What the kind of a chunk adds for the kind of a question, within -0.25 and 0.6."""
+def structural_adjustment(question: Column, chunk_type: Column, numeric: Column, density: Column, more: dict[str, Column] | None = None) -> Column:
+    """What the kind and quality of a chunk add for the kind of a question, within -0.25 and 0.6.
+
+    ``more`` may hold text, described (the text of its metadata), images, table, chart (flags), figure_type, page_class, enrichment
+    and layout (confidences) and degraded; what is missing counts as absent.
+    """
+    m = more or {}
     q = F.lower(question)
-    table, chart, number = (contains_any(q, t) for t in (TABLE_TERMS, CHART_TERMS, NUMERIC_TERMS))
-    is_table, is_chart, thought = chunk_type.isin(*TABLE_CHUNKS), chunk_type.isin(*CHART_CHUNKS), chunk_type.startswith("reasoning_")
+    table, chart, image, number = (contains_any(q, t) for t in (TABLE_TERMS, CHART_TERMS, IMAGE_TERMS, NUMERIC_TERMS))
+    has = lambda name: F.coalesce(m[name], F.lit(False)) if name in m else F.lit(False)
+    is_table = chunk_type.isin(*TABLE_CHUNKS) | has("table")
+    figure = m["figure_type"].isin(*CHART_FIGURES) if "figure_type" in m else F.lit(False)
+    is_chart, thought = chunk_type.isin(*CHART_CHUNKS) | has("chart") | F.coalesce(figure, F.lit(False)), chunk_type.startswith("reasoning_")
     add = lambda test, x: F.when(test, F.lit(x)).otherwise(F.lit(0.0))
     out = add(table & is_table, 0.12) + add(chart & is_chart, 0.12) + add((table | chart) & thought, 0.05) + add(number & numeric, 0.03)
-    out = out + add((table | chart) & (is_table | is_chart), 0.06)
-    out = out + F.when(number, F.when(density >= 0.25, 0.045).when(density >= 0.08, 0.025).otherwise(0.0)).otherwise(0.0)
+    out = out + add((table | chart | q.contains("legend")) & (is_table | is_chart), 0.06) + add(image & has("images"), 0.06)
+    if "text" in m:
+        direct = F.size(F.array_intersect(subjects(question), stated_subjects(m["text"]))) > 0
+        counts = contains_any(q, COUNT_TERMS) & (F.size(subjects(question)) > 0) & (F.length(m["text"]) > 0)
+        out = out + F.when(counts, breakdown_adjustment(m["text"], chunk_type, direct)).otherwise(F.lit(0.0))
+    if "described" in m:
+        out = out + overlap_adjustment(question, m["described"])
+    out = out + quality_adjustment(table, chart, image, number, density, m)
     return F.least(F.greatest(out, F.lit(-0.25)), F.lit(0.6))
 
 
+def quality_adjustment(table: Column, chart: Column, image: Column, number: Column, density: Column, more: dict[str, Column]) -> Column:
+    """What a page's class, its share of numbers and the parser's confidence add."""
+    out = F.when(number, F.when(density >= 0.25, 0.045).when(density >= 0.08, 0.025).otherwise(0.0)).otherwise(0.0)
+    if "page_class" in more:
+        fits = lambda test, kind: F.when(test & (more["page_class"] == kind), 0.035).otherwise(0.0)
+        out = out + fits(table, "table_heavy_page") + fits(chart | image, "visual_heavy_page")
+    if "enrichment" in more:
+        sure = F.when(more["enrichment"] >= 0.85, 0.025).when(more["enrichment"] < 0.65, -0.03).otherwise(0.0)
+        out = out + F.when(table | chart | image, sure).otherwise(0.0)
+    if "layout" in more:
+        out = out + F.when(more["layout"] < 0.8, -0.04).when(more["layout"] < 0.9, -0.02).otherwise(0.0)
+    if "degraded" in more:
+        out = out + F.when(more["degraded"], -0.04).otherwise(0.0)
+    return out
+
+
+def stated_subjects(text: Column) -> Column:
+    """Names of the metrics that a text states a number of."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(METRIC), F.lit(1)), singular)
+
+
+def prefers_latest(question: Column, labels: Column) -> Column:
+    """Whether newer versions are preferred: not for comparisons, scopes over several documents, and questions on a given time."""
+    q = F.lower(question)
+    other = contains_any(q, COMPARATIVE_TERMS) | contains_any(q, BALANCED_TERMS) | F.array_contains(labels, "corpus_wide_scope") | F.array_contains(labels, "temporal_delta")
+    return ~(other | q.rlike(YEAR) | contains_any(q, TIME_TERMS))
+
+
 def authority_adjustment(score: Column) -> Column:
     a = score.cast("double")
     return F.when(a.isNotNull() & (a != 1.0), F.greatest(F.least(a - 1.0, F.lit(1.0)), F.lit(-1.0)) * 0.05).otherwise(F.lit(0.0))
@@ -182,19 +262,23 @@ def diverse_first(rows: DataFrame, keys: list[str], group: str, cap: int) -> Dat
     return top_ranked(rows.withColumn("_later", ~first).withColumnRenamed("rank", "given_rank"), keys, [F.asc("_later"), F.asc("given_rank")], cap).withColumnRenamed("rank", "place").drop("_later")
 
 
-def with_quota(rows: DataFrame, keys: list[str], group: str, n_groups: int, quota: int, cap: int) -> DataFrame:
-    """Up to ``cap`` rows that hold ``quota`` of each of the first ``n_groups`` groups, as far as they have them; the rest by rank.
+def quota_places(rows: DataFrame, keys: list[str], group: str, n_groups: int, quota: int, cap: int) -> DataFrame:
+    """``rows`` with ``place`` from 1 for those chosen, null for others: up to ``cap`` rows that hold ``quota`` of each of the first
+    ``n_groups`` groups, as far as they have them; the rest by rank.
 
     Rows over a group's quota give way from the tail, which is the outcome of replacing the last replaceable row in turn.
     """
-    by_group = Window.partitionBy(*keys, group)
-    lead = F.min("rank").over(by_group)
-    placed = rows.withColumn("_lead", lead).withColumn("_nth", F.row_number().over(by_group.orderBy("rank")))
-    placed = placed.withColumn("_group_no", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_lead")))
-    due = (F.col("_group_no") <= n_groups) & (F.col("_nth") <= quota)
-    chosen = top_ranked(placed.withColumn("_due", ~due).withColumnRenamed("rank", "given_rank"), keys, [F.asc("_due"), F.asc("given_rank")], cap)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("given_rank")).cast("bigint")
-    return chosen.withColumn("place", place).drop("_lead", "_nth", "_group_no", "_due", "rank")
+    by_group, whole = Window.partitionBy(*keys, group), Window.partitionBy(*keys)
+    placed = rows.withColumns({"_lead": F.min("rank").over(by_group), "_nth": F.row_number().over(by_group.orderBy("rank"))})
+    placed = placed.withColumn("_due", ~((F.dense_rank().over(whole.orderBy("_lead")) <= n_groups) & (F.col("_nth") <= quota)))
+    placed = placed.withColumn("_kept", F.row_number().over(whole.orderBy("_due", "rank")) <= cap)
+    place = F.when(F.col("_kept"), F.sum(F.col("_kept").cast("int")).over(whole.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))).cast("bigint")
+    return placed.withColumn("place", place).drop("_lead", "_nth", "_due", "_kept")
+
+
+def with_quota(rows: DataFrame, keys: list[str], group: str, n_groups: int, quota: int, cap: int) -> DataFrame:
+    """The rows that ``quota_places`` chooses; ``given_rank`` is the rank that they came with."""
+    return quota_places(rows, keys, group, n_groups, quota, cap).where("place IS NOT NULL").withColumnRenamed("rank", "given_rank")
 
 
 def evidence_cap(labels: Column) -> Column:
@@ -247,6 +331,14 @@ def breakdown_adjustment(text: Column, chunk_type: Column, direct: Column) -> Co
     return gain - F.when(contains_any(low, BREAKDOWNS), F.when(chunk_type.isin(*SUMMARY_CHUNKS), 0.22).otherwise(0.12)).otherwise(F.lit(0.0))
 
 
+def depth_by_question(question: Column, labels: Column) -> Column:
+    """``rank_depth`` by what the question asks for; ``labels`` are its intents."""
+    q, has = F.lower(question), lambda x: F.array_contains(labels, x)
+    compares = contains_any(q, COMPARATIVE_TERMS) | contains_any(q, BALANCED_TERMS) | has("temporal_delta") | has("outlook_scope")
+    diverse = F.arrays_overlap(labels, F.array(*map(F.lit, DIVERSE_LABELS)))
+    return rank_depth(contains_any(q, CONFLICT_TERMS), has("corpus_wide_scope"), diverse, compares)
+
+
 def rank_depth(conflict: Column, corpus: Column, diverse: Column, comparative: Column, top_k: int = 15) -> Column:
     """How many ranked rows a question keeps."""
     deep = lambda more, least: F.lit(max(top_k + more, least))

@@ -119,12 +119,6 @@ round((CASE WHEN direct THEN 0.34 + CASE WHEN p_size % 2 = 0 THEN 0.12 ELSE 0 EN
  - CASE WHEN breaks THEN CASE WHEN p_size % 2 = 0 THEN 0.12 ELSE 0.22 END ELSE 0 END)::DOUBLE, 6) AS breakdown FROM s"""
 
 
-def rank_depths(spark: SparkSession, d: str) -> DataFrame:
-    t = intents.tests(F.col("question"))
-    depth = V.rank_depth(t["caveat_inconsistency"], t["corpus_wide_scope"], t["visual_detail"], t["balanced_scope"])
-    return S.asked(spark, d).groupBy(depth.alias("depth")).agg(F.count("*").alias("questions"))
-
-
 def ingestion_eval(spark: SparkSession, d: str) -> DataFrame:
     """Per client: parse and index success, chunks per document, and completeness of metadata."""
     c = S.chunks(spark, d).withColumn("words", F.size(F.split(F.coalesce("text", F.lit("")), " ")))
@@ -172,7 +166,6 @@ QUERIES = {
     "expansion_trigger": expansion_trigger, "entity_labels": entity_labels, "table_texts": table_texts, "page_classes": page_classes,
     "section_chunks": section_chunks, "nearest_text": nearest_text, "overlap_adjustment": overlap_adjustment, "ingestion_eval": ingestion_eval,
     "fit_lines": fit_lines, "temporal_vantage": temporal_vantage, "missing_words": missing_words, "companion_queries": companion_queries,
-    "rank_depths": rank_depths,
 }
 
 
@@ -191,16 +184,8 @@ def _companions_sql() -> str:
     return f"{flags}, c AS (SELECT qid, list_filter([{', '.join(made)}], lambda x: x IS NOT NULL)[1:6] AS qs FROM f JOIN asked USING (qid)) SELECT qid, generate_subscripts(qs, 1) - 1 AS pos, unnest(qs) AS query FROM c"
 
 
-def _depths_sql() -> str:
-    from .search import _intent_sql
-
-    flags = _intent_sql().split("SELECT qid, concat_ws")[0]
-    return f"{flags} SELECT CASE WHEN caveat_inconsistency THEN 23 WHEN corpus_wide_scope THEN 50 WHEN visual_detail THEN 40 WHEN balanced_scope THEN 23 ELSE 15 END::BIGINT AS depth, count(*) AS questions FROM f GROUP BY 1"
-
-
 ORACLES = {
     "expansion_trigger": EXPANSION, "entity_labels": ENTITY_LABELS, "table_texts": TABLE_TEXTS, "page_classes": PAGE_CLASSES,
     "section_chunks": SECTION_CHUNKS, "nearest_text": NEAREST_TEXT, "overlap_adjustment": OVERLAP, "ingestion_eval": INGESTION_EVAL,
     "fit_lines": FIT_LINES, "temporal_vantage": TEMPORAL_VANTAGE, "missing_words": MISSING_WORDS, "companion_queries": _companions_sql(),
-    "rank_depths": _depths_sql(),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intents, text as T
-from ..operators import evaluation as E, evidence, facts as X, retrieval as V
+from ..operators import evaluation as E, evidence, retrieval as V
 from ..sources import tables as S
 
 NOW = "2024-07-01"
@@ -216,7 +216,8 @@ def intent_labels(spark: SparkSession, d: str) -> DataFrame:
     return S.asked(spark, d).select("qid", F.array_join(labels, ",").alias("labels"), V.evidence_cap(labels).alias("evidence_cap"), V.prefetch_depth(labels).alias("prefetch_depth"))
 
 
-def _intent_sql() -> str:
+def label_tests() -> dict[str, str]:
+    """The SQL test of each label on a normalised question ``n``."""
     a = lambda t: _any("n", t)
     i = intents
     tests = [
@@ -229,8 +230,12 @@ def _intent_sql() -> str:
         a(i.VISUAL),
         a(i.CORPUS),
     ]
-    flags = ", ".join(f"({t}) AS {name}" for name, t in zip(i.LABELS, tests))
-    names = ", ".join(f"CASE WHEN {name} THEN '{name}' END" for name in i.LABELS)
+    return dict(zip(i.LABELS, tests, strict=True))
+
+
+def _intent_sql() -> str:
+    flags = ", ".join(f"({t}) AS {name}" for name, t in label_tests().items())
+    names = ", ".join(f"CASE WHEN {name} THEN '{name}' END" for name in intents.LABELS)
     return rf"""WITH {S.ASKED_SQL}, z AS (SELECT qid, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) AS n FROM asked), f AS (SELECT qid, {flags} FROM z)
 SELECT qid, concat_ws(',', {names}) AS labels, CASE WHEN caveat_inconsistency THEN 20 WHEN corpus_wide_scope THEN 25 WHEN temporal_delta THEN 22 WHEN balanced_scope THEN 20 ELSE 25 END::BIGINT AS evidence_cap,
 (75 + CASE WHEN caveat_inconsistency THEN 10 ELSE 0 END + CASE WHEN balanced_scope THEN 20 ELSE 0 END + CASE WHEN corpus_wide_scope THEN 30 ELSE 0 END)::BIGINT AS prefetch_depth FROM f"""
@@ -245,37 +250,6 @@ def query_dedupe(spark: SparkSession, d: str) -> DataFrame:
 QUERY_DEDUPE = rf"""WITH {S.ASKED_SQL} SELECT min(qid) AS qid, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) AS norm, count(*) AS asked FROM asked GROUP BY 2"""
 
 
-def _statements(spark: SparkSession, d: str) -> DataFrame:
-    """A statement for each line of an order; lines of an order are versions of one another."""
-    line = S.table(spark, d, "lineitem")
-    said = F.concat(
-        F.lit("Portfolio occupancy rate was "), F.col("l_quantity").cast("int").cast("string"), F.lit("% in the latest quarter\nOperating revenue grew by $"),
-        F.col("l_linenumber").cast("string"), F.lit(",500 million across regions\nAbout 3 items in 2021"),
-    )
-    return line.select("l_orderkey", (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("node_id"), "l_linenumber", said.alias("text"))
-
-
-def numeric_facts(spark: SparkSession, d: str) -> DataFrame:
-    made = X.facts(_statements(spark, d))
-    return made.select("l_orderkey", "node_id", "l_linenumber", "segment_no", "raw", "value", "unit", F.array_join("context", " ").alias("context"))
-
-
-NUMERIC_FACTS = """SELECT l_orderkey, l_partkey * 100000 + l_suppkey AS node_id, l_linenumber, 0 AS segment_no, l_quantity::INT || '%' AS raw, l_quantity::INT::DOUBLE AS value, 'percent' AS unit,
-'portfolio occupancy rate latest quarter' AS context FROM lineitem
-UNION ALL SELECT l_orderkey, l_partkey * 100000 + l_suppkey, l_linenumber, 1, '$' || l_linenumber || ',500 million', (l_linenumber * 1000 + 500)::DOUBLE, 'currency', 'operating revenue grew across regions' FROM lineitem"""
-
-
-def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
-    found = X.conflicts(X.facts(_statements(spark, d)), ["l_orderkey"], "node_id", 2)
-    return found.select("l_orderkey", "unit", "l_node_id", "r_node_id", "l_raw", "r_raw", "shared")
-
-
-CONFLICT_PAIRS = f"""WITH f AS ({NUMERIC_FACTS})
-SELECT a.l_orderkey, a.unit, a.node_id AS l_node_id, b.node_id AS r_node_id, a.raw AS l_raw, b.raw AS r_raw, count(*) * 5 AS shared
-FROM f a JOIN f b ON a.l_orderkey = b.l_orderkey AND a.unit = b.unit AND a.node_id < b.node_id AND a.raw <> b.raw AND abs(a.value - b.value) > CASE a.unit WHEN 'percent' THEN 0.1 ELSE 0.01 END
-GROUP BY 1, 2, 3, 4, 5, 6"""
-
-
 def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
     """Measures of the dense list, with the vectors of the query's label as gold, for each query and over all."""
     queries, vectors = _vectors(spark, d)
@@ -319,8 +293,7 @@ QUERIES = {
     "tenant_filter_search": tenant_filter_search, "hybrid_fusion": hybrid_fusion, "rrf_fusion": fused, "temporal_context": temporal_context,
     "temporal_adjustment": temporal_adjustment, "structural_adjustment": structural_adjustment, "rerank_topk": rerank_topk,
     "evidence_diverse": evidence_diverse, "evidence_quota": evidence_quota, "evidence_numeric_first": evidence_numeric_first,
-    "evidence_pipeline": evidence_pipeline, "chunk_diagnostics": chunk_diagnostics, "intent_labels": intent_labels, "query_dedupe": query_dedupe, "numeric_facts": numeric_facts,
-    "conflict_pairs": conflict_pairs, "retrieval_eval": retrieval_eval, "factuality_rollup": factuality_rollup,
+    "evidence_pipeline": evidence_pipeline, "chunk_diagnostics": chunk_diagnostics, "intent_labels": intent_labels, "query_dedupe": query_dedupe, "retrieval_eval": retrieval_eval, "factuality_rollup": factuality_rollup,
 }
 ORACLES = {
     "dense_topk": _cosine("", DEPTH), "tenant_topk": _cosine("AND q.client = c.client", DEPTH),
@@ -331,6 +304,6 @@ ORACLES = {
     "temporal_adjustment": f"WITH {CONTEXT} SELECT qid, node_id, round(temporal, 6) AS temporal FROM adj", "structural_adjustment": STRUCTURAL,
     "rerank_topk": f"WITH {RERANKED} SELECT qid, node_id, final, rank FROM ranked", "evidence_diverse": EVIDENCE_DIVERSE,
     "evidence_quota": EVIDENCE_QUOTA, "evidence_numeric_first": NUMERIC_FIRST, "chunk_diagnostics": CHUNK_DIAGNOSTICS,
-    "intent_labels": _intent_sql(), "query_dedupe": QUERY_DEDUPE, "numeric_facts": NUMERIC_FACTS, "conflict_pairs": CONFLICT_PAIRS,
+    "intent_labels": _intent_sql(), "query_dedupe": QUERY_DEDUPE,
     "retrieval_eval": RETRIEVAL_EVAL, "factuality_rollup": FACTUALITY,
 }

@@ -33,11 +33,37 @@ def job_events(spark: SparkSession, folder: str, files_at_once: int = 128) -> Da
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_at_once).parquet(folder)
 
 
+def state_rank(event_type: Column) -> Column:
+    """The place of an event's state in STATES."""
+    return F.when(event_type == "error", 3).when(event_type == "purchase", 2).when(event_type == "click", 0).otherwise(1)
+
+
 def latest_states(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """The furthest state of each document so far and how many events it had; update mode."""
-    rank = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "click", 0).otherwise(1)
-    made = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay).groupBy("user_id").agg(F.max(F.struct("at", "event_id", rank.alias("state"))).alias("last"), F.count("*").alias("events"))
-    return made.select(F.col("user_id").alias("document_id"), F.element_at(F.array(*map(F.lit, STATES)), F.col("last.state") + 1).alias("status"), "events")
+    """The furthest state of each document so far and how many events it had; update mode. Works for a batch as well.
+
+    A late event of an earlier state adds to the count only. A document's state may change at any time, so it is kept for good: the
+    store grows with the documents, a few bytes each, not with the events.
+    """
+    rank = state_rank(F.col("event_type"))
+    made = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay).groupBy("user_id").agg(F.max(rank).alias("state"), F.count("*").alias("events"))
+    return made.select(F.col("user_id").alias("document_id"), F.element_at(F.array(*map(F.lit, STATES)), F.col("state") + 1).alias("status"), "events")
+
+
+class QueueFull(RuntimeError):
+    """More jobs wait than the queue holds."""
+
+
+def enqueue(new: DataFrame, waiting: DataFrame, bound: int = 128) -> DataFrame:
+    """Rows of (document_id, status) for documents that are handed in while ``waiting`` jobs are queued; an error where both are more
+    than ``bound``. Only the bound and one row are ever counted."""
+    if waiting.where("status = 'queued'").select("document_id").unionByName(new.select("document_id")).limit(bound + 1).count() > bound:
+        raise QueueFull(f"more than {bound} jobs would wait")
+    return new.select("document_id", F.lit("queued").alias("status"))
+
+
+def retryable(documents: DataFrame, raw_files: DataFrame) -> DataFrame:
+    """Documents whose ingestion may be tried again: failed, indexed or completed ones whose raw file is still there."""
+    return documents.where(F.col("status").isin("failed", "indexed", "completed")).join(raw_files.select("document_id").distinct(), "document_id", "left_semi")
 
 
 def hourly(events: DataFrame, delay: str = "1 hour") -> DataFrame:

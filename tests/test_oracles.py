@@ -3,9 +3,10 @@
 import oracle
 import pytest
 
-from docquarry.plans import documents, layout, logs, search
+import __spark_entry__
+from docquarry.plans import documents, search
 
-QUERIES = {name: (query, module.ORACLES[name]) for module in (search, logs, documents, layout) for name, query in module.QUERIES.items() if name in module.ORACLES}
+QUERIES = {name: (query, module.ORACLES[name]) for module in __spark_entry__.PLANS for name, query in module.QUERIES.items() if name in module.ORACLES}
 
 
 @pytest.fixture(scope="module")
@@ -20,8 +21,6 @@ def test_equals_sql(spark, small, duck, name):
 
 
 def test_entry(spark):
-    import __spark_entry__
-
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
