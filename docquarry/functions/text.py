@@ -97,4 +97,5 @@ def citation_label(name: Column, page: Column, slide: Column, chunk: Column) ->
 
 def document_key(*parts: Column) -> Column:
     """Base 64 for URLs, without padding, of the parts joined by a unit separator."""
-    return F.rtrim(F.translate(F.base64(F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)).cast("binary")), "+/=", "-_ "))
+    joined = F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    return F.translate(F.base64(joined.cast("binary")), "+/=\r\n", "-_")
