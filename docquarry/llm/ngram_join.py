@@ -327,15 +327,28 @@ def _roots(members: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataF
     flagged = common.stage(_salted(keyed, in_large.withColumn("large", F.lit(True)), "cell", "left").withColumnsRenamed({"fp1": "a1", "fp2": "a2"}), "flagged")
     roots = flagged.where("large IS NULL").select(_pair("a").alias("node"), _pair("b").alias("root"))
     found = flagged.where("large").select("cell", "a1", "a2", "b1", "b2")
-    heads = large.join(found.select(F.col("a1").alias("fp1"), F.col("a2").alias("fp2")), ["fp1", "fp2"], "left_anti")
+    one = found.select(F.col("a1").alias("fp1"), F.col("a2").alias("fp2"), F.col("b1").alias("h1"), F.col("b2").alias("h2"))
+    heads = large.join(one, ["fp1", "fp2"], "left_anti")
     again = common.stage(_blocks(heads), "heads")
-    found = found.unionByName(_stars(_sided(again, F.xxhash64("cell", "block"), F.col("block"), BOTH), percent, "head-stars"))
-    edges = found.select(_pair("a").alias("a"), _pair("b").alias("b"))
-    so_far = connected_components(edges).select(F.col("node.fp1").alias("fp1"), F.col("node.fp2").alias("fp2"), F.xxhash64("root").alias("known"))
-    own = F.xxhash64(F.struct("fp1", "fp2"))
-    labelled = common.stage(large.drop("cell").join(so_far, ["fp1", "fp2"], "left").withColumn("known", F.coalesce("known", own)), "labelled")
-    edges = edges.unionByName(_within_keys(labelled, similarity, hot))
-    return roots.unionByName(connected_components(edges))
+    again = _stars(_sided(again, F.xxhash64("cell", "block"), F.col("block"), BOTH), percent, "head-stars")
+    two = again.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b1").alias("r1"), F.col("b2").alias("r2"))
+    # Each set's head, and its head's: what is known of its component.
+    labelled = large.join(one, ["fp1", "fp2"], "left").withColumns({"h1": F.coalesce("h1", "fp1"), "h2": F.coalesce("h2", "fp2")})
+    labelled = labelled.join(two, ["h1", "h2"], "left").withColumns({"r1": F.coalesce("r1", "h1"), "r2": F.coalesce("r2", "h2")}).drop("h1", "h2")
+    labelled = common.stage(labelled.withColumn("known", F.xxhash64("r1", "r2")), "labelled")
+    root = F.struct(F.col("r1").alias("fp1"), F.col("r2").alias("fp2"))
+    so_far = labelled.select(F.struct("fp1", "fp2").alias("node"), root.alias("root"))
+    cells = labelled.groupBy("cell").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high").select("cell")
+    cells = common.stage(cells, "open-cells")
+    if cells.isEmpty():
+        return roots.unionByName(so_far)
+    rest = common.stage(_salted(labelled, cells, "cell", "left_semi").drop("cell"), "open-sets")
+    edges = _within_keys(rest, similarity, hot)
+    # Only the components' roots are connected, which are far fewer than the sets.
+    ends = rest.select(F.struct("fp1", "fp2").alias("x"), root.alias("root"))
+    edges = edges.join(ends.select(F.col("x").alias("a"), F.col("root").alias("ra")), "a").join(ends.select(F.col("x").alias("b"), F.col("root").alias("rb")), "b")
+    merged = connected_components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return roots.unionByName(so_far.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def _open_keys(labelled: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataFrame:
