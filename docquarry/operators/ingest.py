@@ -24,11 +24,12 @@ def word_windows(texts: DataFrame, key: str, words: Column, size: int = SPLIT_WO
     """(key, window_no, n_words, first_word, last_word): windows of ``size`` words that overlap; the last may be shorter."""
     n = F.size("words")
     starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap))
-    cut = texts.select(key, words.alias("words")).where(n > 0).select(key, "words", F.posexplode(starts).alias("window_no", "start"))
     # A window that only holds the overlap of the one before it isn't needed.
-    cut = cut.where((F.col("window_no") == 0) | (n - F.col("start") > overlap))
-    part = cut.withColumn("part", F.slice("words", F.col("start") + 1, F.lit(size)))
-    return part.select(key, F.col("window_no").cast("bigint").alias("window_no"), F.size("part").cast("bigint").alias("n_words"), F.element_at("part", 1).alias("first_word"), F.element_at("part", -1).alias("last_word"))
+    starts = F.filter(starts, lambda s: (s == 0) | (n - s > overlap))
+    # Windows are cut before they are dealt to rows, so that no row carries the whole text.
+    last = lambda s: F.least(s + size, n)
+    one = lambda s, k: F.struct(k.cast("bigint").alias("window_no"), (last(s) - s).cast("bigint").alias("n_words"), F.get("words", s).alias("first_word"), F.get("words", last(s) - 1).alias("last_word"))
+    return texts.select(key, words.alias("words")).where(n > 0).select(key, F.inline(F.transform(starts, one)))
 
 
 def islands(rows: DataFrame, keys: list[str], order: list[str], joins: Column) -> DataFrame:

@@ -114,6 +114,8 @@ def dense_topk(
         right = held.withColumn("v_block", block("node_id", n_v)).withColumn("q_block", every(n_q))
 
         def pair(some: pa.Table, rows: pa.Table) -> pa.Table:
+            if not some.num_rows or not rows.num_rows:
+                return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], ["qid", "node_id", "score"])
             best = _Best(some, k, fields, apart)
             for batch in rows.to_batches(max_chunksize=8192):
                 best.add(batch)
@@ -135,17 +137,17 @@ def terms(text: Column) -> Column:
 def bm25(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, node_id, score) of every chunk that shares a term with a question.
 
-    Only postings of question terms are shuffled: terms are filtered where texts are read, and counted per chunk there.
+    Only postings of question terms are shuffled, and each carries its chunk's length: terms are filtered where texts are read. A term of
+    very many chunks and questions gives a row for each pair of them; such rows are summed before they are shuffled by question and chunk.
     """
     asked = questions.select("qid", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
-    lengths = chunks.select("node_id", F.size(terms(F.col("text"))).alias("length"))
-    n, average = lengths.agg(F.count("*"), F.avg("length")).first()
-    tf = chunks.select("node_id", F.explode(terms(F.col("text"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = tf.groupBy("node_id", "term").agg(F.count("*").alias("tf"))
+    n, average = chunks.agg(F.count("*"), F.avg(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+")))).first()
+    held = chunks.select("node_id", terms(F.col("text")).alias("terms")).select("node_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    tf = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("node_id", "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average)))
-    return tf.join(lengths, "node_id").join(idf, "term").join(asked, "term").groupBy("qid", "node_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    return tf.join(idf, "term").join(asked, "term").groupBy("qid", "node_id").agg(F.round(F.sum(weight), 6).alias("score"))
 
 
 def minmax(score: str, keys: list[str]) -> Column:

@@ -51,7 +51,9 @@ SELECT word, CASE WHEN x LIKE '%ies' AND length(x) > 4 THEN x[:-4] || 'y' WHEN x
 
 
 def version_resolve(spark: SparkSession, d: str) -> DataFrame:
-    made = versions.resolve(S.file_names(spark, d))
+    # Many files go by one name, which is resolved once.
+    files = S.file_names(spark, d).select("file_id", "file_name")
+    made = files.join(versions.resolve(files.select("file_name").distinct()), "file_name")
     return made.select("file_id", "file_name", "version_label", "version_group", "version_rank", "effective_from", "effective_to", "published_at", "is_current", "confidence", "document_type")
 
 
