@@ -177,7 +177,8 @@ class Groups:
     one row for each such group with copies (rows alike in doc_id and text); ``shared`` marks the digests of hits."""
 
     def __init__(self, documents: DataFrame, bits: int = 256):
-        self.keys = documents.select("doc_id", digest_of(F.col("text"), bits).alias("digest"), _chars().alias("n_chars"))
+        # Written once: texts are digested here and not again for lookups.
+        self.keys = common.stage(documents.select("doc_id", digest_of(F.col("text"), bits).alias("digest"), _chars().alias("n_chars")), "digests")
         index = DigestIndex(documents.sparkSession)
         index.flush(self.keys)
         several = common.stage(index.compact().where("n > 1"), "several")
