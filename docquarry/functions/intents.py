@@ -9,7 +9,8 @@ from .text import contains_any
 
 #: Terms of each label; terms are substrings unless the name says WORDS (whole words).
 DELTA = ("what changed", "what's changed", "change between", "changed between", "between", "versus", " vs ", "compare")
-TIME_WORDS = r"\b(?:q4|q1|q2|q3|quarterly|annual|update|older|newer|previous|latest|prior)\b|quarterly update|\b(?:19|20)\d{2}\b"
+TIME_ANCHORS = ("q4", "q1", "q2", "q3", "quarterly", "quarterly update", "annual", "update", "older", "newer", "previous", "latest", "prior")
+YEAR = r"\b(?:19|20)\d{2}\b"
 PROJECTION = ("projected", "forecast", "expected")
 IMPACT = ("impact", "contribution", "effect")
 COMMUNITY = ("communities", "community", "jobs", "employment", "tax", "local", "regional")
@@ -35,12 +36,9 @@ VISUAL = (
     "ranked by", "ranked", "asset list", "property list", "named assets", "named properties", "property names", "which markets",
     "u.s. region", "us region", "regions vs", "region vs",
 )
-CORPUS = (
-    "which company", "which companies", "which document", "which documents", "which reit", "who has", "who appears",
-    "most directly", "most dependent", "most geographically", "most explicitly", "most global", "strongest case",
-    "best positioned", "in these documents", "in the documents", "across the uploaded", "in the uploaded", "represented in these",
-    "in the corpus", "the uploaded materials",
-)
+WHICH = ("which company", "which companies", "which document", "which documents", "which reit", "who has", "who appears")
+SUPERLATIVES = ("most directly", "most dependent", "most geographically", "most explicitly", "most global", "strongest case", "best positioned")
+SCANS = ("in these documents", "in the documents", "across the uploaded", "in the uploaded", "represented in these", "in the corpus", "the uploaded materials")
 BALANCED = (
     "different", "both", "each", "across", "sectors", "represented", "for each", "each company", "each issuer", "per company",
     "per issuer", "all companies", "all issuers",
@@ -67,9 +65,16 @@ NO_ENTITY = (
     "october", "november", "december", "the", "and", "for", "of", "in", "a", "an", "to", "by", "at", "with", "inc", "llc", "corp",
     "ltd", "co", "plc", "trust", "fund", "reit", "group", "properties", "capital", "impact", "brick", "mortar", "shopping",
 )
+#: A file's ending, what stands in brackets, and what parts the words of its name.
+FILE_TYPE, BRACKETS, SEPARATORS = r"\.[a-zA-Z0-9]{2,5}$", r"\([^)]*\)", r"[_\-.\s]+"
 LABELS = ("temporal_delta", "stale_source", "caveat_inconsistency", "outlook_scope", "balanced_scope", "multi_version_lookup", "visual_detail", "corpus_wide_scope")
 
 
+#: Whole words that tie a question to a time, and years.
+TIME_WORDS = rf"\b(?:{'|'.join(TIME_ANCHORS)})\b|{YEAR}"
+CORPUS = WHICH + SUPERLATIVES + SCANS
+
+
 def normalised(question: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(question, F.lit(""))), r"\s+", " "))
 
@@ -111,8 +116,8 @@ def expands(question: Column, has_history: Column | None = None) -> Column:
 
 def entity_words(name: Column) -> Column:
     """The first three words of a file's name that may name its issuer."""
-    stem = F.regexp_replace(F.regexp_replace(name, r"\.[a-zA-Z0-9]{2,5}$", ""), r"\([^)]*\)", " ")
-    words = F.split(F.trim(F.lower(F.regexp_replace(stem, r"[_\-.\s]+", " "))), " ")
+    stem = F.regexp_replace(F.regexp_replace(name, FILE_TYPE, ""), BRACKETS, " ")
+    words = F.split(F.trim(F.lower(F.regexp_replace(stem, SEPARATORS, " "))), " ")
     return F.slice(F.filter(words, lambda w: w.rlike("[a-z]") & ~w.isin(*NO_ENTITY)), 1, 3)
 
 

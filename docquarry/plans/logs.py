@@ -211,7 +211,7 @@ UNION ALL SELECT doc_id, source, n_chars, NULL FROM documents ANTI JOIN labels U
 def orders_by_client_status(spark: SparkSession, d: str) -> DataFrame:
     """Facets of the query log by region and segment, in one pass."""
     geo = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    c = table(spark, d, "customer").join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("c_custkey AS client_id", "c_mktsegment AS segment", "r_name AS region")
+    c = table(spark, d, "customer").join(geo, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("c_custkey AS client_id", "c_mktsegment AS segment", "r_name AS region")
     return R.facets(query_logs(spark, d).join(c, "client_id"), ["segment", "region", "status"])
 
 
