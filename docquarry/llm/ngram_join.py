@@ -253,14 +253,15 @@ def _solve(percent: int):
             sets = Sets(np.frombuffer(b"".join(raw[g] for g in group), np.uint64), np.concatenate(([0], np.cumsum(n[group]))))
             first: dict[int, int] = {}
             sets.root = np.array([k if known[g] is None else first.setdefault(known[g], k) for k, g in enumerate(group)])
-            at = np.arange(len(group))
+            at, before = np.arange(len(group)), sets.root.copy()
             left, right = at[side[group] == LEFT], at[side[group] == RIGHT]
             if len(left) and len(right):
                 join(sets, Tree(sets, left), Tree(sets, right), percent)
             elif not len(left) and not len(right):
                 tree = Tree(sets, at)
                 join(sets, tree, tree, percent)
-            a = np.flatnonzero(sets.root != at)
+            # What was known already is not told again: only heads of known components that now belong to another.
+            a = np.flatnonzero((before == at) & (sets.root != at))
             a, b = group[a], group[sets.root[a]]
             out.append(np.stack((cell[a], fp1[a], fp2[a], fp1[b], fp2[b])))
         data = np.concatenate(out, 1) if out else np.zeros((5, 0), np.int64)
@@ -342,8 +343,8 @@ def _roots(members: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataF
     cells = common.stage(cells, "open-cells")
     if cells.isEmpty():
         return roots.unionByName(so_far)
-    rest = common.stage(_salted(labelled, cells, "cell", "left_semi").drop("cell"), "open-sets")
-    edges = _within_keys(rest, similarity, hot)
+    rest = common.stage(_salted(labelled, cells, "cell", "left_semi"), "open-sets")
+    edges = _within_groups(rest, similarity, hot)
     # Only the components' roots are connected, which are far fewer than the sets.
     ends = rest.select(F.struct("fp1", "fp2").alias("x"), root.alias("root"))
     edges = edges.join(ends.select(F.col("x").alias("a"), F.col("root").alias("ra")), "a").join(ends.select(F.col("x").alias("b"), F.col("root").alias("rb")), "b")
@@ -351,34 +352,46 @@ def _roots(members: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataF
     return roots.unionByName(so_far.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
-def _open_keys(labelled: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataFrame:
-    """(cell, fp1, fp2): the sets of each key that has sets of several known components; of keys with the same sets one is taken."""
+def _open_groups(labelled: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataFrame:
+    """(cell, fp1, fp2): groups of sets within which all links between known components lie.
+
+    They are the keys that have sets of several components (of keys with the same sets one is taken), or the whole cell where that makes
+    fewer rows: the keys of a cell that many of its sets share in part would hold the same sets over and over.
+    """
     shared = labelled.sparkSession.sparkContext.broadcast(hot)  # HOT_MOST numbers at most
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                fp1, fp2, known, n = (batch.column(c).to_numpy() for c in ("fp1", "fp2", "known", "n"))
+                cell, fp1, fp2, known, n = (batch.column(c).to_numpy() for c in ("cell", "fp1", "fp2", "known", "n"))
                 value = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
                 sets, keys = set_keys(value, np.concatenate(([0], np.cumsum(n))), similarity, shared.value)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, fp1[sets], fp2[sets], known[sets])], ["cell", "fp1", "fp2", "known"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell[sets], keys, fp1[sets], fp2[sets], known[sets])], ["cell", "key", "fp1", "fp2", "known"])
 
-    source = labelled.select("fp1", "fp2", "known", "n", "shingles")
-    keys = common.stage(common.map_arrow(source, per_task, "cell bigint, fp1 bigint, fp2 bigint, known bigint"), "large-cell-keys")
+    source = labelled.select("cell", "fp1", "fp2", "known", "n", "shingles")
+    keys = common.stage(common.map_arrow(source, per_task, "cell bigint, key bigint, fp1 bigint, fp2 bigint, known bigint"), "large-cell-keys")
     same = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("fp1", "fp2").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("fp2", "fp1")).alias("xor"))
-    open_keys = keys.groupBy("cell").agg(F.min("known").alias("low"), F.max("known").alias("high"), same.alias("same")).where("low <> high")
-    chosen = common.stage(open_keys.groupBy("same").agg(F.min("cell").alias("cell")).select("cell"), "open-keys")
-    return _salted(common.with_mark(keys, ["cell"], common.marks(chosen), True), chosen, "cell").select("cell", "fp1", "fp2")
-
-
-def _within_keys(labelled: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataFrame:
-    """(a, b) of links between sets of different known components that share a key.
-
-    A key's sets are joined in one task where they are few; of more sets, those outside the key's largest component are joined with all
-    of the key, by pairs of blocks.
+    open_keys = keys.groupBy("cell", "key").agg(F.min("known").alias("low"), F.max("known").alias("high"), same.alias("same")).where("low <> high")
+    chosen = common.stage(open_keys.groupBy("cell", "same").agg(F.min("key").alias("key")).select("cell", "key", F.col("same.n").alias("n")), "open-keys")
+    sizes = labelled.groupBy("cell", "known").agg(F.count("*").alias("size")).groupBy("cell").agg(F.sum("size").alias("sets"), (F.sum("size") - F.max("size")).alias("others"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_SETS)
+    whole = F.col("sets") * blocks("others") + F.col("others") * blocks("sets")
+    costs = sizes.join(chosen.groupBy("cell").agg(F.sum("n").alias("by_key")), "cell", "left").withColumn("by_key", F.coalesce("by_key", F.lit(0)))
+    costs = common.stage(costs.select("cell", (F.col("by_key") > whole).alias("whole")), "cell-costs")
+    by_cell = _salted(labelled.select("cell", "fp1", "fp2"), costs.where("whole").select("cell"), "cell").select(F.xxhash64("cell").alias("cell"), "fp1", "fp2")
+    chosen = common.stage(chosen.join(costs.where("NOT whole").select("cell"), "cell", "left_semi").select("key").distinct(), "chosen-keys")
+    by_key = _salted(common.with_mark(keys.select("key", "fp1", "fp2"), ["key"], common.marks(chosen), True), chosen, "key")
+    return by_cell.unionByName(by_key.select(F.col("key").alias("cell"), "fp1", "fp2"))
+
+
+def _within_groups(labelled: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataFrame:
+    """(a, b) of links between sets of different known components.
+
+    A group's sets are joined in one task where they are few; of more sets, those outside its largest component are joined with all
+    of the group, by pairs of blocks.
     """
     percent = similarity.percent
-    members = common.stage(_open_keys(labelled, similarity, hot).join(labelled, ["fp1", "fp2"]), "key-sets")
+    members = common.stage(_open_groups(labelled, similarity, hot).join(labelled.drop("cell"), ["fp1", "fp2"]), "group-sets")
     blocked = common.stage(_blocks(members), "key-blocks")
     few = blocked.where("blocks = 1")
     stars = _stars(_sided(few, _shared_tasks(few), F.col("block"), BOTH, F.col("known")), percent, "key-stars")
@@ -408,7 +421,10 @@ def _components(documents: DataFrame, similarity: Similarity) -> DataFrame:
     """``components`` with the fingerprints fp1 and fp2 of each row's set, and those of its component's first set, r1 and r2."""
     summary = common.stage(_summaries(documents, similarity.words), "summaries")
     texts = summary.where("n >= 0")
-    frequent = summary.where("n = -1").groupBy("fp1").agg(F.sum("fp2").alias("texts")).orderBy(F.desc("texts"), "fp1").limit(HOT_MOST)
+    # A shingle that is frequent everywhere has a row from each task: those are summed in two steps.
+    counted = summary.where("n = -1").select("fp1", "fp2", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    frequent = counted.groupBy("fp1", "salt").agg(F.sum("fp2").alias("texts")).groupBy("fp1").agg(F.sum("texts").alias("texts"))
+    frequent = frequent.orderBy(F.desc("texts"), "fp1").limit(HOT_MOST)
     hot = np.sort(frequent.select("fp1").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     nodes = common.stage(texts.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("least")), "nodes")
 
