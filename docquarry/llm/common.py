@@ -38,16 +38,17 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.__dict__["staged_at"] = path
+    return staged
 
 
-def discard(df: DataFrame | None) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
-    jvm = df.sparkSession._jvm if df is not None else None
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if jvm is not None else ():
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        if path.getName().startswith("docquarry-"):
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def discard(staged: DataFrame | None) -> None:
+    """Delete the files of a table that ``stage`` gave and that nothing reads any more."""
+    where = staged.__dict__.get("staged_at") if staged is not None else None
+    if where:
+        path = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:
