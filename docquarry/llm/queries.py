@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, mixing, ngram_join, packing, pii_scan, quality_rules, secret_scan, token_files, url_filters
+from . import (
+    collocations,
+    exact_dedup,
+    fingerprints,
+    license_scan,
+    mixing,
+    ngram_join,
+    packing,
+    pii_scan,
+    quality_rules,
+    secret_scan,
+    spelling_variants,
+    token_files,
+    url_filters,
+)
 from .common import read
 from .tokens import vocabulary
 
@@ -54,6 +68,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(read(spark, sf_dir, "documents")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(read(spark, sf_dir, "documents"), collocations.Frequent(least=100, longest=5, best=2000))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.report(read(spark, sf_dir, "documents"), spelling_variants.Variants(letters=7, least=2, ratio=10, damaged=31))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secret_scan": op2_secret_scan,
@@ -65,5 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_scan": op8_pii_scan,
     "op9_token_files": op9_token_files,
     "op10_license_scan": op10_license_scan,
+    "op11_collocations": op11_collocations,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_fingerprints": op13_fingerprints,
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op11_collocations": collocations.SQL, "op12_spelling_variants": spelling_variants.SQL}
