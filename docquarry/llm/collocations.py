@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from .textarrays import Flat, mix, slices, spread
 GATHER_BYTES, FLUSH = 4_000_000, 6_000_000
 #: Bytes of text for each cell of a sketch row, cells of a chunk, and bits at most of the filters that the tasks get.
 BYTES_A_CELL, CHUNK, PASS_BITS = 24, 1 << 14, 1 << 26
+#: Phrases that a task holds before it adds them up, and cells of a sketch row for each part that phrases are dealt in.
+HELD, CELLS_A_BUCKET = 1_000_000, 1 << 18
 _ROW_KEYS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Bytes that end a piece, and bytes that separate words in it.
 ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -196,36 +199,86 @@ def _phrases(words: _Words, first: np.ndarray, k: int) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
 
 
-def _exact(texts: DataFrame, pairs: Passed, longer: Passed, longest: int) -> DataFrame:
-    """(lang, phrase, k, n): how often each n-gram that passed occurs; k is 0 in the rows of all words of a language."""
+def _added(parts: list[pa.Table]) -> pa.Table:
+    """(lang, phrase, n) with the counts of equal phrases added."""
+    return pa.concat_tables(parts).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
+
+
+def _exact(texts: DataFrame, pairs: Passed, longer: Passed, longest: int, buckets: int) -> DataFrame:
+    """(lang, phrase, k, n): how often each n-gram that passed occurs; k is 0 in the rows of all words of a language.
+
+    A task adds up what it has found and gives it in rows of many phrases, by language and hash; these meet in one task each.
+    """
     shared = texts.sparkSession.sparkContext.broadcast((pairs, longer))  # four bitmaps of PASS_BITS at most
 
+    def found(words: _Words) -> Iterator[pa.Table]:
+        pairs, longer = shared.value
+        can = _survivors(words, words.hashes(longest), pairs, longer, longest)
+        number = words.lang * len(words.starts) + words.flat.numbers(words.starts, words.ends)
+        names = pa.array(words.names, pa.string())
+        lang, n = np.unique(words.lang, return_counts=True)
+        yield pa.table({"lang": names.take(pa.array(lang)), "phrase": pa.array([""] * len(lang), pa.string()), "n": pa.array(n, pa.int64())})
+        for k in range(1, longest + 1):
+            at = np.flatnonzero(can[k - 1])
+            if not len(at):
+                break
+            # Equal numbers of k words: equal numbers of the first and of the last k - 1, which passed too.
+            own = number[at] * len(words.starts) + number[at + 1] if k > 1 else number[at]
+            _, first, same, n = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+            yield pa.table({"lang": names.take(pa.array(words.lang[at[first]])), "phrase": _phrases(words, at[first], k), "n": pa.array(n, pa.int64())})
+            number = np.zeros(len(words.starts), np.int64)
+            number[at] = same
+
+    def in_rows(table: pa.Table) -> pa.RecordBatch:
+        phrases = table.column("phrase").combine_chunks()
+        bucket = np.concatenate([f.hashes(f.offs[:-1], f.offs[1:]) for f in slices(phrases)]) % np.uint64(buckets)
+        lang = table.column("lang").combine_chunks().dictionary_encode()
+        code = lang.indices.to_numpy()
+        order = np.lexsort((bucket, code))
+        bucket, code = bucket[order], code[order]
+        edge = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1]))))
+        offsets, taken = pa.array(np.append(edge, len(order)).astype(np.int32)), pa.array(order)
+        lists = [pa.ListArray.from_arrays(offsets, column.take(taken)) for column in (phrases, table.column("n").combine_chunks())]
+        return pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(code[edge])), pa.array(bucket[edge].astype(np.int64)), *lists], ["lang", "bucket", "phrases", "n"])
+
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for words in _slices(batches):
-            if not len(words.starts):
-                continue
-            pairs, longer = shared.value
-            can = _survivors(words, words.hashes(longest), pairs, longer, longest)
-            number = words.lang * len(words.starts) + words.flat.numbers(words.starts, words.ends)
-            names = np.array(words.names, object)
-
-            def rows(lang: np.ndarray, phrase: pa.Array, k: int, n: np.ndarray) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(names[lang], pa.string()), phrase, pa.array(np.full(len(n), k, np.int32)), pa.array(n.astype(np.int64))], ["lang", "phrase", "k", "n"])
-
-            lang, n = np.unique(words.lang, return_counts=True)
-            yield rows(lang, pa.array([""] * len(lang), pa.string()), 0, n)
-            for k in range(1, longest + 1):
-                at = np.flatnonzero(can[k - 1])
-                if not len(at):
-                    break
-                # Equal numbers of k words: equal numbers of the first and of the last k - 1, which passed too.
-                own = number[at] * len(words.starts) + number[at + 1] if k > 1 else number[at]
-                _, first, same, n = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
-                yield rows(words.lang[at[first]], _phrases(words, at[first], k), k, n)
-                number = np.zeros(len(words.starts), np.int64)
-                number[at] = same
-
-    return common.map_arrow(texts, per_task, "lang string, phrase string, k int, n bigint").groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("n").alias("n"))
+            if len(words.starts):
+                held += found(words)
+                if sum(map(len, held)) >= HELD:
+                    held = [_added(held)]
+                    if len(held[0]) >= HELD // 2:
+                        yield in_rows(held.pop())
+        if held:
+            yield in_rows(_added(held))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, size = None, [], 0
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            table = _added(held)
+            k = pc.add(pc.count_substring(table.column("phrase"), " "), pc.not_equal(table.column("phrase"), "").cast(pa.int32()))
+            yield from table.add_column(2, "k", k).to_batches()
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                new = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                if key != new and size >= HELD // 4:
+                    yield from whole()
+                    held, size = [], 0
+                elif size >= HELD:
+                    held = [_added(held)]
+                    size = len(held[0])
+                key = new
+                phrases, n = batch.column(2)[i].values, batch.column(3)[i].values
+                held.append(pa.table({"lang": pa.repeat(pa.scalar(key[0], pa.string()), len(n)), "phrase": phrases, "n": n}))
+                size += len(n)
+        if held:
+            yield from whole()
+
+    rows = common.map_arrow(texts, per_task, "lang string, bucket bigint, phrases array<string>, n array<bigint>")
+    return common.map_arrow(rows.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket"), merged, "lang string, phrase string, k int, n bigint")
 
 
 def counts(documents: DataFrame, frequent: Frequent = Frequent()) -> DataFrame:
@@ -235,7 +288,7 @@ def counts(documents: DataFrame, frequent: Frequent = Frequent()) -> DataFrame:
     cells = 1 << max(16, (held // BYTES_A_CELL).bit_length())
     pairs = _merged(_sketch(texts, range(1, 3), cells, frequent.least, None), cells, frequent.least)
     longer = _merged(_sketch(texts, range(3, frequent.longest + 1), cells, frequent.least, pairs), cells, frequent.least)
-    found = _exact(texts, pairs, longer, frequent.longest).where((F.col("n") >= frequent.least) | (F.col("k") == 0))
+    found = _exact(texts, pairs, longer, frequent.longest, max(16, cells // CELLS_A_BUCKET)).where((F.col("n") >= frequent.least) | (F.col("k") == 0))
     return common.stage(found, "n-grams")
 
 
