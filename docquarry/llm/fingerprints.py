@@ -150,7 +150,7 @@ def _in_order(documents: DataFrame) -> DataFrame:
 
     dealt = common.map_arrow(rows, deal, "part bigint, copy boolean, none boolean, id bigint, h bigint, doc_id bigint, text string")
     order = ("part", "copy", "none", "id", "h")
-    return dealt.repartition(n, "part").sortWithinPartitions(*order).select("doc_id", "text", "copy")
+    return dealt.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions(*order).select("doc_id", "text", "copy")
 
 
 def report(documents: DataFrame) -> DataFrame:
