@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,15 +123,43 @@ def entity_words(name: Column) -> Column:
     return F.slice(F.filter(words, lambda w: w.rlike("[a-z]") & ~w.isin(*NO_ENTITY)), 1, 3)
 
 
+#: Further queries by label, in order; ``topic`` is the question without its comparing frame.
+COMPANIONS = (
+    ("temporal_delta", "{topic} investor day baseline presentation"),
+    ("temporal_delta", "{topic} quarterly update current guidance"),
+    ("caveat_inconsistency", "{question} footnote as of date caveat inconsistency"),
+    ("caveat_inconsistency", "{question} headline appendix table same metric"),
+    ("caveat_inconsistency", "{question} definition scope qualifier basis"),
+    ("outlook_scope", "{question} guidance outlook pro forma merger acquisition"),
+    ("outlook_scope", "{question} neutral accretive stabilization standalone"),
+    ("outlook_scope", "{question} prior year presentation historical baseline estimate"),
+    ("visual_detail", "{question} map figure table labels percentages"),
+    ("visual_detail", "{question} ranked list portfolio breakdown"),
+    ("corpus_wide_scope", "investor presentation overview highlights: {question}"),
+    ("corpus_wide_scope", "financial metrics key statistics strategy: {question}"),
+)
+#: What frames a comparison over time, before and behind its topic, and how long a topic is at least.
+FRAME_BEFORE, FRAME_BEHIND = r"(?i)\bwhat(?:'s)?\s+changed\b.*?\bbetween\b\s*", r"(?i)\bbetween\s+the\s+.*?\band\s+the\b.*$"
+LEAST_TOPIC, MOST_COMPANIONS = 11, 6
+
+
+def topic_phrase(question: Column) -> Column:
+    """A question without its ``what changed between`` frame; as it is where hardly anything is left."""
+    rest = F.regexp_replace(F.regexp_replace(question, FRAME_BEFORE, ""), FRAME_BEHIND, "")
+    rest = F.regexp_replace(rest, r"^\s+|\s+$", "")
+    return F.when(F.length(rest) >= LEAST_TOPIC, rest).otherwise(question)
+
+
 def companions(question: Column) -> Column:
-    """Further queries for the labels that apply, in order, without repeats, six at most."""
-    t = tests(question)
-    add = lambda label, *tails: [F.when(t[label], F.concat_ws(" ", question, F.lit(x))) for x in tails]
-    made = [
-        *add("caveat_inconsistency", "footnote as of date caveat inconsistency", "headline appendix table same metric", "definition scope qualifier basis"),
-        *add("outlook_scope", "guidance outlook pro forma merger acquisition", "neutral accretive stabilization standalone", "prior year presentation historical baseline estimate"),
-        *add("visual_detail", "map figure table labels percentages", "ranked list portfolio breakdown"),
-        F.when(t["corpus_wide_scope"], F.concat(F.lit("investor presentation overview highlights: "), question)),
-        F.when(t["corpus_wide_scope"], F.concat(F.lit("financial metrics key statistics strategy: "), question)),
-    ]
-    return F.slice(F.array_distinct(F.filter(F.array(*made), lambda x: x.isNotNull())), 1, 6)
+    """Further queries for the labels that apply, in order, MOST_COMPANIONS at most; none repeats the question or another in
+    whatever case and spacing."""
+    found, words = tests(question), {"question": question, "topic": topic_phrase(question)}
+    made = []
+    for label, form in COMPANIONS:
+        before, name, after = re.fullmatch(r"(.*)\{(\w+)\}(.*)", form).groups()
+        text = F.trim(F.regexp_replace(F.concat(F.lit(before), words[name], F.lit(after)), r"\s+", " "))
+        made.append(F.when(found[label], text))
+    apply = F.filter(F.array(*made), lambda x: x.isNotNull() & (F.lower(x) != normalised(question)))
+    # Of texts alike but for case the first stays.
+    add = lambda kept, x: F.when(F.exists(kept, lambda y: F.lower(y) == F.lower(x)), kept).otherwise(F.concat(kept, F.array(x)))
+    return F.slice(F.aggregate(apply, F.array().cast("array<string>"), add), 1, MOST_COMPANIONS)

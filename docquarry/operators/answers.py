@@ -37,13 +37,6 @@ def split_reasoning(said: Column) -> tuple[Column, Column]:
     return answer, F.when(closed, _trim(F.regexp_extract(text, thought, 1)))
 
 
-def topic_phrase(question: Column) -> Column:
-    """A question without its ``what changed between`` frame; as it is where hardly anything is left."""
-    q = F.regexp_replace(question, r"(?i)\bwhat(?:'s)?\s+changed\b.*?\bbetween\b\s*", "")
-    q = _trim(F.regexp_replace(q, r"(?i)\bbetween\s+the\s+.*?\band\s+the\b.*$", ""))
-    return F.when(F.length(q) > 10, q).otherwise(question)
-
-
 def budgets(whole: Column, base: Column) -> dict[str, Column]:
     """Tokens of each part of a prompt of ``whole`` tokens of which the frame takes ``base``; evidence gets the rest."""
     rest = F.greatest(F.lit(LEAST_REST), whole - base)

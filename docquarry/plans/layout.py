@@ -173,15 +173,12 @@ def _companions_sql() -> str:
     from .search import _intent_sql
 
     flags = _intent_sql().split("SELECT qid, concat_ws")[0]
-    add = lambda label, *tails: [f"CASE WHEN {label} THEN question || ' {x}' END" for x in tails]
-    made = [
-        *add("caveat_inconsistency", "footnote as of date caveat inconsistency", "headline appendix table same metric", "definition scope qualifier basis"),
-        *add("outlook_scope", "guidance outlook pro forma merger acquisition", "neutral accretive stabilization standalone", "prior year presentation historical baseline estimate"),
-        *add("visual_detail", "map figure table labels percentages", "ranked list portfolio breakdown"),
-        "CASE WHEN corpus_wide_scope THEN 'investor presentation overview highlights: ' || question END",
-        "CASE WHEN corpus_wide_scope THEN 'financial metrics key statistics strategy: ' || question END",
-    ]
-    return f"{flags}, c AS (SELECT qid, list_filter([{', '.join(made)}], lambda x: x IS NOT NULL)[1:6] AS qs FROM f JOIN asked USING (qid)) SELECT qid, generate_subscripts(qs, 1) - 1 AS pos, unnest(qs) AS query FROM c"
+    topic = r"(SELECT CASE WHEN length(t) > 10 THEN t ELSE question END FROM (SELECT trim(regexp_replace(regexp_replace(question, '\bwhat(?:''s)?\s+changed\b.*?\bbetween\b\s*', '', 'gi'), '\bbetween\s+the\s+.*?\band\s+the\b.*$', '', 'gi')) AS t))"
+    named = lambda form: "'" + form.replace("{topic}", f"' || {topic} || '").replace("{question}", "' || question || '") + "'"
+    made = ", ".join(f"CASE WHEN {label} THEN trim(regexp_replace({named(form)}, '\\s+', ' ', 'g')) END" for label, form in intents.COMPANIONS)
+    return f"""{flags}, c AS (SELECT qid, question, unnest([{made}]) AS q, unnest(range({len(intents.COMPANIONS)})) AS k FROM f JOIN asked USING (qid)),
+d AS (SELECT qid, arg_min(q, k) AS query, min(k) AS k FROM c WHERE q IS NOT NULL AND lower(q) <> lower(question) GROUP BY qid, lower(q))
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY k) - 1 AS pos, query FROM d QUALIFY pos < 6"""
 
 
 ORACLES = {

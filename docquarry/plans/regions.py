@@ -183,7 +183,7 @@ def prompt_budgets(spark: SparkSession, d: str) -> DataFrame:
 
 
 PROMPT_BUDGETS = r"""WITH b AS (SELECT conv_id, (sum(len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+'))) + count(*) * 8)::BIGINT AS base FROM conversations GROUP BY 1), r AS (SELECT *, greatest(256, 2000 - base) AS r FROM b),
-p AS (SELECT conv_id, base, floor(r * 0.35)::BIGINT AS history, floor(r * 0.1)::BIGINT AS summary, floor(r * 0.15)::BIGINT AS cross_session, floor(r * 0.1)::BIGINT AS conflict, floor(r * 0.1)::BIGINT AS notes, r FROM r)
+p AS (SELECT conv_id, base, floor(r * 0.35::DOUBLE)::BIGINT AS history, floor(r * 0.1::DOUBLE)::BIGINT AS summary, floor(r * 0.15::DOUBLE)::BIGINT AS cross_session, floor(r * 0.1::DOUBLE)::BIGINT AS conflict, floor(r * 0.1::DOUBLE)::BIGINT AS notes, r FROM r)
 SELECT * EXCLUDE (r), greatest(128, r - history - summary - cross_session - conflict - notes)::BIGINT AS evidence FROM p"""
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry.functions import intents
 from docquarry.operators import answers, facts, metadata, records, regions, retrieval
 from docquarry.streaming import jobs
 
@@ -124,4 +125,19 @@ def test_answers_are_taken_apart(spark):
     got = {r.i: (r.a, r.t) for r in rows.select("i", answer.alias("a"), thought.alias("t")).collect()}
     assert got == {0: ("b", "a"), 1: ("b", "a"), 2: ("x", None), 3: ("b", None), 4: ("", None), 5: ("plain", None)}
     topic = spark.createDataFrame([("What changed in NOI margin guidance between the 2023 and the 2024 reports?",), ("What's changed between rents of malls and offices",)], "q string")
-    assert [r.t for r in topic.select(answers.topic_phrase(F.col("q")).alias("t")).collect()][1] == "rents of malls and offices"
+    assert [r.t for r in topic.select(intents.topic_phrase(F.col("q")).alias("t")).collect()][1] == "rents of malls and offices"
+
+
+def test_companions_of_changes_carry_the_topic_first(spark):
+    asked = [
+        "What's changed in BXP's strategy between the 2025 Investor Day and the Q4 2025 update?",
+        "What changed   in the 2024 outlook between the Q1 deck and the Q4 update, as of the footnote caveat?",
+        "plain question",
+        None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(asked)), "qid int, q string").select("qid", intents.companions(F.col("q")).alias("made"), intents.labels(F.col("q")).alias("labels")).collect()
+    got = {r.qid: r for r in rows}
+    topic = "the 2025 Investor Day and the Q4 2025 update?"
+    assert "temporal_delta" in got[0].labels and got[0].made[:2] == [f"{topic} investor day baseline presentation", f"{topic} quarterly update current guidance"]
+    assert len(got[1].made) == 6 and got[1].made[0].endswith("investor day baseline presentation") and "  " not in "".join(got[1].made)
+    assert got[2].made == [] and not got[3].made
