@@ -1,12 +1,13 @@
 """Exact duplicates through a log-structured merge index of digests.
 
-Every task gathers its rows in memtables of bounded size, which keep the best row and the number of rows of each digest and
-are flushed in digest order as runs of level 0. A level that has FANOUT runs is merged into one run of the next; merging keeps the row that
-stays. Each run has a filter, a bitmap of its digests: a lookup sends only rows that some filter marks to the exact join
-with the runs. A hit, a row whose digest another row holds, is verified byte by byte against the text that stays; rows that
+Every task gathers its rows in memtables of bounded size, which keep the best row and the number of rows of each digest; those of a
+flush make a run of level 0 in digest order. A level that is full is merged into one run of the next; merging keeps the row that
+stays. Each run has a filter, a bitmap of its digests: a lookup sends only digests that a run's filter marks to the exact join
+with that run. A hit, a row whose digest another row holds, is verified byte by byte against the text that stays; rows that
 share a digest but not the bytes form groups of their own by the bytes themselves.
 
-``report`` and ``dedup`` load a whole table into a new index; ``admit`` adds tables one after another to an index that grows.
+``report`` and ``dedup`` load a table into a new index in FLUSHES parts: each part is looked up in the runs that are there before its
+own run is added, so copies are found as the index grows; ``admit`` adds tables one after another to an index that stays.
 
 Texts are equal when they are the same after deleting ASCII white space. The row with the most code points in its original
 text stays, then the smallest doc_id; a null doc_id counts as larger than all others. Edge cases: a null text counts as
@@ -17,6 +18,7 @@ columns other than doc_id and text are carried as they are, whatever their names
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Rows of a memtable, and runs of a level that are merged into one of the next.
-MEMTABLE_ROWS, FANOUT = 200_000, 4
+#: Rows of a memtable, runs of a level that are merged into one of the next, and the same where a table is loaded in FLUSHES parts.
+MEMTABLE_ROWS, FANOUT, FLUSHES, LOAD_FANOUT = 200_000, 4, 5, 2
 #: Bits of a run's filter for each digest, and at most.
 BITS_PER_DIGEST, MOST_BITS = 8, 1 << 26
 BEST = "struct<minus_chars:bigint,no_id:boolean,doc_id:bigint>"
@@ -80,6 +82,11 @@ def _memtables(rows: DataFrame) -> DataFrame:
     return made.select("digest", F.struct("minus_chars", "no_id", "doc_id").alias("best"), "n")
 
 
+def _bits(digests: int) -> int:
+    """Bits of a bitmap of so many digests, a power of two."""
+    return min(max(common.MARK_BITS, 1 << (digests * BITS_PER_DIGEST).bit_length()), MOST_BITS)
+
+
 class DigestIndex:
     """Levels of runs of (digest, best, n). ``best`` orders rows as ``_order`` does; ``n`` is how many rows the digest has.
 
@@ -87,8 +94,8 @@ class DigestIndex:
     number of flushes.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.written = spark, 0
+    def __init__(self, spark: SparkSession, fanout: int | None = None):
+        self.spark, self.fanout = spark, fanout or FANOUT
         self.levels: list[list[DataFrame]] = [[]]
         self.filters: dict[int, np.ndarray] = {}
 
@@ -98,13 +105,13 @@ class DigestIndex:
             rows = rows.unionByName(run)
         return rows.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n")).sortWithinPartitions("digest")
 
-    def _add(self, level: int, rows: DataFrame) -> None:
+    def _add(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(common.stage(rows, f"run-{level}"))
-        if len(self.levels[level]) >= FANOUT:
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._add(level + 1, self._merged(full))
+            self._add(level + 1, common.stage(self._merged(full), f"run-{level + 1}"))
             for run in full:
                 self._drop(run)
 
@@ -115,9 +122,20 @@ class DigestIndex:
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def flush(self, rows: DataFrame) -> None:
-        """Write rows of (digest, doc_id, n_chars) as a run of level 0, and merge levels that are full."""
-        self._add(0, _memtables(rows))
+    def flush(self, rows: DataFrame) -> DataFrame:
+        """Write rows of (digest, doc_id, n_chars) as a run of level 0, and merge levels that are full.
+
+        Gives the digests that are in the index more than once now and have a row among these: those that several of these rows
+        share, and those that an earlier run holds.
+        """
+        new = common.stage(self._merged([_memtables(rows)]), "run-0")
+        again = new.where("n > 1").select("digest")
+        for run in self.runs():
+            marked = common.with_mark(new.select("digest"), ["digest"], self._filter(run), True)
+            again = again.unionByName(marked.join(run, "digest", "left_semi"))
+        again = common.stage(again, "again")  # before merging deletes a run
+        self._add(0, new)
+        return again
 
     def compact(self) -> DataFrame:
         """Merge all runs into one of the last level: one row for each digest with the smallest ``best``."""
@@ -130,10 +148,7 @@ class DigestIndex:
 
     def _filter(self, run: DataFrame) -> np.ndarray:
         if id(run) not in self.filters:
-            bits = common.MARK_BITS
-            for _ in range(max(0, int(run.count()) * BITS_PER_DIGEST // common.MARK_BITS).bit_length()):
-                bits = min(bits * 2, MOST_BITS)
-            self.filters[id(run)] = common.marks(run.select("digest"), bits)
+            self.filters[id(run)] = common.marks(run.select("digest"), _bits(run.count()))
         return self.filters[id(run)]
 
     def lookup(self, rows: DataFrame) -> DataFrame:
@@ -178,11 +193,16 @@ class Groups:
 
     def __init__(self, documents: DataFrame, bits: int = 256):
         # Written once: texts are digested here and not again for lookups.
-        self.keys = common.stage(documents.select("doc_id", digest_of(F.col("text"), bits).alias("digest"), _chars().alias("n_chars")), "digests")
-        index = DigestIndex(documents.sparkSession)
-        index.flush(self.keys)
-        several = common.stage(index.compact().where("n > 1"), "several")
-        self.shared = common.marks(several.select("digest"))
+        part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FLUSHES)).alias("part")
+        keys = documents.select("doc_id", digest_of(F.col("text"), bits).alias("digest"), _chars().alias("n_chars"), part)
+        keys = common.stage(keys, "digests", ["part"])
+        self.keys = keys.drop("part")
+        index = DigestIndex(documents.sparkSession, LOAD_FANOUT)
+        again = [index.flush(keys.where(F.col("part") == k).drop("part")) for k in range(FLUSHES)]
+        several = common.stage(index.lookup(reduce(DataFrame.unionByName, again).distinct()), "several")
+        for table in (*again, *index.runs()):
+            common.discard(table)
+        self.shared = common.marks(several.select("digest"), _bits(several.count()))
         texts = common.with_mark(_texts(documents, bits), ["digest"], self.shared, True)
         checked = common.stage(_verified(texts, several), "verified")
         rows = common.with_mark(self.keys, ["digest"], self.shared, True).select("digest", _order().alias("best"))

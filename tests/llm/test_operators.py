@@ -105,6 +105,17 @@ def test_digest_index_grows_over_flushes(spark, texts, monkeypatch):
     assert index.lookup(absent).count() == 0
 
 
+def test_exact_dedup_merges_levels_and_reads_filters(spark, monkeypatch):
+    levels, read = [], []
+    add, bitmap = exact_dedup.DigestIndex._add, exact_dedup.DigestIndex._filter
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_add", lambda self, level, run: (levels.append(level), add(self, level, run))[1])
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_filter", lambda self, run: (read.append(id(run)), bitmap(self, run))[1])
+    made = exact_dedup.report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert levels.count(0) == exact_dedup.FLUSHES and levels.count(1) == 2 and levels.count(2) == 1
+    assert len(read) >= exact_dedup.FLUSHES  # before four of the five flushes, and for the copies at the end
+    assert made.where("group_size > 1").count() > 10
+
+
 def test_digest_index_verifies_hits(spark):
     # A hit whose stored text has other bytes is no copy.
     index = exact_dedup.DigestIndex(spark)
