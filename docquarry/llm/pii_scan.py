@@ -31,8 +31,9 @@ IBAN_LENGTHS = {
 }
 _REST = {n: rf"[\x20-]?[0-9][\x20-]?[0-9](?:[\x20-]?[A-Za-z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n in IBAN_LENGTHS}
 _LAND = {n: f"(?i:{'|'.join(lands.split())})" for n, lands in IBAN_LENGTHS.items()}
-#: Printed form: any case, one space or hyphen between characters. The first takes the country alone, so that no start is hidden by a span before it.
-IBAN_START = r"(?<![A-Za-z0-9])(?:" + "|".join(f"{_LAND[n]}(?={_REST[n]})" for n in IBAN_LENGTHS) + ")"
+#: Printed form: any case, one space or hyphen between characters. The first takes the country alone, so that no start is hidden by a span
+#: before it; two letters before a figure are looked for first, as hardly a word has them.
+IBAN_START = r"(?<![A-Za-z0-9])(?=[A-Za-z]{2}[\x20-]?[0-9])(?:" + "|".join(f"{_LAND[n]}(?={_REST[n]})" for n in IBAN_LENGTHS) + ")"
 IBAN_WHOLE = "^(?:" + "|".join(_LAND[n] + _REST[n] for n in IBAN_LENGTHS) + ")"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
