@@ -124,9 +124,11 @@ def train(samples: DataFrame, smoothing: float = 0.5, false_share: float = 0.000
     """
     n = len(ALPHABET)
     samples = samples.where(F.col("token").isNotNull() & (F.length("token") >= 2))
+    # Most samples are words that come again and again: each is taken apart once.
+    samples = common.stage(samples.groupBy("token", "random").agg(F.count("*").alias("n")), "samples")
     learnt = samples.where(~held_out())
-    grams = learnt.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2)))).alias("gram"))
-    counts = {(r["random"], r["gram"]): r["count"] for r in grams.groupBy("random", "gram").count().collect()}  # alphabet size squared, twice
+    grams = learnt.select("random", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2)))).alias("gram"))
+    counts = {(r["random"], r["gram"]): r["n"] for r in grams.groupBy("random", "gram").agg(F.sum("n").alias("n")).collect()}  # alphabet size squared, twice
 
     def logs(kind: int) -> list[float]:
         out = []
@@ -138,7 +140,8 @@ def train(samples: DataFrame, smoothing: float = 0.5, false_share: float = 0.000
 
     ratios = tuple(r - o for r, o in zip(logs(1), logs(0), strict=True))
     pair = MarkovPair(ratios, least)
-    scored = samples.where(held_out() & (F.length("token") >= MIN_RUN)).select("random", pair.score(F.col("token")).alias("s"))
+    scored = samples.where(held_out() & (F.length("token") >= MIN_RUN)).select("random", "n", pair.score(F.col("token")).alias("s"))
+    scored = scored.select("random", "s", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
     of = lambda kind, share: F.percentile_approx(F.when(F.col("random") == kind, F.col("s")), share, 10_000)
     high, most = scored.agg(of(0, 1 - false_share), of(1, MISSED)).first()
     high = least if high is None else high
