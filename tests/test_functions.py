@@ -62,7 +62,7 @@ def test_values(spark):
 def test_conflict_example(spark):
     rows = [("g", 1, "Portfolio occupancy rate was 95% in the latest quarter."), ("g", 2, "Portfolio occupancy rate was 91% in the previous quarter.")]
     nodes = spark.createDataFrame(rows, "version_group string, node int, text string").selectExpr("*", "concat('doc', node) AS document_id", "concat('file', node) AS document_name", "concat('v', node) AS version_label", "1 AS page_num")
-    found = X.conflicts(X.node_facts(nodes, ["node"]), [], "node", 2).collect()
+    found = X.conflicts(X.node_facts(nodes, ["node"]), X.node_topics(nodes), [], "node", 2).collect()
     assert [(r.l_raw, r.r_raw) for r in found] == [("95%", "91%")]
 
 
