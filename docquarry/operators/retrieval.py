@@ -77,8 +77,10 @@ class _Best:
 
 
 def _unit(column) -> np.ndarray:
-    """A list column as rows of length 1."""
-    matrix = np.array(column.to_pylist(), np.float64)
+    """A list column without nulls as rows of length 1; the values are read where Arrow has them."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    matrix = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intents, text as T
-from ..operators import evaluation as E, evidence, retrieval as V
+from ..operators import cells, evaluation as E, evidence, retrieval as V
 from ..sources import tables as S
 
 NOW = "2024-07-01"
@@ -31,6 +31,13 @@ def chat_memory_search(spark: SparkSession, d: str) -> DataFrame:
     return V.dense_topk(*_vectors(spark, d), 4, scope=("client",), apart="session")
 
 
+def cells_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The approximate counterpart of ``dense_topk``."""
+    asked, held = _vectors(spark, d)
+    fitted = cells.fit(held, DEPTH)
+    return cells.search(asked, cells.index(held, fitted), fitted, DEPTH)
+
+
 def _cosine(where: str, k: int) -> str:
     return f"""WITH e AS (SELECT vec_id, label AS client, vec_id % 10 AS session, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT q.vec_id AS qid, c.vec_id AS node_id, round(list_cosine_similarity(q.v, c.v), 6) + 0.0 AS score FROM e q JOIN e c ON q.vec_id % 50 = 0 {where})
@@ -289,6 +296,7 @@ SELECT category, count(*) AS total, count(*) FILTER (verdict = 'correct') AS cor
 round(avg(CASE verdict WHEN 'correct' THEN 1.0 WHEN 'partially_correct' THEN 0.5 ELSE 0.0 END), 6) AS score FROM r GROUP BY ROLLUP (category)"""
 
 QUERIES = {
+    "cells_topk": cells_topk,
     "dense_topk": dense_topk, "tenant_topk": tenant_topk, "chat_memory_search": chat_memory_search, "bm25_topk": bm25_topk,
     "tenant_filter_search": tenant_filter_search, "hybrid_fusion": hybrid_fusion, "rrf_fusion": fused, "temporal_context": temporal_context,
     "temporal_adjustment": temporal_adjustment, "structural_adjustment": structural_adjustment, "rerank_topk": rerank_topk,
