@@ -101,3 +101,28 @@ def evaluator_sample(rows: DataFrame, key: str, rank: str, best: int = 2, spread
     place = F.col(rank) - best - 1
     chosen = (F.col(rank) <= best) | (n <= spread) | ((place % step == 0) & (F.floor(place / step) < spread))
     return rows.withColumn("_chosen", chosen).where("_chosen").drop("_chosen")
+
+
+#: Endings of images that may be evidence, and how many are taken.
+IMAGE_TYPES, MOST_IMAGES = ("png", "jpg", "jpeg", "webp", "gif", "bmp"), 8
+
+
+def image_evidence(citations: DataFrame, most: int = MOST_IMAGES) -> DataFrame:
+    """(qid, nth, path) of each question's first images, in the order of its citations (rank) and their references.
+
+    ``citations`` has qid, rank and assets (an array of path, digest); an image that can't be read has no digest and is left out, as is
+    one of another type, one whose path was taken, and one of the same content as one taken. A question's citations are its
+    evidence, which is bounded, so they are put together and gone through once.
+    """
+    ending = lambda a: F.lower(F.regexp_extract(a["path"], r"\.([^.]+)$", 1)).isin(*IMAGE_TYPES)
+    usable = F.filter("assets", lambda a: a["path"].isNotNull() & a["digest"].isNotNull() & ending(a))
+    refs = citations.select("qid", F.struct("rank", usable.alias("refs")).alias("c")).groupBy("qid").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    every = F.flatten(F.transform("cs", lambda c: F.transform(c["refs"], lambda a: F.struct(a["path"].alias("path"), a["digest"].alias("digest")))))
+
+    def take(kept: Column, a: Column) -> Column:
+        known = (F.size(kept) >= most) | F.exists(kept, lambda k: (k["path"] == a["path"]) | (k["digest"] == a["digest"]))
+        return F.when(known, kept).otherwise(F.concat(kept, F.array(a)))
+
+    kept = F.aggregate(every, F.array().cast("array<struct<path:string,digest:string>>"), take)
+    made = refs.select("qid", F.posexplode(kept).alias("nth", "a"))
+    return made.select("qid", (F.col("nth") + 1).cast("bigint").alias("nth"), "a.path")

@@ -51,3 +51,33 @@ def factuality(rows: DataFrame) -> DataFrame:
     made = rows.withColumn("category", F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("uncategorized")))
     count = lambda v: F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(v)
     return made.rollup("category").agg(F.count("*").alias("total"), *(count(v) for v in VERDICTS), mean_or_zero("score"))
+
+
+#: Writings of each verdict.
+VERDICT_WORDS = {
+    "partially_correct": ("partial", "partially correct", "partially_correct"),
+    "incorrect": ("incorrect", "wrong", "fail", "failed"),
+    "correct": ("correct", "pass", "passed"),
+}
+
+
+def verdict_name(value: Column) -> Column:
+    """The verdict that a writing stands for; any other one is an error when the row is reached."""
+    low, out = F.lower(F.trim(F.coalesce(value, F.lit("")))), F.raise_error(F.concat(F.lit("unsupported verdict value: "), F.coalesce(value, F.lit("null")))).cast("string")
+    for name, words in VERDICT_WORDS.items():
+        out = F.when(low.isin(*words), name).otherwise(out)
+    return out
+
+
+def judged(questions: DataFrame, gold: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each question (id, category) with its gold verdict and score and, where there is one, its answer.
+
+    A question without gold is an error when its row is reached, as is an unknown verdict; rows without an id are left out. Of several
+    rows of one id in ``gold`` (id, verdict, score) or ``answers`` (id, answer) the greatest counts. A given score is held within
+    0 and 1, a missing one is the verdict's.
+    """
+    one = lambda rows, *columns: rows.groupBy("id").agg(F.max(F.struct(*columns)).alias("g")).select("id", "g.*")
+    made = questions.where("id IS NOT NULL").join(one(gold.withColumn("labelled", F.lit(True)), "labelled", "verdict", "score"), "id", "left").join(one(answers, "answer"), "id", "left")
+    missing = F.raise_error(F.concat(F.lit("missing gold label for question "), F.col("id").cast("string"))).cast("string")
+    made = made.withColumn("verdict", F.when(F.col("labelled"), verdict_name(F.col("verdict"))).otherwise(missing))
+    return made.select("id", "category", "verdict", verdict_score(F.col("verdict"), F.col("score")).alias("score"), "answer")

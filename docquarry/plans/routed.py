@@ -1,13 +1,13 @@
-"""Queries of routed retrieval and of vector collections, and the same in SQL."""
+"""Queries of routed retrieval, vector collections, image evidence and judged answers, and the same in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import routing as R
+from ..operators import answers as A, evaluation as E, routing as R
 from ..sources import collections as C, tables as S
-from .search import BM25, OVERLAP, _lists
+from .search import BM25, OVERLAP, RERANKED, _lists, reranked
 
 _MODEL = "stand-in"
 
@@ -94,5 +94,36 @@ def payload_backfill(spark: SparkSession, d: str) -> DataFrame:
 
 PAYLOAD_BACKFILL = "SELECT coalesce(label::VARCHAR, 'none') AS client_id, vec_id AS point_id, (vec_id % 1000)::VARCHAR AS document_id, vec_id % 40 AS page_num, 'kept' AS note, CASE WHEN vec_id % 10 = 0 THEN 'p' || vec_id || '.png' END AS screenshot FROM embeddings WHERE embedding IS NOT NULL"
 
-QUERIES = {"routed_search": routed_search, "hybrid_or_dense": hybrid_or_dense, "collection_registry": collection_registry, "payload_backfill": payload_backfill}
-ORACLES = {"routed_search": ROUTED, "hybrid_or_dense": HYBRID_OR_DENSE, "collection_registry": COLLECTION_REGISTRY, "payload_backfill": PAYLOAD_BACKFILL}
+def image_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Images of the first ranked rows of each question: paths repeat, and so do contents under other paths; some aren't readable or no images."""
+    rows, n = reranked(spark, d), F.col("node_id")
+    asset = lambda path, digest: F.struct(path.alias("path"), digest.alias("digest"))
+    text = lambda c: c.cast("string")
+    one = asset(F.concat(F.lit("pages/"), text(n % 23), F.when(n % 9 == 4, ".pdf").otherwise(".PNG")), F.when(n % 7 != 3, F.concat(F.lit("d"), text(n % 19))))
+    two = asset(F.concat(F.lit("figures/"), text(n % 13), F.lit(".jpeg")), F.concat(F.lit("d"), text(n % 29)))
+    return A.image_evidence(rows.select("qid", "rank", F.array(one, two).alias("assets")))
+
+
+IMAGE_EVIDENCE = f"""WITH RECURSIVE {RERANKED}, im AS (SELECT qid, rank, 1 AS i, 'pages/' || (node_id % 23) || '.PNG' AS path, 'd' || (node_id % 19) AS digest FROM ranked WHERE node_id % 7 <> 3 AND node_id % 9 <> 4
+  UNION ALL SELECT qid, rank, 2, 'figures/' || (node_id % 13) || '.jpeg', 'd' || (node_id % 29) FROM ranked),
+ie_o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, i) AS k FROM im),
+ie_st AS (SELECT qid, 1::BIGINT AS k, [path] AS ps, [digest] AS ds FROM ie_o o WHERE k = 1
+  UNION ALL SELECT qid, o.k, CASE WHEN list_contains(ps, path) OR list_contains(ds, digest) THEN ps ELSE list_append(ps, path) END, CASE WHEN list_contains(ps, path) OR list_contains(ds, digest) THEN ds ELSE list_append(ds, digest) END FROM ie_st JOIN ie_o o USING (qid) WHERE o.k = ie_st.k + 1),
+fin AS (SELECT qid, arg_max(ps, k)[1:8] AS ps FROM ie_st GROUP BY 1)
+SELECT qid, generate_subscripts(ps, 1) AS nth, unnest(ps) AS path FROM fin"""
+
+
+def judged_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents as questions with gold in several writings, and an answer for some."""
+    l, n = S.table(spark, d, "labels").where("doc_id IS NOT NULL"), F.col("doc_id")
+    word = F.when(F.col("toxic") == 1, "Partially Correct").when(F.col("quality") == 1, F.when(n % 2 == 0, " pass ").otherwise("CORRECT")).otherwise("wrong")
+    gold = l.select(n.alias("id"), word.alias("verdict"), F.when(n % 5 == 0, (n % 30) / 10 - 1).alias("score"))
+    questions = S.table(spark, d, "documents").join(l.select("doc_id").distinct(), "doc_id", "left_semi").select(n.alias("id"), F.col("source").alias("category"))
+    return E.judged(questions, gold, l.where("doc_id % 3 = 0").select(n.alias("id"), F.concat(F.lit("answer "), n.cast("string")).alias("answer")))
+
+
+JUDGED_ANSWERS = """SELECT doc_id AS id, source AS category, CASE WHEN toxic = 1 THEN 'partially_correct' WHEN quality = 1 THEN 'correct' ELSE 'incorrect' END AS verdict,
+greatest(least(CASE WHEN doc_id % 5 = 0 THEN (doc_id % 30)::DOUBLE / 10 - 1 WHEN toxic = 1 THEN 0.5 WHEN quality = 1 THEN 1.0 ELSE 0.0 END, 1.0), 0.0)::DOUBLE AS score, CASE WHEN doc_id % 3 = 0 THEN 'answer ' || doc_id END AS answer FROM labels JOIN documents USING (doc_id)"""
+
+QUERIES = {"routed_search": routed_search, "hybrid_or_dense": hybrid_or_dense, "collection_registry": collection_registry, "payload_backfill": payload_backfill, "image_evidence": image_evidence, "judged_answers": judged_answers}
+ORACLES = {"routed_search": ROUTED, "hybrid_or_dense": HYBRID_OR_DENSE, "collection_registry": COLLECTION_REGISTRY, "payload_backfill": PAYLOAD_BACKFILL, "image_evidence": IMAGE_EVIDENCE, "judged_answers": JUDGED_ANSWERS}

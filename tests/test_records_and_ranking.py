@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.functions import intents
-from docquarry.operators import answers, facts, metadata, records, regions, retrieval
+from docquarry.operators import answers, evaluation, facts, metadata, records, regions, retrieval
 from docquarry.streaming import jobs
 
 
@@ -141,3 +141,26 @@ def test_companions_of_changes_carry_the_topic_first(spark):
     assert "temporal_delta" in got[0].labels and got[0].made[:2] == [f"{topic} investor day baseline presentation", f"{topic} quarterly update current guidance"]
     assert len(got[1].made) == 6 and got[1].made[0].endswith("investor day baseline presentation") and "  " not in "".join(got[1].made)
     assert got[2].made == [] and not got[3].made
+
+
+def test_image_evidence_drops_repeats_of_path_and_content(spark):
+    a = lambda path, digest: {"path": path, "digest": digest}
+    rows = [
+        (1, 2, [a("b.png", "2"), a("c.png", "1"), a("d.svg", "9"), a("e.png", None)]),
+        (1, 1, [a("a.PNG", "1"), a("a.PNG", "7"), a(None, "8")]),
+        (1, 3, [a("c.png", "3")] + [a(f"x{i}.jpg", f"x{i}") for i in range(20)]),
+        (2, 1, []), (3, 1, None),
+    ]
+    got = answers.image_evidence(spark.createDataFrame(rows, "qid int, rank int, assets array<struct<path:string,digest:string>>")).collect()
+    assert [r.path for r in sorted(got, key=lambda r: r.nth)] == ["a.PNG", "b.png", "c.png", "x0.jpg", "x1.jpg", "x2.jpg", "x3.jpg", "x4.jpg"] and {r.qid for r in got} == {1}
+
+
+def test_judged_answers_refuse_missing_gold_and_unknown_verdicts(spark):
+    questions = spark.createDataFrame([(1, "a"), (2, None), (None, "b")], "id int, category string")
+    said = spark.createDataFrame([(1, "yes")], "id int, answer string")
+    gold = lambda *rows: spark.createDataFrame(rows, "id int, verdict string, score double")
+    got = {r.id: (r.verdict, r.score, r.answer) for r in evaluation.judged(questions, gold((1, " Partial", None), (2, "failed", 3.0), (5, "odd", None)), said).collect()}
+    assert got == {1: ("partially_correct", 0.5, "yes"), 2: ("incorrect", 1.0, None)}
+    for bad, word in ((gold((1, "pass", None)), "missing gold label for question 2"), (gold((1, "pass", None), (2, "maybe", None)), "unsupported verdict value: maybe")):
+        with pytest.raises(Exception, match=word):
+            evaluation.judged(questions, bad, said).collect()
