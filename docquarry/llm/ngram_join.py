@@ -275,9 +275,9 @@ def _stars(sided: DataFrame, percent: int, name: str) -> DataFrame:
     return common.stage(made, name)
 
 
-def _salted(large: DataFrame, small: DataFrame, on: str, how: str = "inner", by: str = "fp1") -> DataFrame:
-    """Join many rows with a table that has one row for each value of ``on``; the rows of one value are split over SALTS tasks, ``by`` a column."""
-    salted = large.withColumn("salt", F.pmod(F.xxhash64(by, F.lit(5)), F.lit(SALTS)))
+def _salted(large: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join many rows with a table that has one row for each value of ``on``; the rows of one value are split over SALTS tasks."""
+    salted = large.withColumn("salt", F.pmod(F.xxhash64("fp1", F.lit(5)), F.lit(SALTS)))
     copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return salted.join(copies, [on, "salt"], how).drop("salt")
 
@@ -428,10 +428,13 @@ def _components(documents: DataFrame, similarity: Similarity) -> DataFrame:
     hot = np.sort(frequent.select("fp1").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     nodes = common.stage(texts.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("least")), "nodes")
 
-    # A key's hub is its least node; only keys of several nodes are joined with their nodes, a hot key's split over SALTS tasks.
-    keys = common.stage(_keys(documents, similarity, hot), "keys")
+    # Keys that come once need no hub: they are told by a bitmap, so only keys that come again are written with their nodes. A key's hub is its
+    # least node; one row of each key meets the key's nodes, so the engine can split a hot key's rows.
+    again = common.stage(_keys(documents, similarity, hot).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-keys")
+    bits = min(max(common.MARK_BITS, 1 << (again.count() * 8).bit_length()), 1 << 26)
+    keys = common.stage(common.with_mark(_keys(documents, similarity, hot), ["key"], common.marks(again, bits), True), "shared-keys")
     shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("key", "hub")
-    hubs = _salted(keys, common.stage(shared, "hubs"), "key", by="node").where("node <> hub")
+    hubs = keys.join(shared, "key").where("node <> hub")
     cells = connected_components(hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     cells = cells.unionByName(cells.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp1"), F.col("root").alias("cell"))
     members = common.stage(_cell_sets(documents, common.stage(cells, "cell-nodes"), similarity.words), "cell-sets")
