@@ -75,4 +75,4 @@ def test_stage_edges(spark, small):
 
 
 def test_registered():
-    assert len(queries.QUERIES) == 10 and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert len(queries.QUERIES) == 13 and set(queries.ORACLES) <= set(queries.QUERIES)
