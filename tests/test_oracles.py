@@ -20,6 +20,12 @@ def test_equals_sql(spark, small, duck, name):
     assert oracle.differences(query(spark, small), sql, duck) == []
 
 
+@pytest.mark.parametrize("name", ["prompt_budgets", "companion_queries", "sentence_chunks", "truncated_texts", "semantic_chunks", "routed_search", "judged_answers"])
+def test_equals_sql_on_more_rows(spark, name):
+    query, sql = QUERIES[name]
+    assert oracle.differences(query(spark, "/root/testdata/sf0.01"), sql, oracle.connect("/root/testdata/sf0.01")) == []
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
