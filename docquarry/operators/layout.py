@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def parse_rows(text: Column) -> Column:
     """Table-like lines as rows of cells: split at bars, else tabs, else two or more spaces; rows need two cells."""
     squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     cells = lambda x: F.when(x.contains("|"), F.split(x, r"\|")).when(x.contains("\t"), F.split(x, "\t")).otherwise(F.split(x, r"\s{2,}"))
     rows = F.transform(lines, lambda x: F.filter(F.transform(cells(x), squeeze), lambda c: c != ""))
     return F.filter(rows, lambda r: F.size(r) >= 2)
