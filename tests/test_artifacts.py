@@ -1,9 +1,14 @@
 """Tables and figures as records: literal cases for what the queries' tables can't show."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from docquarry.operators import artifacts as K, layout as L
+from docquarry.operators.bounded import bounded_map
+from docquarry.operators.charts import analysed_charts
 
 REGION = "page bigint, reading_order bigint, kind string, x0 double, y0 double, x1 double, y1 double, text string"
 TABLE = "page bigint, table_id string, x0 double, y0 double, x1 double, y1 double, rows array<array<string>>"
@@ -78,3 +83,42 @@ def test_figures_once_by_place_and_once_by_content(spark, regions):
 def test_lines_of_a_table_keep_figures_at_their_ends(spark):
     text = "0 | head | 0\n 1 | 2 \nno cells\n\t3\t3\n4  wide  4"
     assert spark.range(1).select(L.parse_rows(F.lit(text))).first()[0] == [["0", "head", "0"], ["1", "2"], ["3", "3"], ["4", "wide", "4"]]
+
+
+def test_items_that_hang_crash_or_raise_leave_the_others_alone(spark):
+    def work(item: str):
+        if item == "hang":
+            time.sleep(600)
+        if item == "crash":
+            os._exit(9)
+        if item == "raise":
+            raise KeyError("no such thing")
+        return {"n": len(item)} if item != "odd" else {1, 2}
+
+    items = ["a", "hang", "bb", None, "crash", "raise", "odd", "hang", "ccc"] + ["x" * k for k in range(60)]
+    rows = spark.createDataFrame(list(enumerate(items)), "id int, item string").coalesce(1)
+    began = time.time()
+    got = [(r.id, r.result, r.error) for r in bounded_map(rows, "item", work, 1.0, lanes=3).collect()]
+    assert time.time() - began < 60 and [g[0] for g in got] == list(range(len(items)))
+    assert got[:6] == [(0, '{"n": 1}', None), (1, None, "timeout"), (2, '{"n": 2}', None), (3, None, None), (4, None, "crash"), (5, None, "KeyError: 'no such thing'")]
+    assert got[6][2].startswith("TypeError") and got[7][2] == "timeout" and [g[1] for g in got[8:]] == ['{"n": 3}', *(f'{{"n": {k}}}' for k in range(60))]
+    assert bounded_map(rows.limit(0), "item", work, 1.0).count() == 0
+    with pytest.raises(ValueError):
+        bounded_map(rows, "item", work, 1.0, result="id")
+
+
+def test_charts_fall_back_to_their_words(spark):
+    def reader(shown: str):
+        if "slow" in shown:
+            time.sleep(600)
+        return {"chart_type": "bar", "facts": ["up 4"], "trend": "up"} if "good" in shown else ["no object"]
+
+    figure = "document_id bigint, page bigint, page_num bigint, figure_no bigint, candidate string, caption string, nearby string"
+    figures = [(1, 1, 1, 1, "image", "good chart", ""), (1, 1, 1, 2, "image", "slow line chart", "from 5 to 9"), (1, 1, 1, 3, "image", "chart", "2 then 1"), (1, 1, 1, 4, "image", "good chart", ""), (1, 2, 2, 1, "image", "good chart", ""), (1, 3, 3, 1, "image", "a lobby", "")]
+    pages = spark.createDataFrame([(1, "hard_page", False, 0.5), (2, "simple_text_page", True, 1.0)], "page bigint, page_class string, degraded boolean, complexity double")
+    made = analysed_charts(spark.createDataFrame(figures, figure), pages, reader, 1.0, most_pages=1)
+    got = {(r.page, r.figure_no): (r.state, r.parsed, r.chart_type, r.trend, r.facts, r.confidence) for r in made.collect()}
+    assert got == {
+        (1, 1): ("success", "success", "bar", "up", ["up 4"], 0.75), (1, 2): ("timeout_fallback", "partial", "line", "Increasing trend", ["Approximate range: 5.00 to 9.00"], 0.42),
+        (1, 3): ("failed", "partial", "unknown", "Decreasing trend", ["Approximate range: 2.00 to 1.00"], 0.42), (1, 4): ("skipped", "partial", "unknown", None, [], None), (2, 1): ("skipped", "partial", "unknown", None, [], None),
+    }
