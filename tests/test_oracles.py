@@ -20,7 +20,7 @@ def test_equals_sql(spark, small, duck, name):
     assert oracle.differences(query(spark, small), sql, duck) == []
 
 
-@pytest.mark.parametrize("name", ["prompt_budgets", "companion_queries", "sentence_chunks", "truncated_texts", "semantic_chunks", "routed_search", "judged_answers", "table_artifacts", "merged_tables", "figure_artifacts", "chart_analysis", "prompt_context"])
+@pytest.mark.parametrize("name", ["prompt_budgets", "companion_queries", "sentence_chunks", "truncated_texts", "semantic_chunks", "routed_search", "judged_answers", "table_artifacts", "merged_tables", "figure_artifacts", "chart_analysis", "prompt_context", "staged_units"])
 def test_equals_sql_on_more_rows(spark, name):
     query, sql = QUERIES[name]
     assert oracle.differences(query(spark, "/root/testdata/sf0.01"), sql, oracle.connect("/root/testdata/sf0.01")) == []
