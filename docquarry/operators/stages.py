@@ -107,11 +107,13 @@ class Line:
         return known
 
 
-def kept_in(folder: str) -> Callable[[str, DataFrame], DataFrame]:
-    """Write each table as Parquet in ``folder`` (a shared one) and read it again."""
+def kept_in(folder: str, only: tuple[str, ...] | None = None) -> Callable[[str, DataFrame], DataFrame]:
+    """Write tables (all, or those of ``only``) as Parquet in ``folder``, a shared one, and read them again."""
 
     def keep(name: str, rows: DataFrame) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        if only is not None and name not in only:
+            return rows
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
         return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
     return keep
@@ -120,6 +122,8 @@ def kept_in(folder: str) -> Callable[[str, DataFrame], DataFrame]:
 #: Lines of a page and where they stand on it: clear of where headers and footers are looked for, as plain text has none. Kinds of a body.
 PAGE_LINES, PAGE_TOP, LINE_STEP, LINE_HEIGHT, LETTER, PAGE_HEIGHT = 40, 100.0, 15.0, 12.0, 5.0, 800.0
 BODY_KINDS = ("body_text", "title", "section_heading", "subsection_heading", "figure_region", "caption", "footnote")
+#: Tables that several stages read, so that making them once pays.
+SHARED = ("typed", "pages", "tables")
 #: Kinds of chunk that reasoning makes, artifacts of a page that are reasoned about, kinds of chunk that hold tables and charts.
 REASONING = {"table_reasoning": "reasoning_table", "chart_reasoning": "reasoning_chart", "figure_reasoning": "reasoning_figure", "page_reasoning": "reasoning_page"}
 REASONING_SECTION = "Reasoning Enrichment"
@@ -129,7 +133,8 @@ _PLACE = "page string, document_id bigint, page_num bigint"
 _REGION = f"{_PLACE}, region_id bigint, x0 double, y0 double, x1 double, y1 double, text string"
 DOCUMENTS = {"documents": "document_id bigint, text string"}
 EXTRACTED = {"regions": _REGION, "detected": "page string, table_id string, x0 double, y0 double, x1 double, y1 double, rows array<array<string>>"}
-STRUCTURED = {"typed": f"{_REGION}, kind string, section string", "pages": f"{_PLACE}, page_class string, complexity double, layout_confidence double"}
+STRUCTURED = {"typed": f"{_REGION}, kind string, section string"}
+CLASSIFIED = {"pages": f"{_PLACE}, page_class string, complexity double, layout_confidence double"}
 TABLES = {"tables": f"{_PLACE}, table_id string, caption string, section string, units string, text string, confidence double"}
 REASONED = {"reasoning": f"{_PLACE}, reasoning_id string, reasoning_type string, text string"}
 CHUNKS = {"chunks": f"{_PLACE}, chunk_no bigint, chunk_type string, section_path string, source_artifact_type string, source_artifact_id string, text string, page_class string, complexity double, layout_confidence double"}
@@ -138,10 +143,11 @@ UNITS = {"units": "unit_id string, document_id bigint, page_num bigint, chunk_no
 INGESTION = (
     Contract("extract", DOCUMENTS, EXTRACTED),
     Contract("structure", {"regions": _REGION}, STRUCTURED),
-    Contract("artifacts", {"typed": STRUCTURED["typed"], "detected": EXTRACTED["detected"]}, TABLES),
-    Contract("enrich", {"pages": STRUCTURED["pages"], "tables": TABLES["tables"]}, REASONED),
-    Contract("chunk", {"pages": STRUCTURED["pages"], "typed": STRUCTURED["typed"], "tables": TABLES["tables"], "reasoning": REASONED["reasoning"]}, CHUNKS),
-    Contract("units", {"chunks": CHUNKS["chunks"]}, UNITS),
+    Contract("classify", STRUCTURED, CLASSIFIED),
+    Contract("artifacts", STRUCTURED | CLASSIFIED | {"detected": EXTRACTED["detected"]}, TABLES),
+    Contract("enrich", CLASSIFIED | TABLES, REASONED),
+    Contract("chunk", STRUCTURED | CLASSIFIED | TABLES | REASONED, CHUNKS),
+    Contract("units", CHUNKS, UNITS),
 )
 
 
@@ -159,22 +165,25 @@ def extract_lines(documents: DataFrame) -> Tables:
 
 
 def structure_pages(regions: DataFrame) -> Tables:
-    """Kinds of regions, the heading that each stands under (``Document`` before the first), and the class of each page."""
+    """Kinds of regions, and the heading that each stands under (``Document`` before the first)."""
     kind = G.region_kind(F.col("text"), F.col("y0"), F.col("y1"), F.lit(PAGE_HEIGHT), F.lit(None).cast("string"))
     before = Window.partitionBy("document_id").orderBy("page_num", "region_id").rowsBetween(Window.unboundedPreceding, 0)
-    typed = regions.withColumn("kind", kind)
     section = F.last(F.when(F.col("kind").isin(*K.HEADINGS), F.trim("text")), ignorenulls=True).over(before)
+    return {"typed": regions.withColumn("kind", kind).withColumn("section", F.coalesce(section, F.lit("Document")))}
+
+
+def classify_pages(typed: DataFrame) -> Tables:
+    """The class and complexity of each page, and how sure its regions' kinds are on the mean."""
     of = lambda name: F.count_if(F.col("kind") == name)
     held = typed.groupBy("page", "document_id", "page_num").agg(F.count("*").alias("n"), of("table_region").alias("t"), of("figure_region").alias("f"), F.round(F.avg(G.region_confidence(F.col("kind"), F.lit(False))), 4).alias("layout_confidence"))
     whole = L.page_complexity(F.lit(False), F.col("t"), F.col("f"), F.lit(0), F.col("n"))
-    pages = held.withColumn("complexity", F.round(whole, 6)).withColumn("page_class", L.page_class(F.col("complexity"), F.col("t"), F.col("f"), F.lit(0), F.col("n")))
-    return {"typed": typed.withColumn("section", F.coalesce(section, F.lit("Document"))), "pages": pages}
+    return {"pages": held.withColumn("complexity", F.round(whole, 6)).withColumn("page_class", L.page_class(F.col("complexity"), F.col("t"), F.col("f"), F.lit(0), F.col("n")))}
 
 
-def table_records(typed: DataFrame, detected: DataFrame) -> Tables:
+def table_records(typed: DataFrame, pages: DataFrame, detected: DataFrame) -> Tables:
     regions = typed.withColumn("reading_order", F.col("region_id"))
     made = K.table_artifacts(K.table_candidates(detected, regions), regions)
-    return {"tables": made.join(typed.select(*("page", "document_id", "page_num")).distinct(), "page")}
+    return {"tables": made.join(pages.select("page", "document_id", "page_num"), "page")}
 
 
 def no_reasoning(pages: DataFrame, tables: DataFrame) -> Tables:
@@ -187,13 +196,13 @@ def make_chunks(pages: DataFrame, typed: DataFrame, tables: DataFrame, reasoning
     c, place = F.col, ("page", "document_id", "page_num")
     tabled = typed.join(tables.select("page", F.lit(True).alias("tabled")).distinct(), "page", "left")
     parts = tabled.where(c("kind").isin(*BODY_KINDS) | ((c("kind") == "table_region") & c("tabled").isNull()))
-    body = L.section_chunks(parts, list(place), ["region_id"], "section", "text")
-    first = parts.groupBy("page", "section").agg(F.min("region_id").alias("at"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("region_id", "text"))), lambda r: r["text"])
+    body = parts.groupBy(*place, "section").agg(F.array_join(texts, "\n").alias("body"), F.min("region_id").alias("at"))
     one = lambda rows, n, kind, section, source, source_id, text, at: rows.select(*place, F.lit(n).alias("k"), at.cast("string").alias("at"), kind.alias("chunk_type"), section.alias("section_path"), F.lit(source).alias("source_artifact_type"), source_id.cast("string").alias("source_artifact_id"), text.alias("text"))
     cards = page_cards(pages.withColumn("confidence", c("layout_confidence")), tables.select("page", c("table_id").alias("artifact_id"), F.lit("table").alias("kind"), "caption")).join(pages.select(*place), "page")
     kinds = F.create_map(*(F.lit(x) for pair in REASONING.items() for x in pair))
     every = (
-        one(body.join(first, ["page", "section"]), 0, F.lit("body_text"), c("section"), "text", c("page"), c("body"), F.lpad(c("at").cast("string"), 12, "0"))
+        one(body, 0, F.lit("body_text"), c("section"), "text", c("page"), c("body"), F.lpad(c("at").cast("string"), 12, "0"))
         .unionByName(one(tables, 1, F.lit("full_table"), c("section"), "table", c("table_id"), F.trim(F.concat_ws("\n", F.nullif("caption", F.lit("")), "text")), c("table_id")))
         .unionByName(one(cards, 2, F.lit("page_card"), F.lit("Page"), "page", c("page"), c("text"), c("page")))
         .unionByName(one(reasoning, 3, F.coalesce(F.try_element_at(kinds, c("reasoning_type")), F.lit("reasoning_page")), F.lit(REASONING_SECTION), "reasoning", c("reasoning_id"), c("text"), c("reasoning_id")))
@@ -216,4 +225,4 @@ def make_units(chunks: DataFrame) -> Tables:
 
 def ingestion() -> Line:
     """The stages from texts to units, each of which may be replaced by name."""
-    return Line(INGESTION, {"extract": extract_lines, "structure": structure_pages, "artifacts": table_records, "enrich": no_reasoning, "chunk": make_chunks, "units": make_units})
+    return Line(INGESTION, {"extract": extract_lines, "structure": structure_pages, "classify": classify_pages, "artifacts": table_records, "enrich": no_reasoning, "chunk": make_chunks, "units": make_units})

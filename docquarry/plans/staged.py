@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import regions as G, stages as I
-from ..sources import tables as S
+from ..sources import collections as C, tables as S
 from .artifacts import _AROUND, _SQUEEZE, _TEXT
 from .regions import _KINDS
 
@@ -30,10 +30,10 @@ def counted_tables(pages: DataFrame, tables: DataFrame) -> I.Tables:
 
 
 def staged_units(spark: SparkSession, d: str) -> DataFrame:
-    """Units of all documents by the line with another extraction and enrichment; texts as length and digest."""
+    """Units of all documents by the line with another extraction and enrichment; texts as length and digest. What several stages read is written once."""
     line = I.ingestion().with_stage("extract", barred_lines).with_stage("enrich", counted_tables)
     documents = S.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text", F.lit(1).alias("page"))
-    units = line.run({"documents": documents})["units"]
+    units = line.run({"documents": documents}, I.kept_in(C.work_path(spark, "ingestion"), I.SHARED))["units"]
     text = F.col("raw_text")
     return units.select("unit_id", "document_id", "page_num", "chunk_no", "unit_type", "section_path", F.length(text).cast("bigint").alias("chars"), F.sha2(text, 256).alias("digest"), "table_detected", "chart_detected", "contains_numeric_data", "page_class", "complexity", "layout_confidence")
 
