@@ -208,9 +208,13 @@ def make_chunks(pages: DataFrame, typed: DataFrame, tables: DataFrame, reasoning
         .unionByName(one(reasoning, 3, F.coalesce(F.try_element_at(kinds, c("reasoning_type")), F.lit("reasoning_page")), F.lit(REASONING_SECTION), "reasoning", c("reasoning_id"), c("text"), c("reasoning_id")))
     )
     every = every.where(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) != "")
-    number = F.row_number().over(Window.partitionBy("document_id").orderBy("page_num", "k", "at", "chunk_type", "text")).cast("bigint")
-    known = every.withColumn("chunk_no", number).join(pages.select("page", "page_class", "complexity", "layout_confidence"), "page", "left")
-    return {"chunks": known.withColumns({"page_class": F.coalesce("page_class", F.lit("unknown")), "complexity": F.coalesce("complexity", F.lit(0.0)), "layout_confidence": F.coalesce("layout_confidence", F.lit(0.0))})}
+    # Rows of pages go with their chunks by document, so that texts are shuffled once for both the number and what is known of the page.
+    told = F.struct("page_class", "complexity", "layout_confidence")
+    known = every.withColumn("told", F.lit(None).cast("struct<page_class:string,complexity:double,layout_confidence:double>")).unionByName(pages.select(*place, F.lit(-1).alias("k"), told.alias("told")), allowMissingColumns=True)
+    so_far = Window.partitionBy("document_id").orderBy("page_num", "k", "at", "chunk_type", "text").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = known.withColumn("chunk_no", F.sum(F.when(c("k") >= 0, 1).otherwise(0)).over(so_far).cast("bigint"))
+    placed = numbered.withColumn("told", F.max("told").over(Window.partitionBy("document_id", "page_num"))).where(c("k") >= 0)
+    return {"chunks": placed.withColumns({"page_class": F.coalesce("told.page_class", F.lit("unknown")), "complexity": F.coalesce("told.complexity", F.lit(0.0)), "layout_confidence": F.coalesce("told.layout_confidence", F.lit(0.0))})}
 
 
 def make_units(chunks: DataFrame) -> Tables:
