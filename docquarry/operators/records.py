@@ -33,11 +33,17 @@ def conflict_rows(conflicts: DataFrame) -> DataFrame:
     return conflicts.withColumn("conflict_type", F.coalesce("conflict_type", F.lit("unknown")))
 
 
-def query_states(started: DataFrame, finished: DataFrame) -> DataFrame:
-    """The latest state of each query: running until it ends, then completed with an answer or failed with an error, both cut."""
+def query_states(started: DataFrame, finished: DataFrame, views: dict[str, Column] | None = None) -> DataFrame:
+    """The latest state of each query: running until it ends, then completed with an answer or failed with an error, both cut.
+
+    Where only ``views`` of an answer are asked for (columns over ``answer``, by name), they are taken before states meet their queries, and
+    no answer is moved.
+    """
     failed = F.col("error").isNotNull()
     answer = F.when(failed, F.concat(F.lit("Error: "), F.substring("error", 1, ERROR_CHARS))).otherwise(F.substring("answer", 1, ANSWER_CHARS))
     ended = finished.select("query_id", F.when(failed, "failed").otherwise("completed").alias("ended"), answer.alias("answer"))
+    if views is not None:
+        ended = ended.select("query_id", "ended", *(view.alias(name) for name, view in views.items()))
     return started.join(ended, "query_id", "left").withColumn("status", F.coalesce("ended", F.lit("running"))).drop("ended")
 
 

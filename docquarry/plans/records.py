@@ -51,7 +51,8 @@ def query_log_states(spark: SparkSession, d: str) -> DataFrame:
     ended = q.where("status <> 'running'").select(
         "query_id", F.when(F.col("status") == "completed", F.repeat(F.col("question"), 700)).alias("answer"), F.when(F.col("status") == "failed", F.repeat(F.lit("timed out "), 60)).alias("error")
     )
-    return R.query_states(q.select("query_id", "client_id"), ended).select("query_id", "client_id", "status", F.length("answer").cast("bigint").alias("chars"), F.substring("answer", 1, 20).alias("begins"))
+    views = {"chars": F.length("answer").cast("bigint"), "begins": F.substring("answer", 1, 20)}
+    return R.query_states(q.select("query_id", "client_id"), ended, views).select("query_id", "client_id", "status", "chars", "begins")
 
 
 QUERY_LOG_STATES = f"""WITH {QUERY_LOGS}, a AS (SELECT *, CASE status WHEN 'completed' THEN repeat(question, 700)[:5000] WHEN 'failed' THEN 'Error: ' || repeat('timed out ', 60)[:500] END AS answer FROM query_logs)
