@@ -57,16 +57,30 @@ def section_chunks(regions: DataFrame, keys: list[str], order: list[str], sectio
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], place: str, within: float, n: int, left_id: str, right_id: str) -> DataFrame:
-    """Up to ``n`` rows of ``right`` nearest to each row of ``left`` along ``place``, at most ``within`` away.
+    """Up to ``n`` rows of ``right`` nearest to each row of ``left`` along ``place``, at most ``within`` away; ties go to the smaller ``right_id``.
 
-    Both sides are dealt to bands of that width and a left row meets three bands, so no pair beyond two widths is made.
+    Right rows are dealt to their band of that width and its neighbours, left rows to their own. A band is sorted once upwards and once
+    downwards, each right row carries the ``n`` last right rows up to itself, and a left row takes those of the last right row before it, so rows
+    grow by n on each side and no pair is made that isn't a candidate. Rows without a key or place are near nothing.
     """
-    band = lambda c: F.floor(F.col(c) / within)
-    a = left.select(*keys, F.col(left_id), F.col(place).alias("_a"), F.explode(F.array(*(band(place) + k for k in (-1, 0, 1)))).alias("_band"))
-    b = right.select(*keys, F.col(right_id), F.col(place).alias("_b"), band(place).alias("_band"))
-    pairs = a.join(b, [*keys, "_band"]).withColumn("distance", F.abs(F.col("_a") - F.col("_b"))).where(F.col("distance") <= within)
-    w = Window.partitionBy(*keys, left_id).orderBy("distance", right_id)
-    return pairs.withColumn("nth", F.row_number().over(w).cast("bigint")).where(F.col("nth") <= n).select(*keys, left_id, right_id, "distance", "nth")
+    band, at = F.floor(F.col(place) / within), F.col(place).alias("_at")
+    known = lambda rows: rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, place)))
+    key = F.struct(F.lit(0).alias("_all"), *keys).alias("_key")
+    a = known(left).select(key, band.alias("_band"), at, F.col(left_id).alias("_left"), F.lit(False).alias("_is_right"))
+    b = known(right).select(key, F.explode(F.array(*(band + k for k in (-1, 0, 1)))).alias("_band"), at, F.col(right_id).alias("_right"), F.lit(True).alias("_is_right"))
+    group, found = Window.partitionBy("_key", "_band"), []
+    # Upwards a right row at a left row's own place comes before it, downwards after it, so that each is met once. Of equal places the smaller id comes last.
+    for along, at_place in ((F.asc("_at"), F.desc("_is_right")), (F.desc("_at"), F.asc("_is_right"))):
+        among = group.orderBy(along, F.desc("_right"))
+        taken = F.array_compact(F.array(F.struct("_right", "_at"), *(F.lag(F.struct("_right", "_at"), k).over(among) for k in range(1, n))))
+        rows = a.unionByName(b.withColumn("_last", taken), allowMissingColumns=True)
+        before = group.orderBy(along, at_place, F.desc("_right")).rowsBetween(Window.unboundedPreceding, 0)
+        met = rows.withColumn("_last", F.last("_last", ignorenulls=True).over(before)).where("NOT _is_right")
+        found.append(met.select("_key", "_left", F.col("_at").alias("_from"), F.inline("_last")))
+    pairs = found[0].unionByName(found[1]).withColumn("distance", F.abs(F.col("_from") - F.col("_at"))).where(F.col("distance") <= within)
+    nth = F.row_number().over(Window.partitionBy("_key", "_left").orderBy("distance", "_right")).cast("bigint")
+    best = pairs.withColumn("nth", nth).where(F.col("nth") <= n)
+    return best.select(*(F.col("_key")[k].alias(k) for k in keys), F.col("_left").alias(left_id), F.col("_right").alias(right_id), "distance", "nth")
 
 
 def semantic_breaks(rows: DataFrame, keys: list[str], order: str, distance: str, share: float = 0.95) -> DataFrame:
