@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import RRF, bm25, terms, top_ranked
+from .retrieval import RRF, sparse_topk, terms, top_ranked
 
 #: The strategies, each giving way to those after it, and how many parts a question is taken apart into at most.
 STRATEGIES = ("decomposed", "expanded", "direct")
@@ -51,8 +51,8 @@ def routed(questions: DataFrame, chunks: DataFrame, depth: int = 10, k: int = 15
     given = every.groupBy("qid").agg(F.min("branch").alias("given"))
     # A query is scored under a number of its own: its question and its place.
     numbered = taken.select("qid", "branch", "strategy", "variant", F.col("query").alias("question"), F.struct("qid", "variant").alias("asked"))
-    scored = bm25(numbered.select(F.col("asked").alias("qid"), "question"), chunks).withColumnRenamed("qid", "asked")
-    best = top_ranked(scored, ["asked"], [F.desc("score"), F.asc("node_id")], depth).select("asked.qid", "asked.variant", "node_id", "score", "rank")
+    scored = sparse_topk(numbered.select(F.col("asked").alias("qid"), "question"), chunks, depth)
+    best = scored.select("qid.qid", "qid.variant", "node_id", "score", "rank")
     fused = best.groupBy("qid", "node_id").agg(F.round(F.sum(F.col("score") + 1 / (RRF + F.col("rank"))), 6).alias("score"), F.array_join(F.array_sort(F.collect_list("variant")), ",").alias("origins"))
     wanted = questions.select("qid", F.when(F.col("strategy") == "decomposed", 0).when(F.col("strategy") == "expanded", 1).otherwise(2).alias("wanted"))
     how = numbered.select("qid", "branch", "strategy").distinct().join(given, "qid").join(wanted, "qid")
