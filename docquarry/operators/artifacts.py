@@ -7,12 +7,14 @@ section ``Document``; empty tables give empty results.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from ..functions import text as T
-from .ingest import islands
 from .layout import labelled_rows, parse_rows
 from .regions import figure_fields, suppressed
 
@@ -83,38 +85,40 @@ def header_signature(rows: Column) -> Column:
     return F.array_join(F.transform(F.get(rows, F.lit(0)), lambda cell: F.lower(F.trim(F.regexp_replace(cell, r"\s+", " ")))), "|")
 
 
-def _folded(rows: pa.Table) -> pa.Table:
-    """Number the tables of a run of fragments: one goes on while it has the header or the caption of the table's first fragment."""
-    rows = rows.sort_by([("page_num", "ascending"), ("table_id", "ascending")])
-    head, part, parts, skips = None, 0, [], []
-    for header, caption in zip(rows.column("header").to_pylist(), rows.column("low_caption").to_pylist()):
-        same_header = head is not None and header == head[0]
-        goes_on = same_header or head is not None and bool(caption) and caption == head[1]
-        if not goes_on:
-            head, part = (header, caption), part + 1
-        parts.append(part)
-        skips.append(same_header)
-    picked = rows.select(["document_id", "island", "page_num", "table_id"])
-    return picked.append_column("part", pa.array(parts, pa.int64())).append_column("skips_header", pa.array(skips, pa.bool_()))
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fragments in order with the number of their table in the document, and whether they repeat the header of its first fragment.
+
+    One goes on while it is on the page after the fragment before it, at its sides, with the header or caption of the table's first.
+    """
+    document, last, head, part = object(), None, None, 0
+    for batch in batches:
+        parts, skips = [], []
+        for of, page, x0, x1, header, caption in zip(*(batch.column(c).to_pylist() for c in ("document_id", "page_num", "x0", "x1", "header", "low_caption"))):
+            known = of == document and None not in (page, x0, x1, *last)
+            near = known and page == last[0] + 1 and abs(x0 - last[1]) <= ALIGNED and abs(x1 - last[2]) <= ALIGNED
+            same_header = near and header == head[0]
+            goes_on = same_header or near and bool(caption) and caption == head[1]
+            if not goes_on:
+                head, part = (header, caption), part + 1 if of == document else 1
+            document, last = of, (page, x0, x1)
+            parts.append(part)
+            skips.append(same_header)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int64()), pa.array(skips, pa.bool_())], [*batch.schema.names, "part", "skips_header"])
 
 
 def merged_tables(fragments: DataFrame) -> DataFrame:
     """Tables put together from fragments (document_id, page_num and what ``table_artifacts`` gives), ordered by page, then table_id.
 
     A fragment goes on if it is on the page after the fragment before it, its sides are at most ALIGNED from that one's, and it has the header
-    or the caption of the table's first fragment. Page and sides are settled by a window; what is left, fragments in a row that may belong
-    together, is gone through in order, by header and caption only. Rows are joined to that afterwards. A repeated header is left out,
-    notes and units are united, the first fragment gives caption and section.
+    or the caption of the table's first fragment. Documents are sorted and gone through in order, with the last fragment and the table's first
+    at hand, so none is gathered. A repeated header is left out, notes and units are united, the first fragment gives caption and section.
     """
-    light = fragments.select("document_id", "page_num", "table_id", "x0", "x1", header_signature(F.col("rows")).alias("header"), F.lower(F.trim(F.regexp_replace("caption", r"\s+", " "))).alias("low_caption"))
-    near = (F.col("page_num") == F.col("prev_page_num") + 1) & (F.abs(F.col("x0") - F.col("prev_x0")) <= ALIGNED) & (F.abs(F.col("x1") - F.col("prev_x1")) <= ALIGNED)
-    runs = islands(light, ["document_id"], ["page_num", "table_id"], near)
-    kinds = {f.name: f.dataType.simpleString() for f in light.schema}
-    schema = f"document_id {kinds['document_id']}, island bigint, page_num {kinds['page_num']}, table_id {kinds['table_id']}, part bigint, skips_header boolean"
-    parts = runs.select("document_id", "island", "page_num", "table_id", "header", "low_caption").groupBy("document_id", "island").applyInArrow(_folded, schema)
-    rows = fragments.join(parts, ["document_id", "page_num", "table_id"])
+    low_caption = F.lower(F.trim(F.regexp_replace("caption", r"\s+", " ")))
+    marked = fragments.select("document_id", "page_num", "table_id", "x0", "x1", "rows", "notes", "caption", "section", "units", "confidence", header_signature(F.col("rows")).alias("header"), low_caption.alias("low_caption"))
+    schema = types.StructType([*marked.schema.fields, types.StructField("part", types.LongType()), types.StructField("skips_header", types.BooleanType())])
+    rows = marked.repartition("document_id").sortWithinPartitions("document_id", "page_num", "table_id").mapInArrow(_folded, schema)
     piece = F.struct("page_num", "table_id", F.when(F.col("skips_header"), F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).otherwise(F.col("rows")).alias("rows"), "notes", "caption", "section", "units")
-    grouped = rows.groupBy("document_id", "island", "part").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.max("confidence").alias("confidence"))
+    grouped = rows.groupBy("document_id", "part").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.max("confidence").alias("confidence"))
     first, squeeze = (lambda name: F.get("p", F.lit(0))[name]), (lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     notes = F.flatten(F.transform("p", lambda x: x["notes"]))
     units = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("p", lambda x: F.split(x["units"], ","))), lambda u: u != "")))
