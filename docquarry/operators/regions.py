@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,21 +123,32 @@ def nearest_caption(anchors: DataFrame, regions: DataFrame) -> DataFrame:
 def suppressed(boxes: DataFrame, most: float = 0.8) -> DataFrame:
     """Boxes (page, box_id, x0..y1) less those of hardly any area and those that overlap one accepted before them by more than ``most``.
 
-    What is accepted depends on what was before, so a page's boxes, a few dozen, are gone through in order of box_id.
+    What is accepted depends on what was before, so a page's boxes, a few dozen, are gone through in order of box_id. Tasks read sorted pages
+    one after the other and hold the accepted boxes of one.
     """
 
-    def keep(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("box_id")
-        x0, y0, x1, y1 = (rows.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1"))
-        area = [(c - a) * (d - b) for a, b, c, d in zip(x0, y0, x1, y1)]
-        kept: list[int] = []
-        for i in range(len(area)):
-            both = [max(min(x1[i], x1[k]) - max(x0[i], x0[k]), 0.0) * max(min(y1[i], y1[k]) - max(y0[i], y0[k]), 0.0) for k in kept]
-            if area[i] > 1 and not any(s > 0 and s / (area[i] + area[k] - s) > most for s, k in zip(both, kept)):
-                kept.append(i)
-        return rows.take(kept)
-
-    return boxes.groupBy("page").applyInArrow(keep, boxes.schema)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept = object(), []
+        for batch in batches:
+            chosen = []
+            for i, (page, *box) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page", "x0", "y0", "x1", "y1")))):
+                if page != at:
+                    at, kept = page, []
+                x0, y0, x1, y1 = box
+                area = (x1 - x0) * (y1 - y0)
+                if not area > 1:
+                    continue
+                for a0, b0, a1, b1, other in kept:
+                    both = max(min(x1, a1) - max(x0, a0), 0.0) * max(min(y1, b1) - max(y0, b0), 0.0)
+                    if both > 0 and both / (area + other - both) > most:
+                        break
+                else:
+                    kept.append((*box, area))
+                    chosen.append(i)
+            yield batch.take(pa.array(chosen, pa.int64()))
+
+    # Boxes without a number come last.
+    return boxes.repartition("page").sortWithinPartitions("page", F.asc_nulls_last("box_id")).mapInArrow(keep, boxes.schema)
 
 
 def table_html(rows: Column) -> Column:

@@ -1,8 +1,10 @@
 """Tables, figures and charts are gone through as sorted rows, not as a group for each page or run."""
 
+import random
+
 import pytest
 
-from docquarry.operators import artifacts
+from docquarry.operators import artifacts, regions
 from docquarry.plans import artifacts as plans
 
 
@@ -24,3 +26,16 @@ def test_tables_go_on_over_batches(spark, small, short_batches):
     want = {(d, tuple(span)): [["Head"], *([f"{d}-{p}"] for p in span)] for d in range(5) for span in (range(1, 6), range(6, 9))}
     assert {(r.document_id, tuple(r.pages)): r.rows for r in made.collect()} == want
     assert "FlatMapGroups" not in _plan(plans.merged_tables(spark, small))
+
+
+def test_boxes_are_suppressed_over_batches(spark, small, short_batches):
+    r = random.Random(2)
+    boxes = [(p, k, x, y, x + 10.0, y + 10.0) for p in range(7) for k, (x, y) in enumerate([(r.choice([0.0, 0.4, 30.0]), r.choice([0.0, 0.4, 30.0])) for _ in range(9)])]
+    iou = lambda a, b: (s := max(min(a[4], b[4]) - max(a[2], b[2]), 0) * max(min(a[5], b[5]) - max(a[3], b[3]), 0)) / (200 - s)
+    want = []
+    for b in boxes:
+        if not any(k[0] == b[0] and iou(k, b) > 0.8 for k in want):
+            want.append(b)
+    made = regions.suppressed(spark.createDataFrame(boxes, "page int, box_id int, x0 double, y0 double, x1 double, y1 double").repartition(4))
+    assert sorted(map(tuple, made.collect())) == want
+    assert "FlatMapGroups" not in _plan(plans.figure_artifacts(spark, small))
