@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bounded import TIMEOUT, Work, bounded_map
-from .chunks import BARE_CHART_WEIGHT, CHART_WEIGHT, chosen_pages, page_weight
+from .chunks import BARE_CHART_WEIGHT, CHART_WEIGHT, page_weight
 from .regions import figure_fields
 
 #: What a reader gives; all of it may be missing.
@@ -27,14 +27,17 @@ def analysed_charts(figures: DataFrame, pages: DataFrame, read: Work, seconds: f
     c = F.col
     fields = figure_fields(c("caption"), c("nearby"), c("candidate"))
     charts = figures.where(fields["is_chart"]).select("document_id", "page", "page_num", "figure_no", "caption", "nearby", "candidate", fields["figure_type"].alias("figure_type"))
-    held = charts.groupBy("document_id", "page").agg(F.count("*").alias("n"))
-    # No chart has numbers before it is read, so all of a page count as bare.
+    # No chart has numbers before it is read, so all of a page count as bare. Charts carry their page's count and place, so they are made once.
+    by_page = Window.partitionBy("document_id", "page")
     priority = c("n") * (CHART_WEIGHT + BARE_CHART_WEIGHT) + page_weight(c("page_class"), c("degraded"), c("complexity"))
-    chosen = chosen_pages(held.join(pages.select("page", "page_class", "degraded", "complexity"), "page"), "document_id", priority, most_pages).select("page", F.lit(True).alias("chosen"))
-    nth = F.row_number().over(Window.partitionBy("page").orderBy("figure_no"))
-    asked = F.coalesce("chosen", F.lit(False)) & (c("nth") <= most_charts)
+    known = pages.select("page", "page_class", "degraded", "complexity", F.lit(True).alias("known"))
+    rows = charts.withColumns({"n": F.count("*").over(by_page), "nth": F.row_number().over(by_page.orderBy("figure_no"))}).join(known, "page", "left").withColumn("priority", F.round(priority, 6))
+    # Every chart of a page has its page's priority, so pages are numbered by dense rank; those without one come last.
+    place = F.dense_rank().over(Window.partitionBy("document_id").orderBy(c("priority").desc_nulls_last(), F.desc("page")))
+    asked = c("known").isNotNull() & c("priority").isNotNull() & (place <= most_pages) & (c("nth") <= most_charts)
+    rows = rows.withColumn("asked", asked).drop("n", "priority", "known", "page_class", "degraded", "complexity")
     shown = F.concat_ws("\n", *(F.nullif(name, F.lit("")) for name in ("caption", "nearby")))
-    rows = charts.withColumn("nth", nth).join(chosen, "page", "left").withColumn("_shown", F.when(asked, shown))
+    rows = rows.withColumn("_shown", F.when(c("asked"), shown))
     said = bounded_map(rows, "_shown", read, seconds, result="_result", error="_error").withColumn("_said", F.from_json("_result", READ))
     useful = F.exists(F.array("_said.chart_type", "_said.trend", F.array_join("_said.facts", ""), c("_said.confidence").cast("string")), lambda x: x.isNotNull())
     state = F.when(c("_shown").isNull(), "skipped").when(c("_error") == TIMEOUT, "timeout_fallback").when(c("_error").isNotNull() | ~F.coalesce(useful, F.lit(False)), "failed").otherwise("success")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import artifacts as K, charts as H
+from ..sources.tables import table
 from .regions import _KINDS, _LINES, _kinds
 
 _BOX = ", ".join(K.BOX)
@@ -138,8 +139,9 @@ def read_chart(shown: str) -> dict:
 def chart_analysis(spark: SparkSession, d: str) -> DataFrame:
     """The charts among the figures, the most useful pages' read by a model, the others by their words."""
     figures, n = _figures(spark, d), F.col("page")
+    # Pages are told of whether or not they have a figure, so figures aren't made for that.
     kinds = F.when(n % 3 == 0, "visual_heavy_page").otherwise("simple_text_page")
-    pages = figures.select("page").distinct().select("page", kinds.alias("page_class"), (n % 7 == 0).alias("degraded"), (n % 10 / 10).alias("complexity"))
+    pages = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page")).distinct().select("page", kinds.alias("page_class"), (n % 7 == 0).alias("degraded"), (n % 10 / 10).alias("complexity"))
     made = H.analysed_charts(figures, pages, read_chart, 60.0)
     return made.select("document_id", "page_num", "figure_no", "figure_type", "state", "parsed", "chart_type", "trend", F.array_join("facts", "; ").alias("facts"), "confidence", "error")
 

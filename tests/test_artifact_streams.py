@@ -39,3 +39,9 @@ def test_boxes_are_suppressed_over_batches(spark, small, short_batches):
     made = regions.suppressed(spark.createDataFrame(boxes, "page int, box_id int, x0 double, y0 double, x1 double, y1 double").repartition(4))
     assert sorted(map(tuple, made.collect())) == want
     assert "FlatMapGroups" not in _plan(plans.figure_artifacts(spark, small))
+
+
+def test_figures_are_made_once_for_charts(spark, small):
+    once = _plan(plans.figure_artifacts(spark, small)).count("MapInArrow")
+    # One more is the reading of the charts.
+    assert _plan(plans.chart_analysis(spark, small)).count("MapInArrow") == once + 1
