@@ -102,7 +102,8 @@ SELECT x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || translate(x[17], '
 
 def variant_counts(spark: SparkSession, d: str) -> DataFrame:
     sparse, other = _lists(spark, d)
-    return C.variant_counts(sparse.withColumn("variant", F.lit("terms")).unionByName(other.withColumn("variant", F.lit("overlap"))))
+    # The exchange is that of ``search.fused``.
+    return C.variant_counts(sparse.withColumn("variant", F.lit("terms")).unionByName(other.withColumn("variant", F.lit("overlap"))).repartition("qid", "node_id"))
 
 
 VARIANT_COUNTS = f"""WITH {FUSED}, vl AS (SELECT qid, node_id, 'terms' AS variant FROM sparse UNION ALL SELECT qid, node_id, 'overlap' FROM overlap), vn AS (SELECT *, count(*) OVER (PARTITION BY qid, node_id) = 1 AS alone FROM vl)
