@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import RRF, sparse_topk, terms, top_ranked
+from .retrieval import QUERY_BLOCK, RRF, held_once, sparse_topk, terms, top_ranked
 
 #: The strategies, each giving way to those after it, and how many parts a question is taken apart into at most.
 STRATEGIES = ("decomposed", "expanded", "direct")
@@ -35,23 +35,24 @@ def branches(questions: DataFrame) -> DataFrame:
     return made.select("qid", "b.branch", "b.strategy", F.posexplode("b.queries").alias("variant", "query")).distinct()
 
 
-def routed(questions: DataFrame, chunks: DataFrame, depth: int = 10, k: int = 15) -> DataFrame:
+def routed(questions: DataFrame, chunks: DataFrame, depth: int = 10, k: int = 15, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(qid, node_id, score, rank, strategy, fallback, origins): the best ``k`` chunks of each question by the branch that it took.
 
     Which branch a question takes is settled by terms: the first one of which some query has a term that a chunk holds. Chunks are read for
     terms of all branches once; scores are only made for queries of the branch taken. Each query's best ``depth`` are fused by score and
-    reciprocal rank. ``fallback`` says why the asked strategy wasn't taken (``failed``: it gave no query; ``empty``: its queries find
-    nothing); ``origins`` are the queries, by number, that found the chunk.
+    reciprocal rank. Up to ``query_block`` queries of branches taken are settled once, so texts aren't read again to tell them. ``fallback``
+    says why the asked strategy wasn't taken (``failed``: it gave no query; ``empty``: its queries find nothing); ``origins`` are the
+    queries, by number, that found the chunk.
     """
     every = branches(questions)
     asked = every.select("qid", "branch", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     held = chunks.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").distinct()
     live = asked.join(held, "term").groupBy("qid").agg(F.min("branch").alias("branch"))
-    taken = every.join(live, ["qid", "branch"])
+    taken = held_once(every.join(live, ["qid", "branch"]), query_block)
     given = every.groupBy("qid").agg(F.min("branch").alias("given"))
     # A query is scored under a number of its own: its question and its place.
     numbered = taken.select("qid", "branch", "strategy", "variant", F.col("query").alias("question"), F.struct("qid", "variant").alias("asked"))
-    scored = sparse_topk(numbered.select(F.col("asked").alias("qid"), "question"), chunks, depth)
+    scored = sparse_topk(numbered.select(F.col("asked").alias("qid"), "question"), chunks, depth, query_block=query_block)
     best = scored.select("qid.qid", "qid.variant", "node_id", "score", "rank")
     fused = best.groupBy("qid", "node_id").agg(F.round(F.sum(F.col("score") + 1 / (RRF + F.col("rank"))), 6).alias("score"), F.array_join(F.array_sort(F.collect_list("variant")), ",").alias("origins"))
     wanted = questions.select("qid", F.when(F.col("strategy") == "decomposed", 0).when(F.col("strategy") == "expanded", 1).otherwise(2).alias("wanted"))
