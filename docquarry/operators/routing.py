@@ -52,7 +52,7 @@ def routed(questions: DataFrame, chunks: DataFrame, depth: int = 10, k: int = 15
     given = every.groupBy("qid").agg(F.min("branch").alias("given"))
     # A query is scored under a number of its own: its question and its place.
     numbered = taken.select("qid", "branch", "strategy", "variant", F.col("query").alias("question"), F.struct("qid", "variant").alias("asked"))
-    scored = sparse_topk(numbered.select(F.col("asked").alias("qid"), "question"), chunks, depth, query_block=query_block)
+    scored = sparse_topk(numbered.select(F.col("asked").alias("qid"), "question"), chunks.withColumn("terms", terms(F.col("text"))), depth, query_block=query_block)
     best = scored.select("qid.qid", "qid.variant", "node_id", "score", "rank")
     fused = best.groupBy("qid", "node_id").agg(F.round(F.sum(F.col("score") + 1 / (RRF + F.col("rank"))), 6).alias("score"), F.array_join(F.array_sort(F.collect_list("variant")), ",").alias("origins"))
     wanted = questions.select("qid", F.when(F.col("strategy") == "decomposed", 0).when(F.col("strategy") == "expanded", 1).otherwise(2).alias("wanted"))
