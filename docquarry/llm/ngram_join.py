@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,9 @@ from .textarrays import mix, shingles, slices
 HOT_SHARE, HOT_LEAST, HOT_CHUNK, HOT_MOST = 0.002, 12, 4_000_000, 1 << 17
 #: Sets and shingles of a block; bytes of sets that one task gets; bits of the membership filter.
 BLOCK_SETS, BLOCK_SHINGLES, TASK_BYTES, FILTER_BITS = 1024, 8_000_000, 3_000_000, 1 << 23
+#: Keys that a task holds before it gives them on; shingles whose keys meet in one range of keys; bits that keys are told apart by there, and
+#: those that number the sets of a run.
+KEYS_HELD, RANGE_SHINGLES, KEY_BITS, SET_BITS = 1_000_000, 3_000_000, 48, 24
 #: Tasks that the rows of one cell or key are split over when they are joined with what is known of it.
 SALTS = 32
 _U = np.uint64
@@ -190,50 +194,143 @@ def set_keys(value: np.ndarray, offs: np.ndarray, similarity: Similarity, freque
     return np.concatenate(sets), np.concatenate(keys).view(np.int64)
 
 
-def _keys(documents: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataFrame:
-    """(key, node): node is the first fingerprint; equal sets of a task are given once."""
+def _coded(values: np.ndarray) -> bytes:
+    """Numbers as one compressed string, byte places apart: places that are zero in most of them take no room."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _decoded(coded: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = pa.decompress(coded, decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
+def _chained(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): each member of the components that equal keys connect owners to, but the least, and that least one. Keys are ascending."""
+    same = keys[1:] == keys[:-1]
+    ends, at = np.unique(np.concatenate((owner[1:][same], owner[:-1][same])), return_inverse=True)
+    a, b = np.split(at, 2)
+    root = np.arange(len(ends))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(ends)))
+    return ends[moved], ends[root[moved]]
+
+
+def _meetings(documents: DataFrame, similarity: Similarity, hot: np.ndarray, ranges: int) -> DataFrame:
+    """(a, b) of nodes (first fingerprints) that keys connect, not all pairs: what is connected is what keys connect.
+
+    Every key is shuffled once, in a few bytes: a run of a task's keys is sorted, cut at ``ranges`` of the key space and coded as differences,
+    each with the number of its set in the run; equal keys of a run are given once. Keys are told apart by KEY_BITS of them, so by
+    chance some sets meet that share no key, which the exact join settles. A range gives a star for each of its components.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(hot)  # HOT_MOST numbers at most
+    names = ["range", "run", "n", "keys", "sets"]
+
+    def given(run: int, keys: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, (node, number) = np.concatenate(keys).view(np.uint64), np.unique(np.concatenate(nodes), return_inverse=True)
+        order = np.argsort(key, kind="stable")
+        key, number = key[order] >> _U(64 - KEY_BITS), number[order].astype(np.uint32)
+        a, b = _chained(key, number)
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        key, number = key[fresh], number[fresh]
+        cuts = np.searchsorted((key >> _U(KEY_BITS - 32)) * _U(ranges) >> _U(32), np.arange(ranges + 1))
+        # What the numbers stand for, and stars of the run itself, go to groups of their own.
+        rows = [(-1 - run % ranges, run, len(node), node.tobytes(), None), (-1 - run % ranges, run, len(a), a.tobytes(), b.tobytes())]
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            part = slice(cuts[k], cuts[k + 1])
+            rows.append((k, run, part.stop - part.start, _coded(np.diff(key[part], prepend=_U(0))), _coded(number[part])))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        run, size, keys, nodes = TaskContext.get().partitionId() << 16, 0, [], []
         for _, _, value, offs, fp1, fp2 in _each_slice(batches, similarity.words):
             new = np.array([x not in seen and not seen.add(x) for x in zip(fp1.tolist(), fp2.tolist())], bool)
-            sets, keys = set_keys(value, offs, similarity, shared.value, new)
-            if len(keys):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp1[sets])], ["key", "node"])
-
-    return common.map_arrow(documents.select("text"), per_task, "key bigint, node bigint")
+            sets, key = set_keys(value, offs, similarity, shared.value, new)
+            keys.append(key)
+            nodes.append(fp1[sets])
+            size += len(key)
+            if size >= KEYS_HELD:
+                yield from given(run, keys, nodes)
+                run, size, keys, nodes = run + 1, 0, [], []
+        if size:
+            yield from given(run, keys, nodes)
+
+    def meet(table: pa.Table) -> pa.Table:
+        kind, out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("names", pa.bool_())]), []
+        give = lambda a, b, named: out.append(pa.table([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(np.full(len(a), named))], schema=kind))
+        keys, owner = [], []
+        for at, run, n, coded, sets in zip(*(table.column(c).to_pylist() for c in names)):
+            first = run << SET_BITS
+            if at >= 0:
+                keys.append(np.cumsum(_decoded(coded, n, np.uint64), dtype=np.uint64))
+                owner.append(first + _decoded(sets, n, np.uint32).astype(np.int64))
+            elif sets is None:
+                give(first + np.arange(n), np.frombuffer(coded, np.int64), True)
+            else:
+                give(first + np.frombuffer(coded, np.uint32).astype(np.int64), first + np.frombuffer(sets, np.uint32).astype(np.int64), False)
+        if keys:
+            key, own = np.concatenate(keys), np.concatenate(owner)
+            order = np.argsort(key, kind="stable")
+            give(*_chained(key[order], own[order]), False)
+        return pa.concat_tables(out)
+
+    rows = common.map_arrow(documents.select("text"), per_task, "range bigint, run bigint, n bigint, keys binary, sets binary")
+    met = common.stage(rows.groupBy("range").applyInArrow(meet, "a bigint, b bigint, names boolean"), "meetings")
+    named = met.where("names").select(F.col("a").alias("set"), F.col("b").alias("node"))
+    pairs = met.where("NOT names").select("a", "b").distinct()
+    for side in "ab":
+        # A run that was made anew with other rows would leave numbers without a name.
+        name = F.coalesce("node", F.raise_error(F.lit("a set's number has no name")).cast("bigint"))
+        pairs = pairs.join(named.withColumnRenamed("set", side), side, "left").withColumn(side, name).drop("node")
+    return pairs
 
 
 def _cell_sets(documents: DataFrame, cells: DataFrame, words: int) -> DataFrame:
-    """(cell, fp1, fp2, n, shingles) of each distinct set that is in a cell."""
+    """(fp1, fp2, n, text, cell, blocks, block) of each distinct set that is in a cell of ``cells`` (fp1, cell, blocks).
+
+    A set goes by a text that has it, which takes less room than its shingles; those are made again where they are compared.
+    """
     # A node is a hash, so its own low bits serve as its place in the bitmap.
-    slot = f"cast(pmod(fp1, {FILTER_BITS}) as int)"
+    bits_wanted = min(max(FILTER_BITS, 1 << (cells.count() * 8).bit_length()), 1 << 26)
+    slot = f"cast(pmod(fp1, {bits_wanted}) as int)"
     marked = cells.selectExpr(f"{slot} div 32 AS w", f"shiftleft(1L, {slot} % 32) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(FILTER_BITS // 32, np.uint64)
+    bits = np.zeros(bits_wanted // 32, np.uint64)
     bits[marked.column("w").to_numpy()] = marked.column("b").to_numpy().astype(np.uint64)
     bitmap = documents.sparkSession.sparkContext.broadcast(bits)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for _, _, value, offs, fp1, fp2 in _each_slice(batches, words):
-            hashed = fp1 % FILTER_BITS
+        for batch, flat, value, offs, fp1, fp2 in _each_slice(batches, words):
+            hashed = fp1 % bits_wanted
             pick = np.flatnonzero((bitmap.value[hashed // 32] >> (hashed % 32).astype(np.uint64)) & _U(1))
             pairs = list(zip(fp1.tolist(), fp2.tolist()))
             pick = [i for i in pick.tolist() if offs[i + 1] > offs[i] and pairs[i] not in seen and not seen.add(pairs[i])]
             if pick:
-                sets = [value[offs[i] : offs[i + 1]].tobytes() for i in pick]
-                yield pa.RecordBatch.from_arrays([pa.array(fp1[pick]), pa.array(fp2[pick]), pa.array(np.diff(offs)[pick]), pa.array(sets, pa.binary())], ["fp1", "fp2", "n", "shingles"])
+                texts = batch.column(0).take(pa.array(flat.first + np.array(pick)))
+                yield pa.RecordBatch.from_arrays([pa.array(fp1[pick]), pa.array(fp2[pick]), pa.array(np.diff(offs)[pick]), texts], ["fp1", "fp2", "n", "text"])
 
-    sets = common.map_arrow(documents.select("text"), per_task, "fp1 bigint, fp2 bigint, n bigint, shingles binary")
-    return sets.join(cells, "fp1").dropDuplicates(["fp1", "fp2"])
+    sets = common.map_arrow(documents.select(F.col("text").cast("string").alias("text")), per_task, "fp1 bigint, fp2 bigint, n bigint, text string")
+    return sets.join(cells, "fp1").dropDuplicates(["fp1", "fp2"]).withColumn("block", _block())
 
 
-_SIDED = ["task", "cell", "part", "side", "known", "fp1", "fp2", "n", "shingles"]
+def _set_values(texts: list[str], words: int) -> np.ndarray:
+    """The shingles of texts, one text's after the other's."""
+    return np.concatenate([shingles(flat.lower(), words, True)[0] for flat in slices(pa.array(texts, pa.string()))])
+
+
+_SIDED = ["task", "cell", "part", "side", "known", "fp1", "fp2", "n", "text"]
 BOTH, LEFT, RIGHT = 0, 1, 2
 
 
-def _solve(percent: int):
+def _solve(similarity: Similarity):
     """For each part of a task: stars (a belongs with b) of the sets that its links, and what is known, connect.
 
     Sets of side BOTH are joined with each other, those of LEFT with those of RIGHT. ``known`` is a component that a set is
@@ -243,23 +340,23 @@ def _solve(percent: int):
     def solve(table: pa.Table) -> pa.Table:
         cell, part, side, fp1, fp2, n = (table.column(c).to_numpy() for c in ("cell", "part", "side", "fp1", "fp2", "n"))
         known = table.column("known").to_pylist()
-        raw = table.column("shingles").to_pylist()
+        texts = table.column("text").to_pylist()
         order = np.lexsort((fp2, fp1, side, part, cell))
         cuts = np.flatnonzero(np.any([x[order][1:] != x[order][:-1] for x in (cell, part)], 0)) + 1 if len(order) else []
         out: list[np.ndarray] = []
         for group in np.split(order, cuts):
             if len(group) < 2:
                 continue
-            sets = Sets(np.frombuffer(b"".join(raw[g] for g in group), np.uint64), np.concatenate(([0], np.cumsum(n[group]))))
+            sets = Sets(_set_values([texts[g] for g in group], similarity.words), np.concatenate(([0], np.cumsum(n[group]))))
             first: dict[int, int] = {}
             sets.root = np.array([k if known[g] is None else first.setdefault(known[g], k) for k, g in enumerate(group)])
             at, before = np.arange(len(group)), sets.root.copy()
             left, right = at[side[group] == LEFT], at[side[group] == RIGHT]
             if len(left) and len(right):
-                join(sets, Tree(sets, left), Tree(sets, right), percent)
+                join(sets, Tree(sets, left), Tree(sets, right), similarity.percent)
             elif not len(left) and not len(right):
                 tree = Tree(sets, at)
-                join(sets, tree, tree, percent)
+                join(sets, tree, tree, similarity.percent)
             # What was known already is not told again: only heads of known components that now belong to another.
             a = np.flatnonzero((before == at) & (sets.root != at))
             a, b = group[a], group[sets.root[a]]
@@ -270,8 +367,8 @@ def _solve(percent: int):
     return solve
 
 
-def _stars(sided: DataFrame, percent: int, name: str) -> DataFrame:
-    made = sided.select(*_SIDED).groupBy("task").applyInArrow(_solve(percent), "cell bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+def _stars(sided: DataFrame, similarity: Similarity, name: str) -> DataFrame:
+    made = sided.select(*_SIDED).groupBy("task").applyInArrow(_solve(similarity), "cell bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint")
     return common.stage(made, name)
 
 
@@ -282,14 +379,22 @@ def _salted(large: DataFrame, small: DataFrame, on: str, how: str = "inner") ->
     return salted.join(copies, [on, "salt"], how).drop("salt")
 
 
-def _blocks(sets: DataFrame) -> DataFrame:
-    """``sets`` with the number of blocks of their cell and the one they are in."""
+def _block():
+    return F.pmod(F.xxhash64("fp2", "fp1", "blocks"), F.col("blocks"))
+
+
+def _numbered(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` (cell, ...) with the number of blocks that their cell is cut in, by its ``sets`` (cell, n)."""
     sizes = sets.groupBy("cell").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1))
     # Cells of one block, which are most, are not joined.
     sizes = common.stage(sizes.select("cell", blocks.alias("blocks")).where("blocks > 1"), "cell-sizes")
-    number = F.coalesce(F.col("blocks"), F.lit(1).cast("bigint"))
-    return _salted(sets, sizes, "cell", "left").withColumn("blocks", number).withColumn("block", F.pmod(F.xxhash64("fp2", "fp1", "blocks"), F.col("blocks")))
+    return _salted(rows, sizes, "cell", "left").withColumn("blocks", F.coalesce(F.col("blocks"), F.lit(1).cast("bigint")))
+
+
+def _blocks(sets: DataFrame) -> DataFrame:
+    """``sets`` with the number of blocks of their cell and the one they are in."""
+    return _numbered(sets, sets).withColumn("block", _block())
 
 
 def _sided(sets: DataFrame, task, part, side: int, known=None) -> DataFrame:
@@ -308,17 +413,15 @@ def _shared_tasks(sets: DataFrame):
     return F.when(F.col("blocks") > 1, F.xxhash64("cell", "block")).otherwise(few)
 
 
-def _roots(members: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataFrame:
-    """(node, root) of the sets that links connect; both are fingerprints.
+def _roots(blocked: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataFrame:
+    """(node, root) of the sets that links connect, given with their blocks; both are fingerprints.
 
     Cells of one block are solved many to a task. A larger cell is solved by block; then one set for each component found is
     solved again, which connects groups of near copies in two passes over them. Links still missing are between sets that
     share a key, so those are then joined, key by key, where a key has sets of several components.
     """
-    percent = similarity.percent
-    blocked = common.stage(_blocks(members), "blocked")
     many = F.col("blocks") > 1
-    stars = _stars(_sided(blocked, _shared_tasks(members), F.col("block"), BOTH), percent, "stars")
+    stars = _stars(_sided(blocked, _shared_tasks(blocked), F.col("block"), BOTH), similarity, "stars")
     large = blocked.where(many).drop("blocks", "block")
     in_large = common.stage(blocked.where(many).select("cell").distinct(), "large-cells")
     if in_large.isEmpty():
@@ -331,7 +434,7 @@ def _roots(members: DataFrame, similarity: Similarity, hot: np.ndarray) -> DataF
     one = found.select(F.col("a1").alias("fp1"), F.col("a2").alias("fp2"), F.col("b1").alias("h1"), F.col("b2").alias("h2"))
     heads = large.join(one, ["fp1", "fp2"], "left_anti")
     again = common.stage(_blocks(heads), "heads")
-    again = _stars(_sided(again, F.xxhash64("cell", "block"), F.col("block"), BOTH), percent, "head-stars")
+    again = _stars(_sided(again, F.xxhash64("cell", "block"), F.col("block"), BOTH), similarity, "head-stars")
     two = again.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b1").alias("r1"), F.col("b2").alias("r2"))
     # Each set's head, and its head's: what is known of its component.
     labelled = large.join(one, ["fp1", "fp2"], "left").withColumns({"h1": F.coalesce("h1", "fp1"), "h2": F.coalesce("h2", "fp2")})
@@ -364,11 +467,11 @@ def _open_groups(labelled: DataFrame, similarity: Similarity, hot: np.ndarray) -
         for batch in batches:
             if batch.num_rows:
                 cell, fp1, fp2, known, n = (batch.column(c).to_numpy() for c in ("cell", "fp1", "fp2", "known", "n"))
-                value = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
+                value = _set_values(batch.column("text").to_pylist(), similarity.words)
                 sets, keys = set_keys(value, np.concatenate(([0], np.cumsum(n))), similarity, shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell[sets], keys, fp1[sets], fp2[sets], known[sets])], ["cell", "key", "fp1", "fp2", "known"])
 
-    source = labelled.select("cell", "fp1", "fp2", "known", "n", "shingles")
+    source = labelled.select("cell", "fp1", "fp2", "known", "n", "text")
     keys = common.stage(common.map_arrow(source, per_task, "cell bigint, key bigint, fp1 bigint, fp2 bigint, known bigint"), "large-cell-keys")
     same = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("fp1", "fp2").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("fp2", "fp1")).alias("xor"))
     open_keys = keys.groupBy("cell", "key").agg(F.min("known").alias("low"), F.max("known").alias("high"), same.alias("same")).where("low <> high")
@@ -390,11 +493,10 @@ def _within_groups(labelled: DataFrame, similarity: Similarity, hot: np.ndarray)
     A group's sets are joined in one task where they are few; of more sets, those outside its largest component are joined with all
     of the group, by pairs of blocks.
     """
-    percent = similarity.percent
     members = common.stage(_open_groups(labelled, similarity, hot).join(labelled.drop("cell"), ["fp1", "fp2"]), "group-sets")
     blocked = common.stage(_blocks(members), "key-blocks")
     few = blocked.where("blocks = 1")
-    stars = _stars(_sided(few, _shared_tasks(few), F.col("block"), BOTH, F.col("known")), percent, "key-stars")
+    stars = _stars(_sided(few, _shared_tasks(few), F.col("block"), BOTH, F.col("known")), similarity, "key-stars")
     edges = stars.select(_pair("a").alias("a"), _pair("b").alias("b"))
     many = blocked.where("blocks > 1")
     if many.isEmpty():
@@ -409,7 +511,7 @@ def _within_groups(labelled: DataFrame, similarity: Similarity, hot: np.ndarray)
     part = F.xxhash64("r_block", "block")
     task = F.xxhash64("cell", "r_block", "block")
     sided = _sided(left, task, part, LEFT, F.col("known")).unionByName(_sided(right, task, part, RIGHT, F.col("known")))
-    return edges.unionByName(_stars(sided, percent, "rest-stars").select(_pair("a").alias("a"), _pair("b").alias("b")))
+    return edges.unionByName(_stars(sided, similarity, "rest-stars").select(_pair("a").alias("a"), _pair("b").alias("b")))
 
 
 def components(documents: DataFrame, similarity: Similarity) -> DataFrame:
@@ -428,19 +530,17 @@ def _components(documents: DataFrame, similarity: Similarity) -> DataFrame:
     hot = np.sort(frequent.select("fp1").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     nodes = common.stage(texts.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("least")), "nodes")
 
-    # Keys that come once need no hub: they are told by a bitmap, so only keys that come again are written with their nodes. A key's hub is its
-    # least node; one row of each key meets the key's nodes, so the engine can split a hot key's rows.
-    again = common.stage(_keys(documents, similarity, hot).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-keys")
-    bits = min(max(common.MARK_BITS, 1 << (again.count() * 8).bit_length()), 1 << 26)
-    keys = common.stage(common.with_mark(_keys(documents, similarity, hot), ["key"], common.marks(again, bits), True), "shared-keys")
-    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("key", "hub")
-    hubs = keys.join(shared, "key").where("node <> hub")
-    cells = connected_components(hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    cells = cells.unionByName(cells.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp1"), F.col("root").alias("cell"))
-    members = common.stage(_cell_sets(documents, common.stage(cells, "cell-nodes"), similarity.words), "cell-sets")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    pairs = common.stage(_meetings(documents, similarity, hot, max(1, -(-total // RANGE_SHINGLES))), "met-nodes")
+    cells = connected_components(pairs)
+    cells = common.stage(cells.unionByName(cells.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp1"), F.col("root").alias("cell")), "cell-nodes")
+    placed = common.stage(_numbered(cells, nodes.join(cells, "fp1").select("cell", "n")), "placed-nodes")
+    members = common.stage(_cell_sets(documents, placed, similarity.words), "cell-sets")
     roots = _roots(members, similarity, hot)
     roots = roots.select(F.col("node.fp1").alias("fp1"), F.col("node.fp2").alias("fp2"), F.col("root.fp1").alias("r1"), F.col("root.fp2").alias("r2"))
-    rooted = nodes.join(common.stage(roots, "roots"), ["fp1", "fp2"], "left")
+    roots = common.stage(roots, "roots")
+    common.discard(members)
+    rooted = nodes.join(roots, ["fp1", "fp2"], "left")
     rooted = common.stage(rooted.select("fp1", "fp2", "least", F.coalesce("r1", "fp1").alias("r1"), F.coalesce("r2", "fp2").alias("r2")), "rooted")
     names = common.stage(rooted.groupBy("r1", "r2").agg(F.min("least").alias("component_id")), "names")
     named = common.stage(rooted.join(names, ["r1", "r2"]).select("fp1", "fp2", "component_id", "r1", "r2"), "named")
