@@ -16,7 +16,7 @@ from pyspark.sql import types
 
 from ..functions import text as T
 from .layout import labelled_rows, parse_rows
-from .regions import figure_fields, suppressed
+from .regions import accepted, figure_fields
 
 #: Kinds of region that name a section or explain a figure; how far notes, texts and columns may be; how sure records are.
 HEADINGS = ("title", "section_heading", "subsection_heading")
@@ -142,19 +142,93 @@ def figure_candidates(images: DataFrame, vectors: DataFrame, regions: DataFrame)
     return found.unionByName(hints.select("page", F.col("reading_order").alias("box_id"), F.lit("text_figure_hint").alias("candidate"), *nothing, *BOX))
 
 
+def _around(y0: float | None, y1: float | None, near: list[tuple]) -> tuple[str, str, list[str], str]:
+    """(caption, section, notes, nearby) of a box among a page's regions (reading_order, kind, y0, text), as ``surroundings`` has them."""
+    first = lambda x: (x is not None, x or 0)
+    captions, headings, notes, texts = [], [], [], []
+    for at, kind, y, text in near:
+        away = None if y is None or y0 is None else abs(y - y0)
+        if kind == "caption":
+            captions.append((first(away), first(at), text))
+        elif kind == "footnote" and None not in (y, y1) and y >= y1 - NOTE_SLACK:
+            notes.append((first(at), text))
+        if kind in HEADINGS and away is not None and y <= y0:
+            headings.append((-y, first(at), text))
+        if kind in EXPLAINING and away is not None and away <= TEXT_REACH:
+            texts.append((away, first(at), text))
+    text = lambda found, none: min(found)[-1] if found else none
+    return text(captions, ""), text(headings, "Document"), [t for *_, t in sorted(notes)[:MOST_NOTES]], "\n".join(t for *_, t in sorted(texts)[:MOST_TEXTS])
+
+
+def _figures_of_pages(candidates: DataFrame, regions: DataFrame, pages: DataFrame) -> DataFrame:
+    """Figures less those suppressed and those that show nothing, with their number, what stands around them and their page's document.
+
+    Pages, boxes and regions are dealt out by page once and sorted; tasks go from page to page and hold one page's boxes and regions.
+    """
+    kinds = {f.name: f.dataType for f in (*candidates.schema.fields, *pages.schema.fields)}
+    names = ["page", "_row", "box_id", "_at", "document_id", "page_num", "candidate", "content", "wasteful", *BOX, "_kind", "_text"]
+    kinds |= {"_row": types.IntegerType(), "_at": types.LongType(), "_kind": types.StringType(), "_text": types.StringType(), "page": candidates.schema["page"].dataType}
+
+    def rows(of: DataFrame, number: int, **more: Column) -> DataFrame:
+        given = {"_row": F.lit(number)} | {c: F.col(c) for c in names if c in of.columns} | more
+        return of.select(*((given[c] if c in given else F.lit(None)).cast(kinds[c]).alias(c) for c in names))
+
+    near = regions.where(F.col("kind").isin("caption", "footnote", *HEADINGS, *EXPLAINING)).select("page", "reading_order", "kind", "y0", "text")
+    every = rows(pages.select("page", "document_id", "page_num"), 0).unionByName(rows(candidates, 1)).unionByName(rows(near, 2, _at=F.col("reading_order"), _kind=F.col("kind"), _text=F.coalesce("text", F.lit("")))).where("page IS NOT NULL")
+    out = ["page", "box_id", "document_id", "page_num", "candidate", "content", *BOX]
+    made = "figure_no bigint, caption string, section string, notes array<string>, nearby string"
+    schema = types.StructType([*(types.StructField(c, kinds[c]) for c in out), *types._parse_datatype_string(made).fields])
+
+    def of_page(page, of: list[tuple], boxes: list[dict], near: list[tuple]) -> Iterator[tuple]:
+        kept: list[tuple] = []
+        boxes = [b for b in boxes if accepted(kept, *(b[c] for c in BOX))]
+        for number, b in enumerate(sorted(boxes, key=lambda b: b["box_id"] is not None), 1):
+            caption, section, notes, nearby = _around(b["y0"], b["y1"], near)
+            if b["wasteful"] is False or caption or nearby:
+                content = b["content"] if b["wasteful"] is False else None
+                for document, page_num in of:
+                    yield page, b["box_id"], document, page_num, b["candidate"], content, *(b[c] for c in BOX), number, caption, section, notes, nearby
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = pa.schema([])
+        at, of, boxes, near = None, [], [], []
+        for batch in batches:
+            done: list[tuple] = []
+            if not len(arrow):
+                own = batch.schema
+                arrow = pa.schema([*(own.field(c) for c in out), ("figure_no", pa.int64()), ("caption", pa.string()), ("section", pa.string()), ("notes", pa.list_(pa.string())), ("nearby", own.field("_text").type)])
+            columns = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names}
+            for i, (page, row) in enumerate(zip(columns["page"], columns["_row"])):
+                if page != at:
+                    done.extend(of_page(at, of, boxes, near))
+                    at, of, boxes, near = page, [], [], []
+                if row == 0:
+                    of.append((columns["document_id"][i], columns["page_num"][i]))
+                elif row == 1:
+                    boxes.append({c: columns[c][i] for c in ("box_id", "candidate", "content", "wasteful", *BOX)})
+                else:
+                    near.append((columns["_at"][i], columns["_kind"][i], columns["y0"][i], columns["_text"][i]))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done), arrow)], schema=arrow)
+        done = list(of_page(at, of, boxes, near))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done), arrow)], schema=arrow)
+
+    # Boxes without a number come last.
+    return every.repartition("page").sortWithinPartitions("page", "_row", F.asc_nulls_last("box_id"), "_at").mapInArrow(per_task, schema)
+
+
 def figure_artifacts(candidates: DataFrame, regions: DataFrame, pages: DataFrame) -> DataFrame:
     """Records of figures: candidates in order of box_id less those that overlap one accepted before, less cuts that show nothing and have neither
     caption nor text nearby, less content that an earlier figure of the document (pages: page, document_id, page_num) showed already.
 
-    Numbers of a page's figures are given before the last two steps. The first of equal contents is an aggregate joined back, so a picture
-    on every page isn't gathered anywhere.
+    Numbers of a page's figures are given before the last two steps. The first of equal contents is told by rank, of which each task gives
+    on only its own first, so a picture on every page isn't gathered anywhere.
     """
-    kept = suppressed(candidates).withColumn("figure_no", F.row_number().over(Window.partitionBy("page").orderBy("box_id")).cast("bigint")).withColumn("anchor_id", F.col("box_id"))
-    placed = _placed(kept, regions).where(~F.col("wasteful") | (F.col("caption") != "") | (F.col("nearby") != ""))
-    placed = placed.withColumn("content", F.when(~F.col("wasteful"), F.col("content"))).join(pages.select("page", "document_id", "page_num"), "page")
-    place = F.struct("page_num", "figure_no")
-    first = placed.where("content IS NOT NULL").groupBy("document_id", "content").agg(F.min(place).alias("_first"))
-    rows = placed.join(first, ["document_id", "content"], "left").where(F.col("content").isNull() | (place == F.col("_first")))
+    bare = F.col("content").isNull()
+    # A figure without content is one of its own.
+    alike = Window.partitionBy("document_id", "content", F.when(bare, F.col("page")), F.when(bare, F.col("figure_no"))).orderBy("page_num", "figure_no")
+    rows = _figures_of_pages(candidates, regions, pages).withColumn("_nth", F.rank().over(alike)).where("_nth = 1")
     kind = figure_fields(F.col("caption"), F.col("nearby"), F.col("candidate"))["figure_type"]
     said = lambda head, name: F.concat(F.lit(head), F.col(name).cast("string"))
     proxy = F.concat_ws("\n", said("Page: ", "page_num"), said("Section: ", "section"), said("Figure type: ", "figure_type"), F.when(F.col("caption") != "", said("Caption: ", "caption")), F.when(F.col("nearby") != "", said("Nearby text: ", "nearby")))

@@ -120,6 +120,19 @@ def nearest_caption(anchors: DataFrame, regions: DataFrame) -> DataFrame:
     return pairs.groupBy("page", "anchor_id").agg(F.min_by("caption", F.struct(F.abs(F.col("caption_y") - F.col("y0")), "at")).alias("caption"))
 
 
+def accepted(kept: list[tuple], x0: float, y0: float, x1: float, y1: float, most: float = 0.8) -> bool:
+    """Whether a box has an area and overlaps none of ``kept`` by more than ``most``; it is put among them then."""
+    area = (x1 - x0) * (y1 - y0)
+    if not area > 1:
+        return False
+    for a0, b0, a1, b1, other in kept:
+        both = max(min(x1, a1) - max(x0, a0), 0.0) * max(min(y1, b1) - max(y0, b0), 0.0)
+        if both > 0 and both / (area + other - both) > most:
+            return False
+    kept.append((x0, y0, x1, y1, area))
+    return True
+
+
 def suppressed(boxes: DataFrame, most: float = 0.8) -> DataFrame:
     """Boxes (page, box_id, x0..y1) less those of hardly any area and those that overlap one accepted before them by more than ``most``.
 
@@ -134,16 +147,7 @@ def suppressed(boxes: DataFrame, most: float = 0.8) -> DataFrame:
             for i, (page, *box) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page", "x0", "y0", "x1", "y1")))):
                 if page != at:
                     at, kept = page, []
-                x0, y0, x1, y1 = box
-                area = (x1 - x0) * (y1 - y0)
-                if not area > 1:
-                    continue
-                for a0, b0, a1, b1, other in kept:
-                    both = max(min(x1, a1) - max(x0, a0), 0.0) * max(min(y1, b1) - max(y0, b0), 0.0)
-                    if both > 0 and both / (area + other - both) > most:
-                        break
-                else:
-                    kept.append((*box, area))
+                if accepted(kept, *box, most):
                     chosen.append(i)
             yield batch.take(pa.array(chosen, pa.int64()))
 

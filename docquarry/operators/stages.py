@@ -113,7 +113,14 @@ def kept_in(folder: str, only: tuple[str, ...] | None = None) -> Callable[[str,
     def keep(name: str, rows: DataFrame) -> DataFrame:
         if only is not None and name not in only:
             return rows
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
+        conf, setting = rows.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(setting, None)
+        # The shuffle files of the writing are given back when it ends.
+        conf.set(setting, "true")
+        try:
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
+        finally:
+            conf.set(setting, before) if before is not None else conf.unset(setting)
         return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
     return keep

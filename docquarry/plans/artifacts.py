@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import artifacts as K, charts as H
+from ..operators import artifacts as K, charts as H, stages as I
+from ..sources import collections as C
 from ..sources.tables import table
 from .regions import _KINDS, _LINES, _kinds
 
@@ -90,8 +91,9 @@ SELECT document_id, table_id, pages, n > 1 AS continued, len(rows) AS n_rows, ca
 
 
 def _figures(spark: SparkSession, d: str) -> DataFrame:
-    """Figures of pages; images stand twice in their page's list, moved a little, and come again on other pages."""
-    regions, n = _regions(spark, d), F.col("region_id")
+    """Figures of pages; images stand twice in their page's list, moved a little, and come again on other pages. Regions are read five
+    times, so they are made once and written."""
+    regions, n = I.kept_in(C.work_path(spark, "figures"))("regions", _regions(spark, d).drop("hint_kind", "hint_zone", "label")), F.col("region_id")
     moved = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("by")), F.struct(F.lit(1).alias("k"), F.lit(1.0).alias("by")), F.struct(F.lit(2).alias("k"), F.lit(30.0).alias("by"))))
     images = regions.where((n % 5 == 1) & (F.col("page") % 4 != 3)).select("page", "region_id", *K.BOX, moved.alias("m"))
     content = F.when(n % 13 != 0, F.concat(F.lit("picture "), ((n + F.col("m.k")) % 40).cast("string")))
