@@ -16,12 +16,14 @@ _LABELS = ("Table body", "picture caption", "bar chart", "Footnote", "page foote
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """A region for each line of an order; the order is its page. Places are whole and half points."""
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
-    line, price, number = S.table(spark, d, "lineitem"), F.floor("l_extendedprice").cast("bigint"), F.col("l_partkey") + F.col("l_suppkey")
-    rows = line.select(
-        F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("region_id"), (number % 500 / 2.0).alias("x0"), (price % 780).cast("double").alias("y0"),
-        (number % 7 * 45 + 20.0).alias("w"), (price % 5 * 9 + 8.0).alias("h"), pick(_TEXTS, price).alias("text"), pick(_LABELS, F.col("l_suppkey") + F.col("l_linenumber")).alias("label"),
-    )
-    return rows.dropDuplicates(["page", "region_id"]).withColumns({"x1": F.col("x0") + F.col("w"), "y1": F.col("y0") + F.col("h")}).drop("w", "h")
+    line, (price, number, sort) = S.table(spark, d, "lineitem"), (F.col(c) for c in ("_price", "_number", "_sort"))
+    # Lines are told apart by numbers; texts and places are made of those that are left.
+    once = line.select(
+        F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("region_id"), F.floor("l_extendedprice").cast("bigint").alias("_price"),
+        (F.col("l_partkey") + F.col("l_suppkey")).alias("_number"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("_sort"),
+    ).dropDuplicates(["page", "region_id"])
+    rows = once.select("page", "region_id", (number % 500 / 2.0).alias("x0"), (price % 780).cast("double").alias("y0"), (number % 7 * 45 + 20.0).alias("w"), (price % 5 * 9 + 8.0).alias("h"), pick(_TEXTS, price).alias("text"), pick(_LABELS, sort).alias("label"))
+    return rows.withColumns({"x1": F.col("x0") + F.col("w"), "y1": F.col("y0") + F.col("h")}).drop("w", "h")
 
 
 def _case(values, n: str) -> str:
